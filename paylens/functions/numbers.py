@@ -22,9 +22,8 @@ def total(amount: Column) -> Column:
 
 
 def average(amount: Column, digits: int = 2) -> Column:
-    """Mean of scale-2 decimals, taken in double from the exact sum, then rounded."""
-    cents = (F.sum(amount) * F.lit(100)).cast("double")
-    return round_half_away(cents / (F.count(amount) * F.lit(100.0)), digits)
+    """Mean of decimals: the exact sum, divided in double, then rounded."""
+    return round_half_away(F.sum(amount).cast("double") / F.count(amount), digits)
 
 
 def percent_change(old: Column, new: Column, digits: int = 1) -> Column:

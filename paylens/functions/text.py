@@ -21,7 +21,9 @@ def is_blank(text: Column) -> Column:
 
 
 def has_text(text: Column) -> Column:
-    return text.isNotNull() & (F.trim(text) != "")
+    """Neither null nor blank; null counts as false. The text is looked at once, since a filter on a
+    derived text carries the derivation with it."""
+    return F.trim(text) != ""
 
 
 def normalise(text: Column) -> Column:

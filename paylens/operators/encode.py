@@ -34,10 +34,11 @@ def batch_encoder(
 
 
 def encode_rows(rows: DataFrame, encoder: Encoder) -> DataFrame:
-    """Vectors of `tx_id, search_text` rows, each encoded where it lies."""
-    return rows.select("tx_id", encoder(F.col("search_text")).alias("embedding")).where(
-        F.col("embedding").isNotNull()
-    )
+    """Vectors of `tx_id, search_text` rows, each encoded where it lies.
+
+    The texts are taken to be searchable: a filter on the vectors would compute each of them twice.
+    """
+    return rows.select("tx_id", encoder(F.col("search_text")).alias("embedding"))
 
 
 def encode_distinct(rows: DataFrame, encoder: Encoder) -> DataFrame:
@@ -48,9 +49,7 @@ def encode_distinct(rows: DataFrame, encoder: Encoder) -> DataFrame:
     partition of a text that fills a large share of the rows.
     """
     texts = rows.select("search_text").distinct()
-    encoded = texts.withColumn("embedding", encoder(F.col("search_text"))).where(
-        F.col("embedding").isNotNull()
-    )
+    encoded = texts.withColumn("embedding", encoder(F.col("search_text")))
     return rows.join(encoded, "search_text").select("tx_id", "embedding")
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +31,6 @@ _CANDIDATES_DDL = "query_id string, tx_id string, distance double"
 
 def _matrix(column: pa.Array, dims: int | None = None) -> np.ndarray:
     """Rows of a list column as a float64 matrix."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
     values = np.asarray(column.flatten(), dtype=np.float64)
     dims = len(values) // max(len(column), 1) if dims is None else dims
     if len(values) != len(column) * dims:
@@ -44,8 +43,17 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=object)
+def _rows(
+    table: pa.Table | pa.RecordBatch, key: str, dims: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the rows that have a vector."""
+    table = table.filter(pc.is_valid(table["embedding"]))
+    if table.num_rows == 0:
+        return np.empty(0, dtype=object), np.empty((0, dims or 0))
+    column = table["embedding"]
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.array(table[key].to_pylist(), dtype=object), _matrix(column, dims)
 
 
 class _Nearest:
@@ -53,6 +61,7 @@ class _Nearest:
 
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
         self.query_ids, self.queries, self.k = query_ids, _unit_rows(queries), k
+        self.dims = queries.shape[1] if len(query_ids) else None
         self.units = np.empty((len(query_ids), 0), dtype=np.int64)
         self.ids = np.empty((len(query_ids), 0), dtype=object)
 
@@ -64,6 +73,8 @@ class _Nearest:
         return np.argpartition(keys, self.k - 1, axis=1)[:, : self.k]
 
     def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        if not (len(ids) and len(self.query_ids)):
+            return
         step = max(1, min((1 << 22) // max(len(self.query_ids), 1), (1 << 24) // rows.shape[1]))
         for at in range(0, len(ids), step):
             self._add_block(ids[at : at + step], rows[at : at + step])
@@ -95,16 +106,12 @@ class _Nearest:
 
 def _scan_against(queries: pa.Table, corpus: DataFrame, k: int) -> DataFrame:
     """Candidates from one pass over the corpus, k per query and task."""
-    query_ids, matrix = _ids(queries["query_id"]), _matrix(queries["embedding"])
-    shared = corpus.sparkSession.sparkContext.broadcast((query_ids, matrix))
+    shared = corpus.sparkSession.sparkContext.broadcast(_rows(queries, "query_id"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows = shared.value
-        nearest = _Nearest(ids, rows, k)
+        nearest = _Nearest(*shared.value, k)
         for batch in batches:
-            if batch.num_rows and len(ids):
-                found = _matrix(batch["embedding"], rows.shape[1])
-                nearest.add(_ids(batch["tx_id"]), found)
+            nearest.add(*_rows(batch, "tx_id", nearest.dims))
         yield nearest.batch()
 
     return corpus.mapInArrow(scan, _CANDIDATES_DDL)
@@ -132,10 +139,8 @@ def _scan_grid(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     right = _in_blocks(corpus, "c_block", "tx_id", n_corpus, "q_block", n_queries)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        nearest = _Nearest(_ids(left["query_id"]), _matrix(left["embedding"]), k)
-        if left.num_rows and right.num_rows:
-            found = _matrix(right["embedding"], nearest.queries.shape[1])
-            nearest.add(_ids(right["tx_id"]), found)
+        nearest = _Nearest(*_rows(left, "query_id"), k)
+        nearest.add(*_rows(right, "tx_id", nearest.dims))
         return pa.Table.from_batches([nearest.batch()], schema=_CANDIDATES)
 
     cell = ("q_block", "c_block")
@@ -169,8 +174,8 @@ def nearest(
     `exclude_self` a row whose id equals the query's is left out before ranking. Queries up to a
     checked size are broadcast and the corpus is scanned in place, without a shuffle.
     """
-    queries = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
-    corpus = corpus.select("tx_id", "embedding").where(F.col("embedding").isNotNull())
+    queries = queries.select("query_id", "embedding")
+    corpus = corpus.select("tx_id", "embedding")
     wanted = k + 1 if exclude_self else k
 
     taken = queries.limit(BROADCAST_QUERIES + 1).toArrow()

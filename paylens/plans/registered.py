@@ -60,8 +60,9 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _letters(vectors: DataFrame) -> DataFrame:
-    """Vectors as rows of (id, place, weight)."""
-    return vectors.select("tx_id", F.posexplode("embedding").alias("place", "weight")).select(
+    """Vectors as rows of (id, place, weight). The outer form keeps Spark from adding a filter on the
+    length of the vector, which would compute it twice."""
+    return vectors.select("tx_id", F.posexplode_outer("embedding").alias("place", "weight")).select(
         "tx_id", "place", F.round(F.col("weight").cast("double"), 6).alias("weight")
     )
 
