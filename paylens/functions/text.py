@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from paylens.fixed_values import SEARCH_LETTERS, WHITE_SPACE
 
+# The kept letters as the inside of a character class, the plain ones as a range.
+_LETTERS = SEARCH_LETTERS.replace("abcdefghijklmnopqrstuvwxyz", "a-z")
+
 
 def strip(text: Column) -> Column:
     """Without white space (Unicode's, control separators too) at both ends."""
@@ -29,11 +32,12 @@ def has_text(text: Column) -> Column:
 def normalise(text: Column) -> Column:
     """Lower-case words of the kept letters, one space apart.
 
-    A run of anything else, spaces included, becomes one space, so a single pass is enough. `İ` is put
-    down to `i` first: the JVM would add a combining dot, which would then split the word.
+    A run of anything else, spaces included, becomes one space, so a single pass is enough; a lone
+    space already is one and is not matched. `İ` is put down to `i` first: the JVM would add a
+    combining dot, which would then split the word.
     """
-    lowered = F.lower(F.translate(text, "İ", "i"))
-    return F.trim(F.regexp_replace(lowered, f"[^{SEARCH_LETTERS}]+", " "))
+    lowered = F.lower(F.replace(text, F.lit("İ"), F.lit("i")))
+    return F.trim(F.regexp_replace(lowered, f"[^{_LETTERS} ][^{_LETTERS}]*| [^{_LETTERS}]+", " "))
 
 
 def search_text(counterparty: Column, description: Column) -> Column:

@@ -20,10 +20,12 @@ _FLOAT = r"^[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)([eE
 
 def _text_at(json: Column, path: str) -> Column:
     """A member as text; true and false as 1 and 0, which is what they count as in numbers."""
-    flag = F.schema_of_variant(F.try_variant_get(json, path, "variant")) == "BOOLEAN"
-    return F.when(flag, F.try_variant_get(json, path, "boolean").cast("int").cast("string")).otherwise(
-        F.try_variant_get(json, path, "string")
+    text = F.try_variant_get(json, path, "string")
+    # Only the two words can be flags, so the type is looked up for them alone.
+    flag = text.isin("true", "false") & (
+        F.schema_of_variant(F.try_variant_get(json, path, "variant")) == "BOOLEAN"
     )
+    return F.when(flag, (text == "true").cast("int").cast("string")).otherwise(text)
 
 
 def _is_empty(kind: Column, text: Column) -> Column:

@@ -62,14 +62,14 @@ def _bounds(first: Column, last: Column) -> Column:
     return F.struct(first.alias("date_from"), last.alias("date_to"))
 
 
-def _mentioned_dates(text: Column) -> Column:
-    """First two valid ISO dates; a single one stands for that day."""
-    found = F.filter(
-        F.transform(
-            F.regexp_extract_all(text, F.lit("([0-9]{4}-[0-9]{2}-[0-9]{2})")), parse_iso_date
-        ),
-        lambda d: d.isNotNull(),
-    )
+def _iso_dates(text: Column) -> Column:
+    """All valid ISO dates in the text, in order."""
+    shaped = F.regexp_extract_all(text, F.lit("([0-9]{4}-[0-9]{2}-[0-9]{2})"))
+    return F.filter(F.transform(shaped, parse_iso_date), lambda d: d.isNotNull())
+
+
+def _mentioned_dates(found: Column) -> Column:
+    """First two valid dates; a single one stands for that day."""
     return F.when(F.size(found) > 0, _bounds(found[0], F.coalesce(F.get(found, F.lit(1)), found[0])))
 
 
@@ -82,14 +82,14 @@ def _mentioned_period(words: Column, today: Column) -> Column:
     return F.coalesce(*found)
 
 
-def _mentioned_month(text: Column, today: Column) -> Column:
-    """A month by name, of the year that follows it or else of this year."""
+def _month_start(text: Column, today: Column) -> Column:
+    """First day of a month by name, of the year that follows it or else of this year."""
     number = F.array_position(
         F.array(*[F.lit(m) for m in MONTH_STEMS]), F.regexp_extract(text, MONTH_PATTERN, 1)
     )
-    year = F.coalesce(_extract(text, MONTH_PATTERN, 2).try_cast("int"), F.year(today))
-    first = F.make_date(F.greatest(year, F.lit(1)), F.greatest(number, F.lit(1)).cast("int"), F.lit(1))
-    return F.when(number > 0, _bounds(first, F.last_day(first)))
+    year = F.coalesce(_extract(text, MONTH_PATTERN, 2), F.year(today).cast("string"))
+    # A number of 0, for no month, makes no date.
+    return F.try_to_date(F.concat(year, F.lit("-"), number.cast("string")), "yyyy-M")
 
 
 def route_questions(questions: DataFrame, today: date, bounds: tuple[date, date]) -> DataFrame:
@@ -100,14 +100,18 @@ def route_questions(questions: DataFrame, today: date, bounds: tuple[date, date]
     """
     words = F.concat(F.lit(" "), normalise(F.col("text")), F.lit(" "))
     day = F.lit(today)
+    text = F.col("lowered")
+    # Step by step: what a later step uses more than once is computed once.
     prepared = questions.select(
-        "question_id", "text", F.lower("text").alias("lowered"), words.alias("words")
+        "question_id", F.lower("text").alias("lowered"), words.alias("words")
+    ).select(
+        "*", _iso_dates(text).alias("days"), _month_start(text, day).alias("month")
     )
-    text, words = F.col("lowered"), F.col("words")
+    words, month = F.col("words"), F.col("month")
     dates = F.coalesce(
-        _mentioned_dates(text),
+        _mentioned_dates(F.col("days")),
         _mentioned_period(words, day),
-        _mentioned_month(text, day),
+        F.when(month.isNotNull(), _bounds(month, F.last_day(month))),
         _bounds(F.lit(bounds[0]), F.lit(bounds[1])),
     )
     routed = prepared.select(

@@ -14,6 +14,7 @@ from paylens.operators.encode import Encoder, build_vectors
 from paylens.sources.statements import (
     check_statements,
     duplicate_ids,
+    is_valid,
     read_statements,
     rejected_rows,
     valid_rows,
@@ -60,7 +61,7 @@ def load_statements(
     watched = checked.observe(
         seen,
         F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.size("errors") > 0).alias("rejects"),
+        F.count_if(~is_valid()).alias("rejects"),
     )
     rows = valid_rows(watched)
     if with_search_text:

@@ -15,8 +15,7 @@ from paylens.operators.periods import dataset_bounds, dataset_period, relative_p
 from paylens.operators.replies import parse_replies, validate_params
 from paylens.operators.routing import route_questions, routed_params
 from paylens.operators.vectors import nearest
-from paylens.plans.fixtures import RAW_STATEMENTS, VIEWS, load_tables, view
-from paylens.plans.fixtures import QUESTIONS, REPLIES
+from paylens.plans.fixtures import QUESTIONS, RAW_STATEMENTS, REPLIES, from_tables, view
 from paylens.plans.prepare import load_statements
 from paylens.session import scratch_path
 from paylens.sources.statements import (
@@ -33,16 +32,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 TODAY = date(1998, 5, 20)
 FROM, TO = date(1996, 1, 1), date(1999, 12, 31)
 
+# For long texts; short ones take `letter_profile`, which needs no Python.
+LETTER_ENCODER = batch_encoder(lambda: encode_letters, batch_size=512)
+
 
 def _on(view_name: str, query, *args) -> Query:
     return lambda spark, sf_dir: query(view(spark, sf_dir, view_name), *args)
 
 
-def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    load_tables(spark, sf_dir)
-    return spark.sql(text)
-
-
 def _with_text(transactions: DataFrame) -> DataFrame:
     return transactions.withColumn(
         "search_text", search_text(F.col("counterparty"), F.col("description"))
@@ -50,13 +47,17 @@ def _with_text(transactions: DataFrame) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(
+    return from_tables(
         spark, sf_dir, "SELECT CAST(doc_id AS STRING) AS tx_id, text AS search_text FROM documents"
     ).withColumn("search_text", normalise(F.col("search_text")))
 
 
+def _document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_rows(searchable(_documents(spark, sf_dir)), LETTER_ENCODER)
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, "SELECT CAST(vec_id AS STRING) AS tx_id, embedding FROM embeddings")
+    return from_tables(spark, sf_dir, "SELECT CAST(vec_id AS STRING) AS tx_id, embedding FROM embeddings")
 
 
 def _letters(vectors: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def searchable_texts(spark, sf_dir):
 
 
 def raw_statements(spark, sf_dir):
-    return _sql(spark, sf_dir, RAW_STATEMENTS)
+    return from_tables(spark, sf_dir, RAW_STATEMENTS)
 
 
 def statement_valid(spark, sf_dir):
@@ -105,22 +106,18 @@ def statement_load(spark, sf_dir):
 
 
 def letter_vectors(spark, sf_dir):
-    return _letters(build_vectors(_documents(spark, sf_dir), letter_profile, distinct=False))
+    return _letters(_document_vectors(spark, sf_dir))
 
 
 def encoded_texts(spark, sf_dir):
-    """Part texts through the batch encoder, each different text once."""
-    return _letters(
-        build_vectors(
-            _with_text(view(spark, sf_dir, "tx_parts")), batch_encoder(lambda: encode_letters)
-        )
-    )
+    """Part texts, each different text encoded once."""
+    return _letters(build_vectors(_with_text(view(spark, sf_dir, "tx_parts")), LETTER_ENCODER))
 
 
 def vector_upsert(spark, sf_dir):
     """Vectors of part texts, replaced by those of documents with the same id."""
     old = encode_rows(searchable(_with_text(view(spark, sf_dir, "tx_parts"))), letter_profile)
-    new = encode_rows(searchable(_documents(spark, sf_dir)), letter_profile)
+    new = _document_vectors(spark, sf_dir)
     return _letters(upsert_vectors(old, new))
 
 
@@ -137,8 +134,7 @@ def knn_names(spark, sf_dir):
     queries = texts.select(
         F.col("search_text").alias("query_id"), letter_profile(F.col("search_text")).alias("embedding")
     )
-    corpus = encode_rows(searchable(_documents(spark, sf_dir)), letter_profile)
-    return nearest(queries, corpus)
+    return nearest(queries, _document_vectors(spark, sf_dir))
 
 
 def _similar_top(spark, sf_dir):
@@ -250,13 +246,13 @@ def result_json(spark, sf_dir):
 
 def periods_of_days(spark, sf_dir):
     """Named periods as seen from every day with an order."""
-    days = _sql(spark, sf_dir, "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders")
+    days = from_tables(spark, sf_dir, "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders")
     return relative_periods(days)
 
 
 def _routed(spark, sf_dir):
     bounds = dataset_bounds(view(spark, sf_dir, "tx_orders"))
-    return route_questions(_sql(spark, sf_dir, QUESTIONS), TODAY, bounds), bounds
+    return route_questions(from_tables(spark, sf_dir, QUESTIONS), TODAY, bounds), bounds
 
 
 def routed_questions(spark, sf_dir):
@@ -269,7 +265,7 @@ def routed_question_params(spark, sf_dir):
 
 
 def parsed_replies(spark, sf_dir):
-    parsed = parse_replies(_sql(spark, sf_dir, REPLIES))
+    parsed = parse_replies(from_tables(spark, sf_dir, REPLIES))
     names = ("alates_kuupaev", "kuni_kuupaev", "suund", "limit", "summa_lavi", "min_kordusi",
              "muutus_lavi_pct")
     return parsed.select(
@@ -279,7 +275,7 @@ def parsed_replies(spark, sf_dir):
 
 def reply_params(spark, sf_dir):
     bounds = dataset_bounds(view(spark, sf_dir, "tx_orders"))
-    return validate_params(parse_replies(_sql(spark, sf_dir, REPLIES)), bounds)
+    return validate_params(parse_replies(from_tables(spark, sf_dir, REPLIES)), bounds)
 
 
 QUERIES: dict[str, Query] = {
