@@ -44,14 +44,13 @@ def _any(conditions: list[Column]) -> Column:
 
 
 def _best_template(words: Column) -> Column:
-    """Template with most keywords; the earlier in the list on a tie, null if none is mentioned."""
+    """Template with most keywords and its score; the earlier in the list on a tie."""
     scores = []
     for place, (template, keywords) in enumerate(TEMPLATE_KEYWORDS.items()):
         score = sum((c.cast("int") for c in _mentions(words, keywords)), F.lit(0))
         scores.append(F.struct(score.alias("score"), F.lit(-place).alias("place"),
                                F.lit(template).alias("template")))
-    best = F.array_max(F.array(*scores))
-    return F.when(best["score"] > 0, best["template"])
+    return F.array_max(F.array(*scores))
 
 
 def _extract(text: Column, pattern: str, group: int = 1) -> Column:
@@ -82,14 +81,17 @@ def _mentioned_period(words: Column, today: Column) -> Column:
     return F.coalesce(*found)
 
 
-def _month_start(text: Column, today: Column) -> Column:
-    """First day of a month by name, of the year that follows it or else of this year."""
-    number = F.array_position(
-        F.array(*[F.lit(m) for m in MONTH_STEMS]), F.regexp_extract(text, MONTH_PATTERN, 1)
-    )
-    year = F.coalesce(_extract(text, MONTH_PATTERN, 2), F.year(today).cast("string"))
-    # A number of 0, for no month, makes no date.
-    return F.try_to_date(F.concat(year, F.lit("-"), number.cast("string")), "yyyy-M")
+def _month_number(text: Column) -> Column:
+    """Number of the first month mentioned by name; 0 if none is."""
+    stems = F.array(*[F.lit(m) for m in MONTH_STEMS])
+    return F.array_position(stems, F.regexp_extract(text, MONTH_PATTERN, 1)).cast("int")
+
+
+def _mentioned_month(number: Column, text: Column, today: Column) -> Column:
+    """That month in the year that follows its name, or else in this year."""
+    year = F.coalesce(_extract(text, MONTH_PATTERN, 2), F.year(today).cast("string")).cast("int")
+    first = F.make_date(F.greatest(year, F.lit(1)), number, F.lit(1))
+    return F.when(number > 0, _bounds(first, F.last_day(first)))
 
 
 def route_questions(questions: DataFrame, today: date, bounds: tuple[date, date]) -> DataFrame:
@@ -105,18 +107,21 @@ def route_questions(questions: DataFrame, today: date, bounds: tuple[date, date]
     prepared = questions.select(
         "question_id", F.lower("text").alias("lowered"), words.alias("words")
     ).select(
-        "*", _iso_dates(text).alias("days"), _month_start(text, day).alias("month")
+        "*",
+        _best_template(F.col("words")).alias("best"),
+        _iso_dates(text).alias("days"),
+        _month_number(text).alias("month"),
     )
-    words, month = F.col("words"), F.col("month")
+    words = F.col("words")
     dates = F.coalesce(
         _mentioned_dates(F.col("days")),
         _mentioned_period(words, day),
-        F.when(month.isNotNull(), _bounds(month, F.last_day(month))),
+        _mentioned_month(F.col("month"), text, day),
         _bounds(F.lit(bounds[0]), F.lit(bounds[1])),
     )
     routed = prepared.select(
         "question_id",
-        _best_template(words).alias("template_id"),
+        F.when(F.col("best.score") > 0, F.col("best.template")).alias("template_id"),
         dates.alias("dates"),
         F.when(_any(_mentions(words, SMALLEST_FIRST_KEYWORDS)), F.lit("ASC")).alias("direction"),
         _extract(text, LIMIT_PATTERN).alias("limit"),

@@ -1,5 +1,6 @@
 """Session settings and the shared scratch folder."""
 
+import functools
 import tempfile
 import uuid
 
@@ -21,6 +22,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+@functools.cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="paylens-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path not used before, under the folder that `spark.checkpoint.dir` names.
 
@@ -30,6 +36,5 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="paylens-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_scratch()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,0 +1,27 @@
+"""Every registered query against its SQL."""
+
+import pytest
+from compare import database, differences
+
+import __spark_entry__ as entry
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    return database(SF_DIR)
+
+
+def test_every_query_has_sql():
+    assert set(entry.queries()) == set(entry.oracle_sql())
+
+
+@pytest.mark.parametrize("name", list(entry.queries()))
+def test_same_as_sql(spark, con, name):
+    result = entry.queries()[name](spark, SF_DIR)
+    assert differences(result, con, entry.oracle_sql()[name]) is None
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
