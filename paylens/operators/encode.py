@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from paylens.functions.text import normalise, strip
 from paylens.operators.filters import searchable
+from paylens.operators.joins import join_unique
 
 Encoder = Callable[[Column], Column]
 
@@ -44,13 +45,13 @@ def encode_rows(rows: DataFrame, encoder: Encoder) -> DataFrame:
 def encode_distinct(rows: DataFrame, encoder: Encoder) -> DataFrame:
     """The same vectors, each different text encoded once.
 
-    For a costly model: fixed payments repeat one text without end. The texts are made distinct before
-    they shuffle; in the join back a text is one row on its side, so adaptive execution may split the
-    partition of a text that fills a large share of the rows.
+    For a costly model: fixed payments repeat one text without end. Texts are counted before they
+    shuffle, and the rows of a frequent text are joined back in several parts.
     """
-    texts = rows.select("search_text").distinct()
-    encoded = texts.withColumn("embedding", encoder(F.col("search_text")))
-    return rows.join(encoded, "search_text").select("tx_id", "embedding")
+    texts = rows.groupBy("search_text").agg(F.count(F.lit(1)).alias("n"))
+    encoded = texts.select("search_text", encoder(F.col("search_text")).alias("embedding"))
+    joined = join_unique(rows, encoded, "search_text", texts, "tx_id")
+    return joined.select("tx_id", "embedding")
 
 
 def build_vectors(transactions: DataFrame, encoder: Encoder, distinct: bool = True) -> DataFrame:

@@ -20,6 +20,7 @@ from paylens.fixed_values import (
 from paylens.functions.dates import span_text
 from paylens.functions.numbers import amount_literal, average, percent_change, total, variation
 from paylens.operators.filters import capped, detail, in_period, up_to_amount
+from paylens.operators.joins import join_unique
 
 
 def _within(name: str, value, least, greatest) -> None:
@@ -227,13 +228,14 @@ def amount_bounds(transactions: DataFrame) -> DataFrame:
     """Each transaction with the least and greatest amount of its counterparty.
 
     A window over the counterparty would pull all its rows into one task. The bounds are aggregated
-    instead and joined back: broadcast if they are small, else a join whose oversized partitions
-    adaptive execution splits (each counterparty is one row on the other side).
+    instead and joined back, the rows of a frequent counterparty in several parts.
     """
     bounds = transactions.groupBy("counterparty").agg(
-        F.min("amount").alias("min_amount"), F.max("amount").alias("max_amount")
+        F.min("amount").alias("min_amount"),
+        F.max("amount").alias("max_amount"),
+        F.count(F.lit(1)).alias("n"),
     )
-    return transactions.join(bounds, "counterparty")
+    return join_unique(transactions, bounds.drop("n"), "counterparty", bounds, "tx_id")
 
 
 QUERIES = {
