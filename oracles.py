@@ -432,8 +432,8 @@ ORACLES: dict[str, str] = {
         SELECT count(*) AS n_rows, min(CAST(split_part(date_span, ' .. ', 1) AS DATE)) AS date_from,
                max(CAST(split_part(date_span, ' .. ', 2) AS DATE)) AS date_to FROM result""",
     "result_standouts": f"""WITH {_tx('tx_orders')}, result AS ({_recurring()})
-        SELECT *, row_number() OVER (ORDER BY n DESC, counterparty) AS place FROM result
-        QUALIFY place <= 3""",
+        SELECT *, CAST(row_number() OVER (ORDER BY n DESC, counterparty) AS INTEGER) AS place
+        FROM result QUALIFY place <= 3""",
     "repeated_counterparties": f"""WITH {_tx('tx_supply')}, result AS ({_DUPLICATES})
         SELECT counterparty, count(*) AS n FROM result GROUP BY counterparty HAVING count(*) >= 3""",
     "display_top": f"WITH {_tx('tx_orders')} " + _display(
@@ -448,8 +448,8 @@ ORACLES: dict[str, str] = {
         f"{_money('new_amount')} AS new_amount, {_percent('change_pct')} AS change_pct, date_span",
         "change_pct DESC, counterparty", _price_rise()),
     "chosen_row": f"""WITH {_tx('tx_orders')}, result AS ({_recurring()})
-        SELECT *, row_number() OVER (ORDER BY n DESC, counterparty) AS "#" FROM result
-        QUALIFY "#" = 7""",
+        SELECT *, CAST(row_number() OVER (ORDER BY n DESC, counterparty) AS INTEGER) AS "#"
+        FROM result QUALIFY "#" = 7""",
     "result_json": f"""WITH {_tx('tx_orders')}, result AS ({_recurring()})
         SELECT CAST(to_json({{'counterparty': counterparty, 'n': n,
             'min_amount': CAST(min_amount AS VARCHAR), 'max_amount': CAST(max_amount AS VARCHAR),

@@ -42,22 +42,26 @@ def encode_rows(rows: DataFrame, encoder: Encoder) -> DataFrame:
     return rows.select("tx_id", encoder(F.col("search_text")).alias("embedding"))
 
 
-def encode_distinct(rows: DataFrame, encoder: Encoder) -> DataFrame:
+def encode_distinct(rows: DataFrame, encoder: Encoder, tasks: int | None = None) -> DataFrame:
     """The same vectors, each different text encoded once.
 
     For a costly model: fixed payments repeat one text without end. Texts are counted before they
-    shuffle, and the rows of a frequent text are joined back in several parts.
+    shuffle, and the rows of a frequent text are joined back in several parts. `tasks` sets how many
+    tasks encode; if not given, it follows the bytes of the texts, which says little about the model.
     """
     texts = rows.groupBy("search_text").agg(F.count(F.lit(1)).alias("n"))
-    encoded = texts.select("search_text", encoder(F.col("search_text")).alias("embedding"))
+    given = texts if tasks is None else texts.repartition(tasks)
+    encoded = given.select("search_text", encoder(F.col("search_text")).alias("embedding"))
     joined = join_unique(rows, encoded, "search_text", texts, "tx_id")
     return joined.select("tx_id", "embedding")
 
 
-def build_vectors(transactions: DataFrame, encoder: Encoder, distinct: bool = True) -> DataFrame:
+def build_vectors(
+    transactions: DataFrame, encoder: Encoder, distinct: bool = True, tasks: int | None = None
+) -> DataFrame:
     """Vector table of all transactions that have a search text."""
     rows = searchable(transactions)
-    return encode_distinct(rows, encoder) if distinct else encode_rows(rows, encoder)
+    return encode_distinct(rows, encoder, tasks) if distinct else encode_rows(rows, encoder)
 
 
 def encode_names(names: DataFrame, encoder: Encoder) -> DataFrame:

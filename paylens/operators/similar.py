@@ -10,19 +10,26 @@ from paylens.operators.filters import by_ids, detail
 from paylens.operators.vectors import nearest
 
 
+# Neighbours (short rows) that may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
 def _few(keys: DataFrame) -> list | None:
     """The keys, if they are no more than a result may hold."""
     taken = keys.limit(ROW_CAP + 1).collect()
     return [row[0] for row in taken] if len(taken) <= ROW_CAP else None
 
 
-def hydrate(neighbours: DataFrame, transactions: DataFrame, few: bool = False) -> DataFrame:
+def hydrate(
+    neighbours: DataFrame, transactions: DataFrame, at_most: int | None = None
+) -> DataFrame:
     """Neighbours with their transaction details; ids without a transaction are left out.
 
-    `few` tells that the queries were counted and are no more than `ROW_CAP`, so the neighbours
-    (`ROW_CAP * NEIGHBOURS` short rows at most) may be broadcast.
+    `at_most` tells how many neighbours there can be, if that is known; up to `BROADCAST_ROWS` they
+    are broadcast. Sort by `query_id, rank` to show them nearest first.
     """
-    small = F.broadcast(neighbours) if few else neighbours
+    is_small = at_most is not None and at_most <= BROADCAST_ROWS
+    small = F.broadcast(neighbours) if is_small else neighbours
     return detail(transactions).join(small, "tx_id").select(
         "query_id", "rank", "distance", "tx_id", "booking_date", "counterparty", "amount",
         "description",
@@ -65,7 +72,7 @@ def similar_by_id(
     sources = by_ids(vectors, ids) if few is None else vectors.where(F.col("tx_id").isin(few))
     queries = sources.select(F.col("tx_id").alias("query_id"), "embedding")
     found = nearest(queries, vectors, k, exclude_self=True)
-    return hydrate(found, transactions, few is not None)
+    return hydrate(found, transactions, None if few is None else len(few) * k)
 
 
 def similar_by_name(
@@ -78,7 +85,7 @@ def similar_by_name(
     """The k transactions nearest to each distinct counterparty name; `query_id` is the name."""
     few = _few(names.select("counterparty").distinct())
     found = nearest(encode_names(names, encoder), vectors, k)
-    return hydrate(found, transactions, few is not None)
+    return hydrate(found, transactions, None if few is None else len(few) * k)
 
 
 def similar_to_result(

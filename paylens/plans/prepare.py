@@ -54,7 +54,7 @@ def load_statements(
 
     One pass over the files reads, checks, counts and writes. If `strict`, a rejected row fails the
     load; otherwise rejects are left out and counted. An empty statement and a repeated id always fail
-    it. After a failure the table is as it was.
+    it. After a failure the table is as it was; the folder just written stays, to be looked into.
     """
     checked = check_statements(read_statements(spark, paths, multi_line))
     seen = Observation()
@@ -94,13 +94,18 @@ def fill_search_text(spark: SparkSession, table: str, base_path: str) -> int:
 
 
 def build_index(
-    spark: SparkSession, transactions_table: str, vectors_table: str, base_path: str,
+    spark: SparkSession,
+    transactions_table: str,
+    vectors_table: str,
+    base_path: str,
     encoder: Encoder,
+    tasks: int | None = None,
 ) -> int:
     """Encodes all search texts into the vector table, replacing vectors of the same id and keeping
     those of other ids. Gives the rows encoded; none is an error."""
     new_path = new_version_path(base_path)
-    counts = write_table(build_vectors(spark.table(transactions_table), encoder), new_path)
+    vectors = build_vectors(spark.table(transactions_table), encoder, tasks=tasks)
+    counts = write_table(vectors, new_path)
     if counts["rows"] == 0:
         raise ValueError("no transaction has a search text; fill them first")
     if not spark.catalog.tableExists(vectors_table):

@@ -8,7 +8,7 @@ from paylens.fixed_values import ROW_CAP
 from paylens.functions.dates import span_text
 from paylens.functions.numbers import percent_change
 from paylens.operators import payments as P
-from paylens.operators.filters import capped, in_period
+from paylens.operators.filters import by_id, by_ids, capped, in_period
 from paylens.operators.periods import dataset_bounds
 from paylens.plans.fixtures import view
 
@@ -94,6 +94,14 @@ def test_ties_are_broken_by_id(transactions):
     assert ids == ["1", "2", "3"]
 
 
+def test_lookups(spark, transactions):
+    tx = transactions([("a", 5, "2024-01-01"), ("b", 6, "2024-01-02")])
+    assert by_id(tx, "2").first().counterparty == "b" and by_id(tx, "3").count() == 0
+    ids = spark.createDataFrame([("2",), ("2",), ("9",)], "tx_id string")
+    assert [r.tx_id for r in by_ids(tx, ids).collect()] == ["2"]
+    assert by_ids(tx, ids.where("false")).count() == 0
+
+
 def test_one_day_and_reversed_period(transactions):
     tx = transactions([("a", 1, "2024-01-01"), ("a", 2, "2024-01-02")])
     day, later = date(2024, 1, 1), date(2024, 1, 2)

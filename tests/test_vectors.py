@@ -113,7 +113,7 @@ def test_distinct_texts_are_encoded_alike(spark):
     frames = [
         encode.build_vectors(tx, letter_profile, distinct=False),
         encode.build_vectors(tx, letter_profile),
-        encode.build_vectors(tx, batch),
+        encode.build_vectors(tx, batch, tasks=3),
     ]
     results = [{r.tx_id: r.embedding for r in f.collect()} for f in frames]
     assert sorted(results[0]) == ["0", "1", "2", "5"]
