@@ -4,6 +4,8 @@ import pytest
 from compare import database, differences
 
 import __spark_entry__ as entry
+from oracles import ORACLES
+from paylens.plans.registered import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -14,13 +16,14 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert QUERIES.keys() <= entry.queries().keys()
+    assert entry.oracle_sql().keys() <= entry.queries().keys()
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_same_as_sql(spark, con, name):
-    result = entry.queries()[name](spark, SF_DIR)
-    assert differences(result, con, entry.oracle_sql()[name]) is None
+    assert differences(QUERIES[name](spark, SF_DIR), con, ORACLES[name]) is None
 
 
 def test_entry(spark):
