@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ALPHABET = np.frombuffer(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8
@@ -47,7 +48,7 @@ def fingerprint_of(data: bytes) -> str:
     return f"{level}:{_letters(hashes, zeros, level)}:{_letters(hashes, zeros, level + 1)}"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def fingerprint(texts: pa.Array) -> pa.Array:
     """Fingerprint of each text; null counts as empty."""
     return pa.array(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paylens.llm.common import read
 from paylens.llm.fingerprints import edited_fingerprints
+from paylens.llm.simhash import as_digits, near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,8 +15,14 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", as_digits("fp").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op3_fingerprints": op3_fingerprints,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLES: dict[str, str] = {}
