@@ -6,11 +6,14 @@ Each piece gives one of 64 letters. The fingerprint is `level:letters:letters of
 lowest level with at most 64 pieces; the whole text is hashed whatever its length.
 """
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BinaryType, StringType, StructType
 
 ALPHABET = np.frombuffer(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8
@@ -91,74 +94,92 @@ def _bucket(value: Column, bounds: list[int]) -> Column:
     return F.when(value.isNull(), -1).otherwise(found)
 
 
-def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
+@F.arrow_udf(BinaryType())
+def packed(texts: pa.Array) -> pa.Array:
+    """Each text compressed, for moving it."""
+    press = zstandard.ZstdCompressor(level=3)
+    return pa.array([press.compress(d or b"") for d in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+
+@F.arrow_udf(StructType().add("sha256", StringType()).add("fingerprint", StringType()))
+def _edited(texts: pa.Array, others: pa.Array) -> pa.Array:
+    """Hash and fingerprint of each text with its last third taken from the start of the other."""
+    unpress = zstandard.ZstdDecompressor()
+    out = []
+    for own, other in zip(texts.to_pylist(), others.to_pylist()):
+        text, other = unpress.decompress(own).decode(), unpress.decompress(other).decode()
+        third = len(text) // 3
+        data = (text[: len(text) - third] + other[:third]).encode()
+        out.append((hashlib.sha256(data).hexdigest(), fingerprint_of(data)))
+    sha256, prints = zip(*out) if out else ((), ())
+    return pa.StructArray.from_arrays(
+        [pa.array(sha256, pa.string()), pa.array(prints, pa.string())], ["sha256", "fingerprint"]
+    )
+
+
+def with_next(rows: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
     """Gives each row, as struct `next`, the named columns of the row after it in descending `doc_id`.
 
-    The first row comes after the last. Rows of one id go by the hash of their text, null ids come
-    last. Ids are cut into ranges of about equal size, and each range also gets the first row of the
-    range below, so that the text moves once and no range holds more than its share. Where the range
-    bounds come from is a column of ids and hashes; the driver sees one row per range.
+    The first row comes after the last. Rows of one id go by descending `hash`, null ids come last.
+    Ids are cut into ranges of about equal size, and each range also gets the first row of the range
+    below, so that rows move once and no range holds more than its share. The driver sees the bounds
+    and one id and hash per range.
     """
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
     parts = [k / buckets for k in range(1, buckets)]
-    found = docs.select("doc_id").approxQuantile("doc_id", parts, 0.1 / buckets) if parts else []
-    keyed = keyed.withColumn("_range", _bucket(F.col("doc_id"), sorted({int(x) for x in found})))
+    found = rows.select("doc_id").approxQuantile("doc_id", parts, 0.1 / buckets) if parts else []
+    in_range = _bucket(F.col("doc_id"), sorted({int(x) for x in found}))
     heads = sorted(
-        docs.select("doc_id", F.xxhash64("text").alias("_hash"))
-        .withColumn("_range", _bucket(F.col("doc_id"), sorted({int(x) for x in found})))
-        .groupBy("_range")
-        .agg(F.max(F.struct("doc_id", "_hash")).alias("head"))
-        .collect()
+        rows.groupBy(in_range.alias("range")).agg(F.max(F.struct("doc_id", "hash")).alias("head")).collect()
     )
-    to = [heads[(k + 1) % len(heads)]["_range"] for k in range(len(heads))]
     firsts = spark.createDataFrame(
-        [(h["head"]["doc_id"], h["head"]["_hash"], t) for h, t in zip(heads, to)],
-        "_first_id long, _first_hash long, _also long",
+        [(*h["head"], heads[(k + 1) % len(heads)]["range"]) for k, h in enumerate(heads)],
+        "_first_id long, _first_hash long, _also int",
     )
-    placed = keyed.join(
+    placed = rows.join(
         F.broadcast(firsts),
-        F.col("doc_id").eqNullSafe(F.col("_first_id")) & (F.col("_hash") == F.col("_first_hash")),
+        F.col("doc_id").eqNullSafe(F.col("_first_id")) & (F.col("hash") == F.col("_first_hash")),
         "left",
     )
-    home = F.struct(F.col("_range").cast("long").alias("range"), F.lit(0).alias("copy"))
+    home = F.struct(in_range.alias("range"), F.lit(0).alias("copy"))
     also = F.struct(F.col("_also").alias("range"), F.lit(1).alias("copy"))
-    spread = placed.withColumn(
-        "_place", F.explode(F.when(F.col("_also").isNull(), F.array(home)).otherwise(F.array(home, also)))
-    )
+    both = F.when(F.col("_also").isNull(), F.array(home)).otherwise(F.array(home, also))
     order = Window.partitionBy(F.col("_place.range")).orderBy(
-        F.col("_place.copy"), F.col("doc_id").desc_nulls_last(), F.col("_hash").desc()
+        F.col("_place.copy"), F.col("doc_id").desc_nulls_last(), F.col("hash").desc()
+    )
+    return (
+        placed.withColumn("_place", F.explode(both))
+        .withColumn("next", F.lead(F.struct(*columns)).over(order))
+        .where("_place.copy = 0")
+        .select(*rows.columns, "next")
     )
-    return spread.withColumn("next", F.lead(F.struct(*columns)).over(order)).where("_place.copy = 0")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of all documents and of their texts with the last third taken from the next one.
 
     Takes `doc_id` and `text`; other columns are not looked at. A null text counts as empty, equal
-    rows follow each other, a single document follows itself, no document gives no row.
+    rows follow each other, a single document follows itself, no document gives no row. Texts move
+    compressed.
     """
+    text = F.coalesce("text", F.lit(""))
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    rows = rows.withColumn("fingerprint", fingerprint("text")).withColumn(
-        "n_chars", F.length("text").cast("long")
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.length(text).cast("long").alias("n_chars"),
+        F.xxhash64(text).alias("hash"),
+        fingerprint("text").alias("fingerprint"),
+        packed("text").alias("packed"),
     )
-    third = F.floor(F.col("n_chars") / 3).cast("int")
-    edited = with_next(rows, ["text", "fingerprint"]).withColumn(
-        "edited",
-        F.concat(
-            F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")),
-            F.substring(F.col("next.text"), F.lit(1), third),
-        ),
+    edited = with_next(rows, ["packed", "fingerprint"]).withColumn(
+        "edited", _edited("packed", "next.packed")
     )
-    return edited.withColumn("edited_fingerprint", fingerprint("edited")).select(
+    return edited.select(
         "doc_id",
         "n_chars",
-        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        F.col("edited.sha256").alias("edited_sha256"),
         "fingerprint",
-        "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        F.col("edited.fingerprint").alias("edited_fingerprint"),
+        likeness(F.col("fingerprint"), F.col("edited.fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next.fingerprint")).alias("near_next"),
     )
