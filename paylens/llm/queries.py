@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from paylens.llm.common import read
 from paylens.llm.fingerprints import edited_fingerprints
 from paylens.llm.simhash import as_digits, near_duplicates
+from paylens.llm.warc import read_archives, write_archives
+from paylens.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,9 +22,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", as_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    write_archives(read(spark, sf_dir, "pages"), path)
+    return read_archives(spark, path).drop("payload")
+
+
 QUERIES: dict[str, Query] = {
     "op3_fingerprints": op3_fingerprints,
     "op8_simhash": op8_simhash,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {}
