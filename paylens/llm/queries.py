@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paylens.llm.common import read
 from paylens.llm.fingerprints import edited_fingerprints
+from paylens.llm.language import identify
+from paylens.llm.quality import score_documents
 from paylens.llm.simhash import as_digits, near_duplicates
 from paylens.llm.warc import read_archives, write_archives
 from paylens.session import scratch_path
@@ -17,6 +19,14 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", as_digits("fp").alias("fingerprint"), "component_id")
@@ -30,6 +40,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_fingerprints": op3_fingerprints,
+    "op5_quality": op5_quality,
+    "op6_language": op6_language,
     "op8_simhash": op8_simhash,
     "op10_warc": op10_warc,
 }

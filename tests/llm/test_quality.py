@@ -1,0 +1,90 @@
+"""Quality classifier: statistics, densities, held-out accuracy and odd rows."""
+
+import math
+import zlib
+
+import numpy as np
+import pytest
+
+from paylens.llm import quality as Q
+from paylens.llm.common import read
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+def test_statistics():
+    row = dict(zip(Q.FEATURES, Q.statistics("Aé 12 $$\nto to\n\nto to".encode())))
+    size = 22 + Q.PROSE_BYTES
+    assert row["digits"] == pytest.approx(math.sqrt(2 / size))
+    assert row["symbols"] == pytest.approx(math.sqrt(2 / size))
+    assert row["wide"] == pytest.approx(math.sqrt((2 + 0.02 * Q.PROSE_BYTES) / size))
+    assert row["top_word"] == pytest.approx(math.sqrt(5 / 17))
+    assert row["same_next"] == pytest.approx(math.sqrt(3 / 17))
+    assert row["distinct_lines"] == pytest.approx(5 / 6)
+    assert row["word_length"] == pytest.approx(math.log((3 + 2 + 2 + 8 + 50) / 17))
+    assert all(np.isfinite(Q.statistics(d)).all() for d in (b"", b"\n", b"x", b"a " * 100_000, "ß".encode() * 9))
+
+
+def test_densities():
+    rng = np.random.default_rng(0)
+    data = {k: rng.normal(k, 1 + k, (400, Q.SIZE)) @ rng.normal(size=(Q.SIZE, Q.SIZE)) for k in (0, 1)}
+    model = Q.model_of({k: (len(x), x.sum(0), x.T @ x) for k, x in data.items()})
+    x = np.concatenate(list(data.values()))
+    z = (x - x.mean(0)) / x.std(0)
+    parts = z[:400], z[400:]
+    cov = [np.cov(p.T, bias=True) for p in parts]
+    logs = []
+    for p, own in zip(parts, cov):
+        mixed = (1 - Q.TO_POOLED) * own + Q.TO_POOLED * (cov[0] + cov[1]) / 2
+        full = (1 - Q.TO_IDENTITY) * mixed + Q.TO_IDENTITY * np.trace(mixed) / Q.SIZE * np.eye(Q.SIZE)
+        away = z - p.mean(0)
+        logs.append(-0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(full), away) - 0.5 * np.linalg.slogdet(full)[1])
+    assert np.allclose(model.scores(x), 1 / (1 + np.exp(-np.clip(logs[1] - logs[0], -500, 500))))
+    assert (model.scores(x[:5] * 1e6) >= 0).all()
+
+
+def test_held_out_documents(spark):
+    docs, labels = read(spark, SF_DIR, "documents"), read(spark, SF_DIR, "labels")
+    got = {r.doc_id: r for r in Q.score_documents(docs, labels).collect()}
+    assert len(got) == docs.count()
+    for k, r in got.items():
+        assert r.held_out == (zlib.crc32(str(k).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    known = [(got[r.doc_id], r.quality) for r in labels.collect() if got[r.doc_id].held_out]
+    good = [r.score for r, q in known if q == 1]
+    bad = [r.score for r, q in known if q == 0]
+    assert len(bad) > 5
+    assert np.mean([g > b for g in good for b in bad]) > 0.99
+    assert np.mean([r.predicted == q for r, q in known]) > 0.97
+    kept = {r.doc_id for r in Q.keep_good(docs, labels).collect()}
+    assert kept == {k for k, r in got.items() if r.predicted}
+
+
+def test_held_out_labels_do_not_teach(spark):
+    docs, labels = read(spark, SF_DIR, "documents"), read(spark, SF_DIR, "labels")
+    turned = labels.selectExpr(
+        "doc_id", "IF(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 0, 1 - quality, quality) AS quality"
+    )
+    one = {r.doc_id: r.score for r in Q.score_documents(docs, labels).collect()}
+    two = {r.doc_id: r.score for r in Q.score_documents(docs, turned).collect()}
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in one)
+
+
+def test_odd_rows(spark):
+    docs = spark.createDataFrame(
+        [(None, "some words", 1.0), (1, None, 2.0), (1, "", None), (2, "A!" * 20_000, 3.0), (2, "A!" * 20_000, 3.0)],
+        "doc_id long, text string, score double",
+    )
+    labels = spark.createDataFrame([(2, 0, 1), (1, 1, 0), (None, 1, 0), (2, None, 0), (99, 1, 0)],
+                                   "doc_id long, quality int, label int")
+    got = Q.score_documents(docs, labels).collect()
+    assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
+    assert [r.held_out for r in got if r.doc_id is None] == [True]
+    same = [r.score for r in got if r.doc_id == 2]
+    assert same[0] == same[1]
+    none = Q.score_documents(docs, labels.where("false")).collect()
+    assert {r.score for r in none} == {0.5}
+    assert {r.score for r in Q.score_documents(docs, labels.where("quality = 1")).collect()} == {1.0}
+    assert Q.keep_good(docs, labels.where("false")).columns == docs.columns
+    assert Q.keep_good(docs, labels.where("false")).count() == 5
+    assert Q.score_documents(docs.where("false"), labels).collect() == []
