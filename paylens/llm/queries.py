@@ -9,12 +9,17 @@ from paylens.llm.fingerprints import edited_fingerprints
 from paylens.llm.language import identify
 from paylens.llm.quality import score_documents
 from paylens.llm.simhash import as_digits, near_duplicates
+from paylens.llm.tokens import pack_documents
 from paylens.llm.warc import read_archives, write_archives
 from paylens.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(read(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_packed_ids": op2_packed_ids,
     "op3_fingerprints": op3_fingerprints,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
