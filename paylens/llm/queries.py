@@ -3,10 +3,12 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paylens.llm.common import read
 from paylens.llm.fingerprints import edited_fingerprints
 from paylens.llm.language import identify
+from paylens.llm.mixture import pack_mixture
 from paylens.llm.quality import score_documents
 from paylens.llm.simhash import as_digits, near_duplicates
 from paylens.llm.tokens import pack_documents
@@ -32,6 +34,24 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
+def packed_pieces(pieces: DataFrame) -> DataFrame:
+    """Pieces with a checksum in place of their ids."""
+    return pieces.select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+        "source",
+    )
+
+
+def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(pack_mixture(read(spark, sf_dir, "documents")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", as_digits("fp").alias("fingerprint"), "component_id")
@@ -48,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op3_fingerprints": op3_fingerprints,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
+    "op7_mixture": op7_mixture,
     "op8_simhash": op8_simhash,
     "op10_warc": op10_warc,
 }
