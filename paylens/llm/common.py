@@ -1,6 +1,8 @@
 """Reading tables, cutting lineage and connected components, shared by the operators."""
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paylens.session import scratch_path
@@ -18,6 +20,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once per row, also where lambdas inside `body` use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def components(links: DataFrame) -> DataFrame:
     """The smallest node that each linked node can reach.
 

@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paylens.llm import decontaminate, lines
 from paylens.llm.common import read
 from paylens.llm.fingerprints import edited_fingerprints
 from paylens.llm.language import identify
@@ -26,6 +27,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_lines(read(spark, sf_dir, "documents")).drop("copy")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -57,6 +62,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", as_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archives(read(spark, sf_dir, "pages"), path)
@@ -66,11 +75,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_packed_ids": op2_packed_ids,
     "op3_fingerprints": op3_fingerprints,
+    "op4_lines": op4_lines,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
     "op7_mixture": op7_mixture,
     "op8_simhash": op8_simhash,
+    "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_lines": lines.ORACLE,
+    "op9_decontamination": decontaminate.ORACLE,
+}

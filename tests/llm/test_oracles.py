@@ -1,0 +1,14 @@
+"""Text queries against their SQL."""
+
+import pytest
+from compare import database, differences
+
+from paylens.llm.queries import ORACLES, QUERIES
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", list(ORACLES))
+def test_same_as_sql(spark, name):
+    result = QUERIES[name](spark, SF_DIR)
+    assert differences(result, database(SF_DIR), ORACLES[name]) is None
