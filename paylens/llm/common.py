@@ -13,10 +13,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes rows to the shared folder and reads them back: computed once, safe from lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -25,6 +25,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(values: Column, zero: Column, fold: Callable[[Column, Column], Column]) -> Column:
+    """For each place of a non-empty array, the fold of all values before it.
+
+    Folds of whole blocks are taken first, so that a long array costs little more than its length.
+    """
+    block = 64
+
+    def body(v: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int"))
+        blocks = F.transform(starts, lambda c: F.aggregate(F.slice(v, F.lit(1), c * block), zero, fold))
+        return let(blocks, lambda b: F.transform(v, lambda _, i: within(v, b, i)))
+
+    def within(v: Column, blocks: Column, i: Column) -> Column:
+        c = F.floor(i / block).cast("int")
+        return fold(F.get(blocks, c), F.aggregate(F.slice(v, c * block + 1, i - c * block), zero, fold))
+
+    return let(values, body)
+
+
 def components(links: DataFrame) -> DataFrame:
     """The smallest node that each linked node can reach.
 

@@ -10,6 +10,7 @@ from paylens.llm.common import read
 from paylens.llm.fingerprints import edited_fingerprints
 from paylens.llm.language import identify
 from paylens.llm.mixture import pack_mixture
+from paylens.llm.pii import span_digests
 from paylens.llm.quality import score_documents
 from paylens.llm.simhash import as_digits, near_duplicates
 from paylens.llm.tokens import pack_documents
@@ -19,6 +20,10 @@ from paylens.session import scratch_path
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(read(spark, sf_dir, "documents"))
+
+
 def op2_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
 
@@ -73,6 +78,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pii": op1_pii,
     "op2_packed_ids": op2_packed_ids,
     "op3_fingerprints": op3_fingerprints,
     "op4_lines": op4_lines,
