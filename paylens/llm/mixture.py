@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,8 +124,9 @@ class Deal:
 
 def _cut(shards: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pieces of documents by shard, with their place in the source's whole queue."""
+        """Pieces of documents by shard, with their place in the source's whole queue; ids compressed."""
         deals: dict[str | None, Deal] = {}
+        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             rows, size = [], 0
             for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "ids", "n", "place", "total"))):
@@ -134,7 +136,8 @@ def _cut(shards: int):
                 while start < n:
                     shard = deal.shard(place + start)
                     end = min(n, deal.first(shard + 1) - place)
-                    rows.append((shard, source, place + start, doc_id, start, n, total, ids[4 * start : 4 * end]))
+                    own = press.compress(ids[4 * start : 4 * end])
+                    rows.append((shard, source, place + start, doc_id, start, n, total, own))
                     start = end
                 size += len(ids)
                 if size >= 1 << 23:
@@ -180,7 +183,9 @@ def _pack(shards: int, targets: dict | None, length: int):
     def pack(group: pa.Table) -> pa.Table:
         """The pieces of one shard in their windows."""
         queues: dict[str | None, list[dict]] = {}
+        unpress = zstandard.ZstdDecompressor()
         for row in group.to_pylist():
+            row["ids"] = unpress.decompress(row["ids"])
             queues.setdefault(row["source"], []).append(row)
         deals = {}
         for source, rows in queues.items():
@@ -233,7 +238,7 @@ def pack_mixture(
     `offset` in the sequence, and `ids`. Only the last sequence of a shard may be short. The driver sees
     the number of ids; no document gives no row.
     """
-    tokens = stored(document_tokens(docs, path or tokenizer_path()), "tokens")
+    tokens = stored(document_tokens(docs, path or tokenizer_path()), "tokens", "zstd")
     sums = tokens.groupBy("source", "task").agg(F.sum("n").alias("sum"))
     of_source = Window.partitionBy("source")
     before = of_source.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
