@@ -5,21 +5,20 @@ same words, or differs in one word added, left out or changed; for the latter it
 `EDIT_WORDS` words. Two such lines share a variant: the words without one of them, or one line's words
 and the other's without one. So variants are hashed, equal ones meet in a group, and the earliest line
 of the group is all that the others need; no pairs are listed. As either the first or the second half
-of two such lines is equal, only lines that share a half with another one emit variants. The words of
-a line and of the earlier one it is said to repeat are compared in the end. DataFrame functions only.
+of two such lines is equal, only lines that share a half with another one emit variants, and only those
+that leave out a word of the other half. The words of a line and of the earlier one it is said to
+repeat are compared in the end. DataFrame functions only.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paylens.llm.common import let, stored
+from paylens.llm.common import let, running, stored
 
 # Words that a line must have to be matched with one edit.
 EDIT_WORDS = 8
 # Rows with half of a match up to this many are broadcast (24 bytes each); more are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
-# Words whose hashes are folded at once.
-_FOLD = 64
 
 
 def line_words(line: Column) -> Column:
@@ -65,16 +64,17 @@ def _hashed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _xor(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+def _xor(x: Column, y: Column) -> Column:
+    return x.bitwiseXOR(y)
 
 
-def _zipped(x: Column, y: Column) -> Column:
-    return F.zip_with(x, y, lambda a, b: a.bitwiseXOR(b))
+def _xor_all(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), _xor)
 
 
 def _variants(lines: DataFrame) -> DataFrame:
     """Keys under which a line meets others, with `side`: 0 meets 0, 1 (whole) meets 2 (one word less).
+    Only words are left out that the line's `ROLES` ask for.
 
     With g(w, j) the hash of word w at place j, a sequence is the XOR of its g. Leaving out word i moves
     the later words down by one: all g(w, j - 1), with those before i put back, without word i itself.
@@ -82,35 +82,34 @@ def _variants(lines: DataFrame) -> DataFrame:
     def rests(words: Column) -> Column:
         here = F.transform(words, lambda w, j: F.xxhash64(w, j))
         down = F.transform(words, lambda w, j: F.xxhash64(w, j - 1))
-        return let(here, lambda h: let(down, lambda d: let(_zipped(h, d), lambda back: all_rests(h, d, back))))
+        return let(here, lambda h: let(down, lambda d: let(back(h, d), lambda put: all_rests(h, d, put))))
 
-    def all_rests(here: Column, down: Column, back: Column) -> Column:
-        blocks = F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(back) - 1) / _FOLD).cast("int")),
-            lambda c: _xor(F.slice(back, F.lit(1), c * _FOLD)),
-        )
-        return let(blocks, lambda b: let(_xor(down), lambda total: F.struct(
-            _xor(here).alias("whole"),
-            F.transform(down, lambda own, i: F.struct(i.alias("i"), without(back, b, total, own, i).alias("rest"))).alias("rests"),
-        )))
-
-    def without(back: Column, blocks: Column, total: Column, own: Column, i: Column) -> Column:
-        block = F.floor(i / _FOLD).cast("int")
-        inside = _xor(F.slice(back, block * _FOLD + 1, i - block * _FOLD))
-        return total.bitwiseXOR(own).bitwiseXOR(F.get(blocks, block)).bitwiseXOR(inside)
-
-    rows = lines.select("a", "b", "first", "n", rests(F.col("words")).alias("hashed")).select(
-        "a", "b", "first", "n", "hashed.whole", "hashed.rests"
-    )
-    changed = F.transform(
-        "rests", lambda r: F.struct(F.xxhash64(F.col("n"), r["i"], r["rest"]).alias("key"), F.lit(0).alias("side"))
+    def back(here: Column, down: Column) -> Column:
+        return running(F.zip_with(here, down, _xor), F.lit(0).cast("long"), _xor)
+
+    def all_rests(here: Column, down: Column, put_back: Column) -> Column:
+        def without(total: Column) -> Column:
+            left = F.zip_with(down, put_back, lambda own, before: _xor(_xor(total, own), before))
+            return F.transform(left, lambda rest, i: F.struct(i.alias("i"), rest.alias("rest")))
+
+        return F.struct(_xor_all(here).alias("whole"), let(_xor_all(down), without).alias("rests"))
+
+    n, half = F.col("n"), F.floor(F.col("n") / 2)
+    rows = lines.select("first", "n", *ROLES, rests(F.col("words")).alias("hashed"))
+    changes = F.filter(
+        "hashed.rests",
+        lambda r: (F.col("changed_late") & (r["i"] >= half)) | (F.col("changed_early") & (r["i"] < half)),
     )
-    shorter = F.transform(
-        F.array_distinct(F.transform("rests", lambda r: r["rest"])),
-        lambda rest: F.struct(F.xxhash64(F.col("n") - 1, rest).alias("key"), F.lit(2).alias("side")),
+    late, early = F.floor((n - 1) / 2), n - F.ceil((n - 1) / 2)
+    leaves = F.filter(
+        "hashed.rests",
+        lambda r: (F.col("longer_late") & (r["i"] >= late)) | (F.col("longer_early") & (r["i"] < early)),
     )
-    whole = F.array(F.struct(F.xxhash64(F.col("n"), F.col("whole")).alias("key"), F.lit(1).alias("side")))
-    return rows.select("a", "b", "first", F.inline(F.concat(changed, shorter, whole)))
+    key = lambda *parts, side: F.struct(F.xxhash64(*parts).alias("key"), F.lit(side).alias("side"))
+    changed = F.transform(changes, lambda r: key(n, r["i"], r["rest"], side=0))
+    shorter = F.transform(F.array_distinct(F.transform(leaves, lambda r: r["rest"])), lambda r: key(n - 1, r, side=2))
+    whole = F.filter(F.array(key(n, F.col("hashed.whole"), side=1)), lambda _: F.col("whole"))
+    return rows.select("first", F.inline(F.concat(changed, shorter, whole)))
 
 
 def _one_edit(long: Column, short: Column) -> Column:
@@ -124,15 +123,43 @@ def _one_edit(long: Column, short: Column) -> Column:
     return F.when(n == m, rest == same).when(n == m + 1, rest == moved).otherwise(False)
 
 
-def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Lines that an earlier one differs from by one word: `a`, `b` and `of`, the earlier one's place."""
-    halves = distinct.select("a", "b", F.explode("halves").alias("half")).where("half IS NOT NULL")
-    shared = halves.groupBy("half").agg(F.min("a").alias("least"), F.max("a").alias("most"))
-    shared = stored(shared.where("least <> most").select("half"), "shared")
-    some = halves.join(shared, "half", "left_semi").select("a", "b").distinct()
-    some = stored(
-        some.join(distinct.select("a", "b", "n", "first"), ["a", "b"]).select("a", "b", "n", "first", "first.*"), "some"
+# What a line has with others: an equal half, the other of which may have a word changed; an equal half
+# with a line one word shorter; or one with a line one word longer.
+ROLES = ("changed_late", "changed_early", "longer_late", "longer_early", "whole")
+
+
+def _roles(lines: DataFrame) -> DataFrame:
+    """Lines (by `a`) that share a half with another line, and what for."""
+    halves = lines.select("a", F.posexplode("halves").alias("role", "half")).where("half IS NOT NULL")
+    own = F.col("role") < 2
+    shared = (
+        halves.groupBy("half")
+        .agg(
+            F.min(F.when(own, F.col("a"))).alias("least"),
+            F.max(F.when(own, F.col("a"))).alias("most"),
+            F.bool_or(~own).alias("longer"),
+        )
+        .select("half", (F.col("least") != F.col("most")).alias("equal"), F.col("longer"), "least")
+        .where("equal OR (least IS NOT NULL AND longer)")
+        .select("half", "equal", "longer")
+    )
+    met = halves.join(stored(shared, "shared"), "half")
+    flags = (
+        (F.col("role") == 0) & F.col("equal"),
+        (F.col("role") == 1) & F.col("equal"),
+        (F.col("role") == 2) & F.col("longer"),
+        (F.col("role") == 3) & F.col("longer"),
+        own & F.col("longer"),
     )
+    found = met.groupBy("a").agg(*[F.bool_or(f).alias(name) for f, name in zip(flags, ROLES)])
+    return found.where(" OR ".join(ROLES))
+
+
+def _near(docs: DataFrame, lines: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Lines that an earlier one differs from by one word: `a`, `b`, their `first` place and `of`, the
+    earlier one's."""
+    some = distinct.join(stored(_roles(lines), "roles"), "a")
+    some = stored(some.select("a", "b", "n", "first", *ROLES, "first.*"), "some")
     places = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
     texts = _exploded(docs).withColumnRenamed("doc_id", "id")
     same = (
@@ -140,7 +167,7 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         & (texts["copy"] == places["copy"])
         & (texts["line"] == places["line"])
     )
-    lines = texts.join(places, same).select("a", "b", "n", "first", "words").dropDuplicates(["a", "b"])
+    lines = texts.join(places, same).select("a", "b", "n", "first", *ROLES, "words").dropDuplicates(["a", "b"])
     lines = stored(lines, "words")
     keys = stored(_variants(lines), "variants")
     of_side = [F.min(F.when(F.col("side") == s, F.col("first"))).alias(f"first_{s}") for s in (0, 1, 2)]
@@ -150,18 +177,18 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         "of",
         F.when(F.col("side") == 0, F.col("first_0")).when(F.col("side") == 1, F.col("first_2")).otherwise(F.col("first_1")),
     )
-    earliest = met.where("of < first").groupBy("a", "b").agg(F.min("of").alias("of"))
+    earliest = met.where("of < first").groupBy("first").agg(F.min("of").alias("of"))
     earliest = stored(earliest, "earliest").withColumn("of_hash", F.xxhash64("of"))
-    own = lines.select("a", "b", F.col("words").alias("own"))
+    own = lines.select("a", "b", "first", F.col("words").alias("own"))
     other = lines.select(
         F.xxhash64("first").alias("of_hash"), F.col("first").alias("of_first"), F.col("words").alias("other")
     )
-    pairs = earliest.join(own, ["a", "b"]).join(other, "of_hash").where(F.col("of").eqNullSafe(F.col("of_first")))
+    pairs = earliest.join(own, "first").join(other, "of_hash").where("of <=> of_first")
     longer = F.size("own") >= F.size("other")
     verified = _one_edit(
         F.when(longer, F.col("own")).otherwise(F.col("other")), F.when(longer, F.col("other")).otherwise(F.col("own"))
     )
-    return pairs.where(verified).select("a", "b", "of")
+    return pairs.where(verified).select("a", "b", "first", "of")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -176,16 +203,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     lines = stored(_hashed(docs), "lines")
     place = F.struct("doc_id", "copy", "line")
     distinct = stored(
-        lines.groupBy("a", "b")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"), F.any_value("n").alias("n"), F.any_value("halves").alias("halves")),
-        "distinct",
+        lines.groupBy("a", "b", "n").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows")), "distinct"
     )
-    near = stored(_near(docs, distinct), "near")
+    near = _near(docs, lines, distinct)
+    several = distinct.where(F.col("rows") > 1).select("a", "b", "first", F.lit(None).alias("of"))
     again = stored(
-        distinct.select("a", "b", "first", "last")
-        .join(near, ["a", "b"], "left")
-        .where("of IS NOT NULL OR first <> last")
-        .select("a", "b", "first", "of"),
+        near.unionByName(several).groupBy("a", "b").agg(F.any_value("first").alias("first"), F.max("of").alias("of")),
         "again",
     )
     found = lines.select("doc_id", "copy", "line", "a", "b").join(again, ["a", "b"])
