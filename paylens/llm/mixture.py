@@ -258,3 +258,17 @@ def pack_mixture(
     ).select("doc_id", "source", "ids", "n", (F.col("base") + F.col("at")).alias("place"), "total")
     pieces = placed.mapInArrow(_cut(shards), _CUT_SCHEMA)
     return pieces.groupBy("shard").applyInArrow(_pack(shards, targets, length), PIECES_SCHEMA)
+
+
+def packed_pieces(pieces: DataFrame) -> DataFrame:
+    """Pieces with a checksum in place of their ids."""
+    return pieces.select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+        "source",
+    )

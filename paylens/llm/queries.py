@@ -3,13 +3,13 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+import corpus_pipeline
 from paylens.llm import decontaminate, lines
 from paylens.llm.common import read
 from paylens.llm.fingerprints import edited_fingerprints
 from paylens.llm.language import identify
-from paylens.llm.mixture import pack_mixture
+from paylens.llm.mixture import pack_mixture, packed_pieces
 from paylens.llm.pii import span_digests
 from paylens.llm.quality import score_documents
 from paylens.llm.simhash import as_digits, near_duplicates
@@ -44,20 +44,6 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
-def packed_pieces(pieces: DataFrame) -> DataFrame:
-    """Pieces with a checksum in place of their ids."""
-    return pieces.select(
-        "doc_id",
-        "start",
-        "length",
-        F.crc32("ids").alias("ids_crc32"),
-        "doc_tokens",
-        "sequence_id",
-        "offset",
-        "source",
-    )
-
-
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(pack_mixture(read(spark, sf_dir, "documents")))
 
@@ -88,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
