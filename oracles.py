@@ -18,7 +18,7 @@ from paylens.operators.routing import (
     MONTH_PATTERN,
     PERCENT_PATTERN,
 )
-from paylens.plans.fixtures import QUESTIONS, RAW_STATEMENTS, REPLIES, VIEWS
+from paylens.plans.fixtures import GAPS, NAMES, QUESTIONS, RAW_STATEMENTS, REPLIES, VIEWS
 from paylens.plans.registered import FROM, TODAY, TO
 
 _WS = " || ".join(f"chr({ord(c)})" for c in WHITE_SPACE)
@@ -35,10 +35,7 @@ def _between(period) -> str:
 
 
 def _norm(x: str) -> str:
-    return (
-        f"trim(regexp_replace(regexp_replace(lower({x}), '[^{SEARCH_LETTERS} ]+', ' ', 'g'), "
-        f"' +', ' ', 'g'))"
-    )
+    return f"array_to_string(regexp_extract_all(lower({x}), '[{SEARCH_LETTERS}]+'), ' ')"
 
 
 def _strip(x: str) -> str:
@@ -58,13 +55,12 @@ def _recurring(period=_ALL) -> str:
                round(avg(amount), 2) AS avg_amount, round(sum(amount), 2) AS total_amount,
                concat(min(booking_date), ' .. ', max(booking_date)) AS date_span
         FROM tx WHERE {_between(period)}
-        GROUP BY counterparty HAVING count(*) >= 2 ORDER BY n DESC, counterparty LIMIT 1000"""
+        GROUP BY counterparty HAVING count(*) >= 2"""
 
 
 _DUPLICATES = f"""
     SELECT booking_date, counterparty, amount, count(*) AS n FROM tx WHERE {_between(_ALL)}
-    GROUP BY booking_date, counterparty, amount HAVING count(*) >= 2
-    ORDER BY n DESC, booking_date DESC, amount DESC, counterparty LIMIT 1000"""
+    GROUP BY booking_date, counterparty, amount HAVING count(*) >= 2"""
 
 
 def _small(max_amount, min_count) -> str:
@@ -72,25 +68,31 @@ def _small(max_amount, min_count) -> str:
         SELECT counterparty, count(*) AS n, round(sum(amount), 2) AS total_amount,
                round(avg(amount), 2) AS avg_amount
         FROM tx WHERE amount <= {max_amount} AND {_between(_ALL)}
-        GROUP BY counterparty HAVING count(*) >= {min_count}
-        ORDER BY n DESC, total_amount DESC, counterparty LIMIT 1000"""
+        GROUP BY counterparty HAVING count(*) >= {min_count}"""
 
 
 def _price_rise(min_count=3, pct=5.0, period=_ALL) -> str:
+    """From how often each price was charged; its cheapest and dearest are looked up there."""
     return f"""
-        SELECT counterparty, count(*) AS n, min_s AS old_amount, max_s AS new_amount,
-               round((max_s - min_s) / min_s * 100, 1) AS change_pct,
-               concat(min(booking_date), ' .. ', max(booking_date)) AS date_span
-        FROM (SELECT counterparty, booking_date, amount,
-                     min(amount) OVER (PARTITION BY counterparty) AS min_s,
-                     max(amount) OVER (PARTITION BY counterparty) AS max_s
-              FROM tx WHERE {_between(period)})
-        GROUP BY counterparty, min_s, max_s
-        HAVING count(*) >= {min_count} AND max_s > min_s * (1 + {pct} / 100.0)
-           AND max_s <= min_s * 1.8 AND stddev_samp(amount) / avg(amount) <= 0.4
-           AND count(CASE WHEN amount = min_s THEN 1 END) >= 2
-           AND count(CASE WHEN amount = max_s THEN 1 END) >= 2
-        ORDER BY change_pct DESC, counterparty LIMIT 1000"""
+        SELECT * FROM (WITH charged AS (
+            SELECT counterparty, amount AS price, count(*) AS times, min(booking_date) AS since,
+                   max(booking_date) AS until
+            FROM tx WHERE {_between(period)} GROUP BY ALL),
+        summary AS (
+            SELECT counterparty, CAST(sum(times) AS BIGINT) AS n, min(price) AS cheap, max(price) AS dear,
+                   concat(min(since), ' .. ', max(until)) AS date_span
+            FROM charged GROUP BY counterparty),
+        steady AS (
+            SELECT counterparty FROM tx WHERE {_between(period)}
+            GROUP BY counterparty HAVING stddev_samp(amount) <= 0.4 * avg(amount))
+        SELECT s.counterparty, n, cheap AS old_amount, dear AS new_amount,
+               round((dear - cheap) / cheap * 100, 1) AS change_pct, date_span
+        FROM summary s SEMI JOIN steady USING (counterparty)
+        JOIN charged a ON a.counterparty = s.counterparty AND a.price = cheap
+        JOIN charged b ON b.counterparty = s.counterparty AND b.price = dear
+        WHERE a.times >= 2 AND b.times >= 2 AND n >= {min_count}
+          AND dear BETWEEN cheap * (1 + {pct} / 100.0) AND cheap * 1.8
+          AND dear <> cheap * (1 + {pct} / 100.0))"""
 
 
 # Statements
@@ -171,8 +173,7 @@ _HYDRATED = """
     FROM neighbours JOIN tx USING (tx_id)"""
 _SIMILAR_TOP = f"""
     {_tx('tx_orders')}, vectors AS ({_VECTORS}),
-    top AS (SELECT tx_id FROM tx WHERE tx_id IN (SELECT tx_id FROM vectors)
-            ORDER BY amount DESC, tx_id LIMIT 50),
+    top AS (SELECT tx_id FROM tx ORDER BY amount DESC, tx_id LIMIT 50),
     queries AS (SELECT tx_id AS query_id, embedding FROM vectors WHERE tx_id IN (SELECT tx_id FROM top)),
     {_nearest(True)}, found AS ({_HYDRATED}),
     shared AS (
@@ -365,6 +366,12 @@ ORACLES: dict[str, str] = {
     "top_transactions_desc": f"WITH {_tx('tx_orders')} {_top('DESC', 10)}",
     "top_transactions_asc": f"WITH {_tx('tx_orders')} {_top('ASC', 50, _SOME)}",
     "recurring_payments": f"WITH {_tx('tx_orders')} {_recurring()}",
+    "row_cap": f"WITH {_tx('tx_orders')} {_recurring()} ORDER BY n DESC, counterparty LIMIT 1000",
+    "row_by_id": f"""WITH {_tx('tx_orders')}
+        SELECT tx_id, booking_date, counterparty, amount, description FROM tx WHERE tx_id = '7'""",
+    "name_problems": f"""SELECT DISTINCT counterparty,
+            CASE WHEN {_strip('counterparty')} IS NULL THEN 'empty name' ELSE 'nothing left of the name' END AS problem
+        FROM ({NAMES}) WHERE coalesce({_norm('counterparty')}, '') = ''""",
     "recurring_payments_period": f"WITH {_tx('tx_orders')} {_recurring(_SOME)}",
     "duplicate_payments": f"WITH {_tx('tx_supply')} {_DUPLICATES}",
     "frequent_small_payments": f"WITH {_tx('tx_events')} {_small(15.0, 5)}",
@@ -379,8 +386,8 @@ ORACLES: dict[str, str] = {
         SELECT min(booking_date) AS date_from, max(booking_date) AS date_to FROM tx""",
     "relative_periods": _periods(),
     "normalize_documents": _DOCUMENTS,
-    "blank_text_audit": f"""SELECT count(*) AS blank_rows FROM ({_DOCUMENTS})
-        WHERE search_text IS NULL OR trim(search_text) = ''""",
+    "blank_text_audit": f"""SELECT count(*) AS blank_rows FROM ({GAPS})
+        WHERE coalesce({_norm('description')}, '') = ''""",
     "searchable_texts": f"""SELECT tx_id, search_text FROM ({_PARTS})
         WHERE search_text IS NOT NULL AND trim(search_text) != ''""",
     "validate_statement_valid": f"WITH {_FIELDS} {_VALID} FROM checked WHERE errors = ''",
@@ -412,11 +419,10 @@ ORACLES: dict[str, str] = {
         queries AS (SELECT tx_id AS query_id, embedding FROM ({_profiles(
             f"SELECT counterparty AS tx_id, {_norm('counterparty')} AS search_text FROM names")})),
         vectors AS ({_profiles('SELECT tx_id, search_text FROM tx')}), {_nearest(False)} {_HYDRATED}""",
-    "unsearchable_ids": f"""WITH tx AS ({_PARTS})
-        SELECT DISTINCT v.tx_id, CASE WHEN tx.tx_id IS NULL THEN 'no such transaction'
-            ELSE 'no search text' END AS problem
-        FROM ({_VECTORS}) v LEFT JOIN tx ON v.tx_id = tx.tx_id
-        WHERE tx.tx_id IS NULL OR search_text IS NULL OR trim(search_text) = ''""",
+    "unsearchable_ids": f"""
+        SELECT CAST(o_orderkey AS STRING) AS tx_id,
+               CASE WHEN o_orderkey % 5 = 0 THEN 'no such transaction' ELSE 'no search text' END AS problem
+        FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 IN (0, 1, 2)""",
     "rows_by_id": f"""WITH {_tx('tx_orders')}
         SELECT tx_id, booking_date, counterparty, amount, description FROM tx
         WHERE tx_id IN (SELECT tx_id FROM ({_VECTORS}))""",

@@ -88,7 +88,7 @@ TEMPLATE_KEYWORDS = {
         "suurim", "kallim ", "kalleim", "kõige rohkem", "väikseim", "odavaim", "kõige vähem", "top ",
     ),
     "korduvad_maksed": (
-        "korduva", "regulaarse", "püsimaksed", "tellimus", "kuumakse", "sama kaupme",
+        "korduva", "regulaarse", "püsimaksed", "tellimused", "kuumakse", "sama kaupme",
     ),
     "topeltmaksed": (
         "topelt", "dubleeritud", "kaks korda", "sama päev", "sama summa", "kahekord",

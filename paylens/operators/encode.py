@@ -25,13 +25,17 @@ ENCODE_BATCH = 16
 def batch_encoder(
     load: Callable[[], Callable[[list[str]], np.ndarray]], batch_size: int = ENCODE_BATCH
 ) -> Encoder:
-    """Encoder around a model. `load` runs once per Python worker and gives `list[str] -> ndarray`."""
+    """Encoder around a model. `load` runs once per Python worker and gives `list[str] -> ndarray`.
+
+    The vector of a null text is null; the model gets an empty text in its place.
+    """
 
     def make():
         encode = load()
         return lambda texts: np.asarray(encode([str(t) for t in texts]), dtype=np.float32)
 
-    return predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    predict = predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    return lambda text: F.when(text.isNotNull(), predict(F.coalesce(text, F.lit(""))))
 
 
 def encode_rows(rows: DataFrame, encoder: Encoder) -> DataFrame:
@@ -45,15 +49,14 @@ def encode_rows(rows: DataFrame, encoder: Encoder) -> DataFrame:
 def encode_distinct(rows: DataFrame, encoder: Encoder, tasks: int | None = None) -> DataFrame:
     """The same vectors, each different text encoded once.
 
-    For a costly model: fixed payments repeat one text without end. Texts are counted before they
+    For a costly model: fixed payments repeat one text without end. Repeats go before the texts
     shuffle, and the rows of a frequent text are joined back in several parts. `tasks` sets how many
     tasks encode; if not given, it follows the bytes of the texts, which says little about the model.
     """
-    texts = rows.groupBy("search_text").agg(F.count(F.lit(1)).alias("n"))
+    texts = rows.select("search_text").distinct()
     given = texts if tasks is None else texts.repartition(tasks)
     encoded = given.select("search_text", encoder(F.col("search_text")).alias("embedding"))
-    joined = join_unique(rows, encoded, "search_text", texts, "tx_id")
-    return joined.select("tx_id", "embedding")
+    return join_unique(rows, encoded, "search_text").select("tx_id", "embedding")
 
 
 def build_vectors(

@@ -43,8 +43,6 @@ def by_ids(transactions: DataFrame, ids: DataFrame) -> DataFrame:
     return transactions.join(ids.select("tx_id"), "tx_id", "left_semi")
 
 
-def capped(result: DataFrame, limit: int | None = None) -> DataFrame:
-    """The first `limit` rows of a sorted result, at most (and if not given) the row cap."""
-    if limit is not None and limit > ROW_CAP:
-        raise ValueError(f"limit {limit} is above the cap of {ROW_CAP} rows")
-    return result.limit(ROW_CAP if limit is None else limit)
+def capped(result: DataFrame, limit: int = ROW_CAP) -> DataFrame:
+    """The first `limit` rows of a sorted result, for a caller that shows no more."""
+    return result.limit(limit)

@@ -1,52 +1,15 @@
 """A join to a side of unique keys that stays even when few keys hold most rows."""
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-# Rows of one key that may meet in a task; keys with more are split.
-ROWS_PER_TASK = 1_000_000
-# Keys that may be split: the most frequent ones. A key beyond these holds less than 1/10000 of all
-# rows. Their hashes are what is broadcast, so that is 10,000 short rows at most.
-SPLIT_KEYS = 10_000
+from paylens.sources.tables import written
 
 
-def _splits(counts: DataFrame, key: str) -> DataFrame:
-    """Hash of each frequent key and into how many parts its rows go."""
-    return (
-        counts.where(F.col("n") > ROWS_PER_TASK)
-        .orderBy(F.desc("n"))
-        .limit(SPLIT_KEYS)
-        .select(
-            F.xxhash64(key).alias("key_hash"),
-            F.ceil(F.col("n") / ROWS_PER_TASK).cast("int").alias("parts"),
-        )
-        .groupBy("key_hash")
-        .agg(F.max("parts").alias("parts"))
-    )
+def join_unique(rows: DataFrame, unique: DataFrame, key: str) -> DataFrame:
+    """Inner join of many rows with a side where each key is unique, such as an aggregate of them.
 
-
-def _with_parts(side: DataFrame, splits: DataFrame, key: str, part: Column) -> DataFrame:
-    hashed = side.withColumn("key_hash", F.xxhash64(key))
-    return (
-        hashed.join(F.broadcast(splits), "key_hash", "left")
-        .withColumn("parts", F.coalesce("parts", F.lit(1)))
-        .withColumn("part", part)
-        .drop("key_hash", "parts")
-    )
-
-
-def join_unique(
-    rows: DataFrame, unique: DataFrame, key: str, counts: DataFrame, spread_by: str
-) -> DataFrame:
-    """Inner join of many rows with a side where each key is unique.
-
-    `counts` tells how many rows (`n`) each key has. Rows of a frequent key are spread over parts by
-    the hash of another column, and its row on the unique side is repeated once per part. Adaptive
-    execution would not split them, as the unique side is an aggregate and not a plain shuffle.
+    The unique side is written first. Both sides of the join are then plain shuffles, and adaptive
+    execution splits the partitions of frequent keys by their bytes, however many such keys there are;
+    it can't do so next to an aggregate. A unique side of few bytes is broadcast instead.
     """
-    splits = _splits(counts, key)
-    own_part = F.pmod(F.xxhash64(spread_by), F.col("parts")).cast("int")
-    every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = _with_parts(rows, splits, key, own_part)
-    right = _with_parts(unique, splits, key, every_part)
-    return left.join(right, [key, "part"]).drop("part")
+    return rows.join(written(unique, "unique"), key)

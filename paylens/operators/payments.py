@@ -1,7 +1,7 @@
 """The five analytical queries.
 
-Each takes typed parameters and gives a sorted result of at most `ROW_CAP` rows. Sort keys end in a
-column that breaks ties. Aggregates combine before the shuffle, so a counterparty with a large share
+Each takes typed parameters and gives its whole sorted result; `filters.capped` cuts one where that is
+wanted. Sort keys end in a column that breaks ties. Aggregates combine before the shuffle, so a counterparty with a large share
 of the rows sends one partial row per task.
 """
 
@@ -19,7 +19,7 @@ from paylens.fixed_values import (
 )
 from paylens.functions.dates import span_text
 from paylens.functions.numbers import amount_literal, average, percent_change, total, variation
-from paylens.operators.filters import capped, detail, in_period, up_to_amount
+from paylens.operators.filters import detail, in_period, up_to_amount
 from paylens.operators.joins import join_unique
 
 
@@ -107,7 +107,7 @@ def top_transactions(transactions: DataFrame, p: TopTransactions = TopTransactio
     """The largest (or smallest) single amounts."""
     rows = detail(in_period(transactions, p.date_from, p.date_to))
     order = order_columns(f"top_transactions_{p.direction.lower()}")
-    return capped(rows.orderBy(*order), p.limit)
+    return rows.orderBy(*order).limit(p.limit)
 
 
 def recurring_payments(
@@ -128,7 +128,7 @@ def recurring_payments(
         )
         .where(F.col("n") >= 2)
     )
-    return capped(groups.orderBy(*order_columns("recurring_payments")))
+    return groups.orderBy(*order_columns("recurring_payments"))
 
 
 def duplicate_payments(
@@ -141,7 +141,7 @@ def duplicate_payments(
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= 2)
     )
-    return capped(groups.orderBy(*order_columns("duplicate_payments")))
+    return groups.orderBy(*order_columns("duplicate_payments"))
 
 
 def frequent_small_payments(
@@ -159,7 +159,7 @@ def frequent_small_payments(
         )
         .where(F.col("n") >= p.min_count)
     )
-    return capped(groups.orderBy(*order_columns("frequent_small_payments")))
+    return groups.orderBy(*order_columns("frequent_small_payments"))
 
 
 def price_levels(transactions: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def price_rise(transactions: DataFrame, p: PriceRise = PriceRise()) -> DataFrame
             "date_span",
         )
     )
-    return capped(groups.orderBy(*order_columns("price_rise")))
+    return groups.orderBy(*order_columns("price_rise"))
 
 
 def amount_bounds(transactions: DataFrame) -> DataFrame:
@@ -231,11 +231,9 @@ def amount_bounds(transactions: DataFrame) -> DataFrame:
     instead and joined back, the rows of a frequent counterparty in several parts.
     """
     bounds = transactions.groupBy("counterparty").agg(
-        F.min("amount").alias("min_amount"),
-        F.max("amount").alias("max_amount"),
-        F.count(F.lit(1)).alias("n"),
+        F.min("amount").alias("min_amount"), F.max("amount").alias("max_amount")
     )
-    return join_unique(transactions, bounds.drop("n"), "counterparty", bounds, "tx_id")
+    return join_unique(transactions, bounds, "counterparty")
 
 
 QUERIES = {

@@ -3,10 +3,10 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paylens.fixed_values import ROW_CAP
 from paylens.functions.numbers import money_text, percent_text
 from paylens.operators.filters import without_technical
 from paylens.schema import MONEY_COLUMNS, PERCENT_COLUMNS
+from paylens.sources.tables import written
 
 ROW_NUMBER = "#"
 
@@ -14,17 +14,29 @@ ROW_NUMBER = "#"
 def numbered(result: DataFrame, order: list[Column]) -> DataFrame:
     """Rows with their number from 1 in the result's order.
 
-    Numbering needs one task; the cap bounds what it gets, whatever the caller passes.
+    The sort cuts the rows into ranges. Each range numbers its own rows and adds those of the ranges
+    before it, of which there is one count per task.
     """
-    first = result.orderBy(*order).limit(ROW_CAP)
-    return first.withColumn(ROW_NUMBER, F.row_number().over(Window.orderBy(*order)))
+    in_range = (1 << 33) - 1
+    ranges = result.orderBy(*order).select(
+        "*",
+        F.spark_partition_id().alias("_range"),
+        F.monotonically_increasing_id().bitwiseAND(in_range).alias("_place"),
+    )
+    ranges = written(ranges, "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    number = (F.col("_start") + F.col("_place") + 1).cast("int").alias(ROW_NUMBER)
+    return ranges.join(F.broadcast(starts), "_range").select(*result.columns, number)
 
 
 def row_at(result: DataFrame, order: list[Column], number: int) -> DataFrame:
-    """The row with this number; none if the result is shorter."""
-    if not 1 <= number <= ROW_CAP:
-        raise ValueError(f"row number {number} is not within 1..{ROW_CAP}")
-    return numbered(result, order).where(F.col(ROW_NUMBER) == number)
+    """The row with this number; an error if the result has no such row."""
+    row = numbered(result, order).where(F.col(ROW_NUMBER) == number)
+    if row.isEmpty():
+        raise ValueError(f"the result has no row {number}")
+    return row
 
 
 def cell_text(name: str, data_type: str) -> Column:

@@ -3,34 +3,22 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paylens.fixed_values import NEIGHBOURS, ROW_CAP, TEMPLATE_IDS
+from paylens.fixed_values import NEIGHBOURS, TEMPLATE_IDS
 from paylens.functions.text import is_blank, normalise, strip
 from paylens.operators.encode import Encoder, encode_names
 from paylens.operators.filters import by_ids, detail
 from paylens.operators.vectors import nearest
+from paylens.sources.tables import written
 
 
-# Neighbours (short rows) that may be broadcast.
-BROADCAST_ROWS = 100_000
-
-
-def _few(keys: DataFrame) -> list | None:
-    """The keys, if they are no more than a result may hold."""
-    taken = keys.limit(ROW_CAP + 1).collect()
-    return [row[0] for row in taken] if len(taken) <= ROW_CAP else None
-
-
-def hydrate(
-    neighbours: DataFrame, transactions: DataFrame, at_most: int | None = None
-) -> DataFrame:
+def hydrate(neighbours: DataFrame, transactions: DataFrame) -> DataFrame:
     """Neighbours with their transaction details; ids without a transaction are left out.
 
-    `at_most` tells how many neighbours there can be, if that is known; up to `BROADCAST_ROWS` they
-    are broadcast. Sort by `query_id, rank` to show them nearest first.
+    The neighbours are written first, so that few are broadcast by their size and the transactions of
+    many are met by shuffling, an id that is near to much in several parts. Sort by `query_id, rank`
+    to show them nearest first.
     """
-    is_small = at_most is not None and at_most <= BROADCAST_ROWS
-    small = F.broadcast(neighbours) if is_small else neighbours
-    return detail(transactions).join(small, "tx_id").select(
+    return detail(transactions).join(written(neighbours, "neighbours"), "tx_id").select(
         "query_id", "rank", "distance", "tx_id", "booking_date", "counterparty", "amount",
         "description",
     )
@@ -67,12 +55,8 @@ def similar_by_id(
     ids: DataFrame, vectors: DataFrame, transactions: DataFrame, k: int = NEIGHBOURS
 ) -> DataFrame:
     """The k transactions nearest to each of the given ones, itself left out."""
-    few = _few(ids.select("tx_id").distinct())
-    # A short list of ids becomes a filter of the scan, so that other vectors are not decoded.
-    sources = by_ids(vectors, ids) if few is None else vectors.where(F.col("tx_id").isin(few))
-    queries = sources.select(F.col("tx_id").alias("query_id"), "embedding")
-    found = nearest(queries, vectors, k, exclude_self=True)
-    return hydrate(found, transactions, None if few is None else len(few) * k)
+    queries = by_ids(vectors, ids).select(F.col("tx_id").alias("query_id"), "embedding")
+    return hydrate(nearest(queries, vectors, k, exclude_self=True), transactions)
 
 
 def similar_by_name(
@@ -83,9 +67,7 @@ def similar_by_name(
     k: int = NEIGHBOURS,
 ) -> DataFrame:
     """The k transactions nearest to each distinct counterparty name; `query_id` is the name."""
-    few = _few(names.select("counterparty").distinct())
-    found = nearest(encode_names(names, encoder), vectors, k)
-    return hydrate(found, transactions, None if few is None else len(few) * k)
+    return hydrate(nearest(encode_names(names, encoder), vectors, k), transactions)
 
 
 def similar_to_result(
@@ -96,7 +78,12 @@ def similar_to_result(
     encoder: Encoder,
     k: int = NEIGHBOURS,
 ) -> DataFrame:
-    """Follow-up on the rows of a result: single transactions by id, aggregates by counterparty."""
+    """Follow-up on the rows of a result: single transactions by id, aggregates by counterparty.
+
+    Sources that can't be searched by give no rows here; `source_problems` and `name_problems` say why.
+    """
+    if template_id not in TEMPLATE_IDS.values():
+        raise ValueError(f"no such template: {template_id!r}")
     if template_id == TEMPLATE_IDS["top_transactions"]:
         return similar_by_id(result, vectors, transactions, k)
     return similar_by_name(result, vectors, transactions, encoder, k)

@@ -1,7 +1,8 @@
 """Exact nearest neighbours by cosine distance, for many queries at once.
 
 Distances are rounded to `DISTANCE_DIGITS`, so that copies of a vector tie whichever block they fall
-in; ties are then broken by id. A zero vector is at distance 1 from everything.
+in; ties are then broken by id. A zero vector is at distance 1 from everything; a vector that is null or
+holds a null, an infinite value or NaN is near to nothing and is left out on either side.
 """
 
 from collections.abc import Iterator
@@ -46,18 +47,24 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
 def _rows(
     table: pa.Table | pa.RecordBatch, key: str, dims: int | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of the rows that have a vector."""
+    """Ids and vectors of the rows that have a vector of finite numbers."""
     table = table.filter(pc.is_valid(table["embedding"]))
     if table.num_rows == 0:
         return np.empty(0, dtype=object), np.empty((0, dims or 0))
     column = table["embedding"]
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return np.array(table[key].to_pylist(), dtype=object), _matrix(column, dims)
+    matrix = _matrix(column, dims)
+    finite = np.isfinite(matrix).all(axis=1)
+    return np.array(table[key].to_pylist(), dtype=object)[finite], matrix[finite]
+
+
+# A distance in units that stands for a repeated id; above every real one.
+_REPEATED = (1 << 31) - 1
 
 
 class _Nearest:
-    """The k nearest rows so far for each of a block of queries."""
+    """The k nearest ids so far for each of a block of queries; of a repeated id the nearest row."""
 
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
         self.query_ids, self.queries, self.k = query_ids, _unit_rows(queries), k
@@ -82,22 +89,32 @@ class _Nearest:
     def _add_block(self, ids: np.ndarray, rows: np.ndarray) -> None:
         distance = 1.0 - self.queries @ _unit_rows(rows).T
         units = np.rint(distance * _UNITS).astype(np.int64).clip(min=0)
-        ranks = np.empty(len(ids), dtype=np.int64)
-        ranks[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-        new = self._keep(units, ranks[None, :])
+        order = np.argsort(ids, kind="stable")
+        firsts = np.flatnonzero(np.concatenate(([True], ids[order][1:] != ids[order][:-1])))
+        units, ids = np.minimum.reduceat(units[:, order], firsts, axis=1), ids[order][firsts]
+        new = self._keep(units, np.arange(len(ids))[None, :])
 
         units = np.hstack([self.units, np.take_along_axis(units, new, axis=1)])
         merged = np.hstack([self.ids, ids[new]])
         _, ranks = np.unique(merged, return_inverse=True)
-        best = self._keep(units, ranks.reshape(merged.shape))
+        ranks = ranks.reshape(merged.shape)
+        by_id = np.lexsort((units, ranks), axis=1)
+        sorted_ranks = np.take_along_axis(ranks, by_id, axis=1)
+        again = np.zeros_like(by_id, dtype=bool)
+        again[:, 1:] = sorted_ranks[:, 1:] == sorted_ranks[:, :-1]
+        repeated = np.zeros_like(again)
+        np.put_along_axis(repeated, by_id, again, axis=1)
+        units = np.where(repeated, _REPEATED, units)
+        best = self._keep(units, ranks)
         self.units = np.take_along_axis(units, best, axis=1)
         self.ids = np.take_along_axis(merged, best, axis=1)
 
     def batch(self) -> pa.RecordBatch:
+        real = self.units.ravel() != _REPEATED
         columns = (
-            np.repeat(self.query_ids, self.ids.shape[1]),
-            self.ids.ravel(),
-            self.units.ravel() / float(_UNITS),
+            np.repeat(self.query_ids, self.ids.shape[1])[real],
+            self.ids.ravel()[real],
+            self.units.ravel()[real] / float(_UNITS),
         )
         return pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(columns, _CANDIDATES.types)], schema=_CANDIDATES
@@ -152,12 +169,12 @@ def _scan_grid(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
 def ranked(candidates: DataFrame, k: int) -> DataFrame:
     """First k different ids per query, nearest first, with their rank from 1.
 
-    One shuffle, by query: repeats of an id are merged and ranks given within the same partitioning.
+    Candidates of a query are spread by their ids, where repeats are merged; each task then keeps k per
+    query, so that only these meet.
     """
     nearest_first = Window.partitionBy("query_id").orderBy("distance", "tx_id")
     return (
-        candidates.repartition("query_id")
-        .groupBy("query_id", "tx_id")
+        candidates.groupBy("query_id", "tx_id")
         .agg(F.min("distance").alias("distance"))
         .withColumn("rank", F.row_number().over(nearest_first))
         .where(F.col("rank") <= k)
@@ -170,8 +187,8 @@ def nearest(
 ) -> DataFrame:
     """`query_id, tx_id, rank, distance` of the k nearest corpus rows of each query.
 
-    `queries` holds `query_id, embedding`, `corpus` holds `tx_id, embedding` with unique ids. With
-    `exclude_self` a row whose id equals the query's is left out before ranking. Queries up to a
+    `queries` holds `query_id, embedding`, `corpus` holds `tx_id, embedding`; of an id that it holds
+    several times the nearest row counts. With `exclude_self` a row whose id equals the query's is left out before ranking. Queries up to a
     checked size are broadcast and the corpus is scanned in place, without a shuffle.
     """
     queries = queries.select("query_id", "embedding")
@@ -189,11 +206,15 @@ def nearest(
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    """The same distance as a column expression, for a pair of vectors."""
+    """The same distance as a column expression, for a pair of vectors; null where one is unusable."""
 
     def dot(x, y):
         products = F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double"))
         return F.aggregate(products, F.lit(0.0), lambda s, v: s + v)
 
+    def usable(x):
+        return F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+
     similarity = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-    return F.greatest(F.round(1 - F.coalesce(similarity, F.lit(0.0)), DISTANCE_DIGITS), F.lit(0.0))
+    distance = F.round(1 - F.coalesce(similarity, F.lit(0.0)), DISTANCE_DIGITS)
+    return F.when(usable(a) & usable(b), F.greatest(distance, F.lit(0.0)))

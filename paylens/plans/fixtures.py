@@ -98,15 +98,15 @@ QUESTIONS = """
     UNION ALL
     SELECT concat('order ', CAST(o_orderkey AS STRING)) AS question_id,
            CASE CAST(o_orderkey % 12 AS INT)
-           WHEN 0 THEN concat('Mis olid minu ', CAST(o_custkey AS STRING), ' suurimat kulutust aastatel ',
+           WHEN 0 THEN concat('Näita ', CAST(o_custkey AS STRING), ' suurimat väljaminekut vahemikus ',
                               CAST(CAST(o_orderdate AS DATE) AS STRING), ' kuni 2000-12-31?')
-           WHEN 1 THEN concat('Leia korduvad maksed perioodil 1994-01-01 kuni ',
+           WHEN 1 THEN concat('Millised regulaarsed arved laekusid 1994-01-01 kuni ',
                               CAST(CAST(o_orderdate AS DATE) AS STRING), '.')
-           WHEN 2 THEN concat('Kas mul oli topeltmakseid päeval ',
+           WHEN 2 THEN concat('Kontrolli, kas midagi läks topelt: ',
                               CAST(CAST(o_orderdate AS DATE) AS STRING), '?')
-           WHEN 3 THEN concat('Kus olen teinud palju väikseid oste (alla ', CAST(o_custkey AS STRING),
-                              ',50 euro) eelmisel kuul?')
-           WHEN 4 THEN concat('Millised püsikulud on tõusnud rohkem kui ', CAST(o_custkey AS STRING),
+           WHEN 3 THEN concat('Kioskid, kuhu läks alla ', CAST(o_custkey AS STRING),
+                              ',50 euro korraga, eelmisel kuul')
+           WHEN 4 THEN concat('Kes tõstis hinda rohkem kui ', CAST(o_custkey AS STRING),
                               '% sel aastal?')
            WHEN 5 THEN concat('Kümme odavaimat ostu, ', CAST(o_orderkey AS STRING), ' väikseimat, mai ',
                               CAST(year(o_orderdate) AS STRING))
@@ -155,3 +155,16 @@ REPLIES = """
            ELSE concat('{"malli_id": ', CAST(o_orderkey AS STRING), '}')
            END AS reply
     FROM orders"""
+
+# Orders of which some are missing and some have no words: null, empty, digits only.
+GAPS = """
+    SELECT CAST(o_orderkey AS STRING) AS tx_id,
+           CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN CAST(o_custkey AS STRING) WHEN 1 THEN ''
+           WHEN 2 THEN CAST(NULL AS STRING) ELSE o_orderpriority END AS description
+    FROM orders WHERE o_orderkey % 5 <> 0"""
+
+# Names of which some are empty or hold no letter.
+NAMES = """
+    SELECT CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN '  ' WHEN 1 THEN CAST(c_custkey AS STRING)
+           WHEN 2 THEN CAST(NULL AS STRING) ELSE c_name END AS counterparty
+    FROM customer"""

@@ -11,30 +11,53 @@ from paylens.functions.text import strip_to_null
 from paylens.schema import AMOUNT, TRANSACTIONS
 
 
+def _files_by_header(spark: SparkSession, paths: str | list[str]) -> list[list[str]]:
+    """Paths of the files that share a first line. The driver sees one path per file, as it does when
+    it lists them."""
+    lines = spark.read.text(paths).select(
+        "value",
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    first = lines.where(F.col("start") == 0).groupBy("path").agg(F.min_by("value", "at").alias("line"))
+    header = F.rtrim(F.regexp_replace("line", "^\ufeff", ""))
+    groups = first.groupBy(header.alias("header")).agg(F.collect_list("path").alias("paths"))
+    return [r.paths for r in groups.orderBy("header").collect()]
+
+
 def read_statements(
     spark: SparkSession, paths: str | list[str], multi_line: bool = True
 ) -> DataFrame:
     """Raw rows, all text, columns taken by exact header name; a missing header gives nulls.
 
+    Files may name their columns in different orders: those with the same first line are read together.
     With `multi_line` a quoted field may hold line breaks, and each file is one task. Turn it off for
     huge files without such fields: they are then split.
     """
-    raw = spark.read.csv(
-        paths,
-        sep=";",
-        header=True,
-        inferSchema=False,
-        quote='"',
-        escape='"',
-        multiLine=multi_line,
-        encoding="UTF-8",
-    )
-    return raw.select(
-        *[
-            (F.col(f"`{h}`") if h in raw.columns else F.lit(None).cast("string")).alias(h)
-            for h in STATEMENT_HEADERS
-        ]
-    )
+    parts = []
+    for files in _files_by_header(spark, paths):
+        raw = spark.read.csv(
+            files,
+            sep=";",
+            header=True,
+            inferSchema=False,
+            quote='"',
+            escape='"',
+            multiLine=multi_line,
+            encoding="UTF-8",
+        )
+        parts.append(
+            raw.select(
+                *[
+                    (F.col(f"`{h}`") if h in raw.columns else F.lit(None).cast("string")).alias(h)
+                    for h in STATEMENT_HEADERS
+                ]
+            )
+        )
+    if not parts:
+        return spark.createDataFrame([], ", ".join(f"`{h}` string" for h in STATEMENT_HEADERS))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def check_statements(raw: DataFrame) -> DataFrame:

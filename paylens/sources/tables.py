@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from paylens.functions.text import is_blank
+from paylens.session import scratch_path
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -18,16 +19,20 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def write_table(df: DataFrame, path: str, **metrics) -> dict[str, int]:
-    """Overwrites `path`; gives the row count and any further aggregates from the same pass."""
+def write_table(df: DataFrame, path: str) -> dict[str, int]:
+    """Overwrites `path`; gives the row count from the same pass."""
     seen = Observation()
-    watched = df.observe(
-        seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in metrics.items()]
-    )
-    watched.write.mode("overwrite").parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
     return seen.get
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table of the scratch folder: worked out once, and a plain scan from then on."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_if_absent(df: DataFrame, path: str) -> None:
     """Writes unless something is at `path`; what is there is not looked at."""
     df.write.mode("ignore").parquet(path)

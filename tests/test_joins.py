@@ -6,30 +6,41 @@ from paylens.operators import encode, joins, payments
 
 
 @pytest.fixture
-def split(monkeypatch):
-    """Keys with more than three rows are split."""
-    monkeypatch.setattr(joins, "ROWS_PER_TASK", 3)
+def split(spark):
+    """Partitions of a few kilobytes count as skewed, and nothing is broadcast."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
-def test_split_keys_give_the_plain_join(spark, split):
-    # A third of the rows hold one key.
-    rows = spark.range(300).select(
+def test_frequent_keys_give_the_plain_join(spark, split):
+    """A third of the rows hold one key, and 12,000 other keys are frequent too."""
+    rows = spark.range(0, 100_000, 1, 8).select(
         F.col("id").alias("tx_id"),
-        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 50).cast("string")).alias("k"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 12_000).cast("string")).alias("k"),
     )
-    unique = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("tx_id").alias("last"))
-    got = joins.join_unique(rows, unique.drop("n"), "k", unique, "tx_id")
-    wanted = rows.join(unique.drop("n"), "k")
+    unique = rows.groupBy("k").agg(F.max("tx_id").alias("last"))
+    got = joins.join_unique(rows, unique, "k")
+    wanted = rows.join(unique, "k")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
-    parts = joins._splits(unique, "k").collect()
-    assert max(r.parts for r in parts) == 34 and len(parts) > 1
+    plan = got._jdf.queryExecution().executedPlan()
+    assert "skew=true" in plan.toString()
 
 
-def test_bounds_and_vectors_of_split_keys(spark, split, transactions):
+def test_bounds_and_vectors_of_frequent_keys(spark, split, transactions):
     rows = [("hot", i % 7, "2024-01-01") for i in range(40)] + [("cold", 1, "2024-01-02")]
     tx = transactions(rows).withColumn("search_text", F.col("counterparty"))
     got = {(r.counterparty, r.min_amount, r.max_amount) for r in payments.amount_bounds(tx).collect()}
     assert got == {("hot", 0, 6), ("cold", 1, 1)} and payments.amount_bounds(tx).count() == 41
     plain = {r.tx_id: r.embedding for r in encode.build_vectors(tx, letter_profile, False).collect()}
-    split_up = encode.build_vectors(tx, letter_profile).collect()
-    assert {r.tx_id: r.embedding for r in split_up} == plain and len(split_up) == 41
+    once = encode.build_vectors(tx, letter_profile).collect()
+    assert {r.tx_id: r.embedding for r in once} == plain and len(once) == 41

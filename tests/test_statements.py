@@ -147,3 +147,16 @@ def test_valid_rows_have_the_table_shape(spark, tmp_path):
     checked = check_statements(read_statements(spark, write(tmp_path, HEADER, ROW.format(id="a"))))
     assert valid_rows(checked).dtypes == [
         (f.name, f.dataType.simpleString()) for f in TRANSACTIONS.fields]
+
+
+def test_files_with_other_headers(spark, tmp_path):
+    """Columns go by name, whatever their order in each file."""
+    (tmp_path / "a.csv").write_text(
+        "TEHINGU_ID;KUUPÄEV;SAAJA_MAKSJA_NIMI;SUMMA;SELGITUS;VALUUTA\n1;1.2.2024;Pood;5;leib;EUR\n", "utf-8-sig"
+    )
+    (tmp_path / "b.csv").write_text(
+        "VALUUTA;SELGITUS;SAAJA_MAKSJA_NIMI;TEHINGU_ID;SUMMA;KUUPÄEV;VIITENUMBER\nEUR;sai;Kohvik;2;6,5;2.2.2024;77\n", "utf-8"
+    )
+    rows = valid_rows(check_statements(read_statements(spark, str(tmp_path)))).orderBy("tx_id").collect()
+    got = [(r.tx_id, r.counterparty, r.description, str(r.amount), r.reference_no) for r in rows]
+    assert got == [("1", "Pood", "leib", "5.00", None), ("2", "Kohvik", "sai", "6.50", "77")]

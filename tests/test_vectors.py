@@ -136,3 +136,19 @@ def test_follow_up(spark, transactions):
     ids = spark.createDataFrame([("1",), ("9",)], "tx_id string")
     assert [tuple(r) for r in similar.source_problems(ids, tx).collect()] == [
         ("9", "no such transaction")]
+
+
+@pytest.mark.parametrize("grid", [False, True])
+def test_repeated_ids_and_unusable_vectors(spark, monkeypatch, grid):
+    if grid:
+        monkeypatch.setattr(vectors, "BROADCAST_QUERIES", 0)
+        monkeypatch.setattr(vectors, "GRID_BLOCK_BYTES", 64)
+    inf, nan = float("inf"), float("nan")
+    rows = [("a", [1.0, 0.1]), ("a", [1.0, 0.0]), ("a", [1.0, 0.05]), ("a", [1.0, 0.2]), ("a", [1.0, 0.3]),
+            ("b", [0.9, 0.5]), ("c", [0.5, 0.9]), ("x", [inf, 1.0]), ("y", [nan, 1.0]), ("z", [None, 1.0]), ("n", None)]
+    corpus = spark.createDataFrame(rows, "tx_id string, embedding array<double>")
+    queries = spark.createDataFrame([("q", [1.0, 0.0]), ("bad", [inf, 0.0])], "query_id string, embedding array<double>")
+    got = [(r.query_id, r.tx_id, r.rank) for r in nearest(queries, corpus, 2).orderBy("rank").collect()]
+    assert got == [("q", "a", 1), ("q", "b", 2)]
+    pairs = corpus.withColumn("d", cosine_distance(F.col("embedding"), F.array(F.lit(1.0), F.lit(0.0))))
+    assert {r.tx_id for r in pairs.where("d IS NULL").collect()} == {"x", "y", "z", "n"}
