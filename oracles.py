@@ -146,6 +146,7 @@ def _profiles(rows: str) -> str:
 _PARTS = f"SELECT *, {_norm("counterparty || ' ' || description")} AS search_text FROM ({VIEWS['tx_parts']})"
 _PART_TEXTS = f"SELECT tx_id, search_text FROM ({_PARTS})"
 _DOCUMENTS = f"SELECT CAST(doc_id AS STRING) AS tx_id, {_norm('text')} AS search_text FROM documents"
+_ORDER_TEXTS = f"SELECT tx_id, {_norm("counterparty || ' ' || description")} AS search_text"
 _VECTORS = "SELECT CAST(vec_id AS STRING) AS tx_id, embedding FROM embeddings"
 _LETTER_ROWS = """
     SELECT tx_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS place,
@@ -388,6 +389,8 @@ ORACLES: dict[str, str] = {
     "normalize_documents": _DOCUMENTS,
     "blank_text_audit": f"""SELECT count(*) AS blank_rows FROM ({GAPS})
         WHERE coalesce({_norm('description')}, '') = ''""",
+    "filled_texts": f"WITH {_tx('tx_orders')} {_ORDER_TEXTS} FROM tx",
+    "index_vectors": f"WITH {_tx('tx_orders')}, vectors AS ({_profiles(f'{_ORDER_TEXTS} FROM tx')}) {_LETTER_ROWS}",
     "searchable_texts": f"""SELECT tx_id, search_text FROM ({_PARTS})
         WHERE search_text IS NOT NULL AND trim(search_text) != ''""",
     "validate_statement_valid": f"WITH {_FIELDS} {_VALID} FROM checked WHERE errors = ''",

@@ -16,7 +16,7 @@ from paylens.operators.replies import parse_replies, validate_params
 from paylens.operators.routing import route_questions, routed_params
 from paylens.operators.vectors import nearest
 from paylens.plans.fixtures import GAPS, NAMES, QUESTIONS, RAW_STATEMENTS, REPLIES, from_tables, view
-from paylens.plans.prepare import load_statements
+from paylens.plans.prepare import build_index, fill_search_text, load_statements
 from paylens.session import scratch_path
 from paylens.sources.statements import (
     check_statements,
@@ -24,7 +24,13 @@ from paylens.sources.statements import (
     rejected_rows,
     valid_rows,
 )
-from paylens.sources.tables import blank_text_audit, upsert_vectors
+from paylens.sources.tables import (
+    blank_text_audit,
+    new_version_path,
+    point_table,
+    upsert_vectors,
+    write_if_absent,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,6 +110,36 @@ def order_by_key(spark, sf_dir):
     return detail(by_id(view(spark, sf_dir, "tx_orders"), "7"))
 
 
+def _filled_table(spark, sf_dir) -> tuple[str, str]:
+    """A table of orders without search texts, written unless there, then filled: its name and folder."""
+    base = scratch_path(spark, "filled")
+    table, path = "filled_" + base[-32:], new_version_path(base)
+    orders = view(spark, sf_dir, "tx_orders").withColumn("search_text", F.lit(None).cast("string"))
+    write_if_absent(orders, path)
+    write_if_absent(orders.where("false"), path)  # something is there, so this writes nothing
+    point_table(spark, table, path)
+    fill_search_text(spark, table, base)
+    return table, base
+
+
+def filled_texts(spark, sf_dir):
+    """What a table without search texts holds once they are filled in."""
+    table, _ = _filled_table(spark, sf_dir)
+    found = spark.table(table).select("tx_id", "search_text")
+    spark.sql(f"DROP TABLE {table}")
+    return found
+
+
+def index_vectors(spark, sf_dir):
+    """The vector table built from a transactions table."""
+    table, base = _filled_table(spark, sf_dir)
+    build_index(spark, table, f"{table}_vectors", base, letter_profile)
+    found = spark.table(f"{table}_vectors")
+    for name in (table, f"{table}_vectors"):
+        spark.sql(f"DROP TABLE {name}")
+    return _letters(found)
+
+
 def searchable_texts(spark, sf_dir):
     return searchable(_with_text(view(spark, sf_dir, "tx_parts")))
 
@@ -342,6 +378,8 @@ QUERIES: dict[str, Query] = {
     "row_by_id": order_by_key,
     "blank_text_audit": blank_texts,
     "name_problems": blank_names,
+    "filled_texts": filled_texts,
+    "index_vectors": index_vectors,
     "searchable_texts": searchable_texts,
     "validate_statement_valid": statement_valid,
     "validate_statement_rejects": statement_rejects,
