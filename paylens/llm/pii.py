@@ -25,8 +25,8 @@ HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 KINDS = tuple(PATTERNS)
 TERM = "term"
 # A term that gives a kind's information content divided by this is disclosing.
-ALPHA = 1.5
-# Different sentences in which a term must meet a kind before the estimate counts.
+ALPHA = 1.2
+# Different data of a kind that a term must meet before the estimate counts; copies of a text hold the same.
 CONTEXTS = 8
 # Letters of a word that its general form keeps.
 STEM = 3
@@ -132,19 +132,23 @@ def _sentences(docs: DataFrame) -> DataFrame:
 
 
 def _holding(sentences: DataFrame) -> DataFrame:
-    """Sentences with personal data: their kinds, and their words without the data itself."""
-    kinds = F.array(
-        *[F.when(F.size(base_spans(F.col("sentence"), k)) > 0, F.lit(k)) for k in KINDS]
-    )
+    """Sentences with personal data: their kinds, each with a hash of the data, and their words without it."""
+
+    def held(kind: str) -> Column:
+        def named(spans: Column) -> Column:
+            data = F.xxhash64(F.transform(spans, lambda s: s["found"]))
+            return F.when(F.size(spans) > 0, F.struct(F.lit(kind).alias("kind"), data.alias("data")))
+
+        return let(base_spans(F.col("sentence"), kind), named)
+
+    kinds = F.array(*map(held, KINDS))
     masked = F.col("sentence")
     for pattern in PATTERNS.values():
         masked = F.regexp_replace(masked, pattern, " ")
     kept = sentences.where(F.col("sentence").rlike(r"[@+]|[0-9]")).select(
         "sentence", F.array_compact(kinds).alias("kinds")
     )
-    return kept.where(F.size("kinds") > 0).select(
-        F.xxhash64("sentence").alias("hash"), "kinds", _terms(masked).alias("terms")
-    )
+    return kept.where(F.size("kinds") > 0).select("kinds", _terms(masked).alias("terms"))
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
@@ -152,14 +156,14 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
 
     Columns `term`, `kind` (the one revealed most), `pmi`, `content` (that kind's information content)
     and `instead` (the general form, or null where that discloses as well). Counted over the sentences
-    of all documents; a term must meet the kind in `CONTEXTS` different sentences.
+    of all documents; a term must meet `CONTEXTS` different data of the kind.
     """
     sentences = _sentences(docs)
     holding = stored(_holding(sentences), "holding")
     met = (
-        holding.select("hash", F.explode("kinds").alias("kind"), "terms")
-        .select("hash", "kind", F.explode("terms").alias("term"))
-        .groupBy("term", "kind", "hash")
+        holding.select(F.inline("kinds"), "terms")
+        .select("kind", "data", F.explode("terms").alias("term"))
+        .groupBy("term", "kind", "data")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("term", "kind")
         .agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("contexts"))
@@ -173,7 +177,7 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("alone"))
     )
     total = sentences.count()
-    of_kind = holding.select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("of_kind"))
+    of_kind = holding.select(F.inline("kinds")).groupBy("kind").agg(F.count(F.lit(1)).alias("of_kind"))
     rated = (
         met.join(counted, "term")
         .join(F.broadcast(of_kind), "kind")
