@@ -55,7 +55,7 @@ def fingerprint_of(data: bytes) -> str:
 def fingerprint(texts: pa.Array) -> pa.Array:
     """Fingerprint of each text; null counts as empty."""
     return pa.array(
-        [fingerprint_of(data or b"") for data in texts.cast(pa.binary()).to_pylist()], pa.string()
+        [fingerprint_of(data.as_py() or b"") for data in texts.cast(pa.binary())], pa.string()
     )
 
 
@@ -98,7 +98,7 @@ def _bucket(value: Column, bounds: list[int]) -> Column:
 def packed(texts: pa.Array) -> pa.Array:
     """Each text compressed, for moving it."""
     press = zstandard.ZstdCompressor(level=3)
-    return pa.array([press.compress(d or b"") for d in texts.cast(pa.binary()).to_pylist()], pa.binary())
+    return pa.array([press.compress(d.as_py() or b"") for d in texts.cast(pa.binary())], pa.binary())
 
 
 @F.arrow_udf(StructType().add("sha256", StringType()).add("fingerprint", StringType()))
@@ -106,8 +106,8 @@ def _edited(texts: pa.Array, others: pa.Array) -> pa.Array:
     """Hash and fingerprint of each text with its last third taken from the start of the other."""
     unpress = zstandard.ZstdDecompressor()
     out = []
-    for own, other in zip(texts.to_pylist(), others.to_pylist()):
-        text, other = unpress.decompress(own).decode(), unpress.decompress(other).decode()
+    for own, other in zip(texts, others):
+        text, other = (unpress.decompress(x.as_py()).decode() for x in (own, other))
         third = len(text) // 3
         data = (text[: len(text) - third] + other[:third]).encode()
         out.append((hashlib.sha256(data).hexdigest(), fingerprint_of(data)))

@@ -77,7 +77,7 @@ def statistics(data: bytes) -> np.ndarray:
 @F.arrow_udf(ArrayType(DoubleType()))
 def features(texts: pa.Array) -> pa.Array:
     """The vector of each text; null counts as empty."""
-    rows = [statistics(d or b"") for d in texts.cast(pa.binary()).to_pylist()]
+    rows = [statistics(d.as_py() or b"") for d in texts.cast(pa.binary())]
     return pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))
 
 

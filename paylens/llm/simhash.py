@@ -56,7 +56,7 @@ def simhash(data: bytes) -> int:
 @F.arrow_udf(LongType())
 def fingerprint(texts: pa.Array) -> pa.Array:
     """SimHash of each text; null counts as empty."""
-    return pa.array([simhash(d or b"") for d in texts.cast(pa.binary()).to_pylist()], pa.int64())
+    return pa.array([simhash(d.as_py() or b"") for d in texts.cast(pa.binary())], pa.int64())
 
 
 def _bits(a, b):
