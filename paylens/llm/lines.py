@@ -143,7 +143,8 @@ def _roles(lines: DataFrame) -> DataFrame:
         .where("equal OR (least IS NOT NULL AND longer)")
         .select("half", "equal", "longer")
     )
-    met = halves.join(stored(shared, "shared"), "half")
+    # Both sides grow with the lines, so they are sorted and merged at every size.
+    met = halves.join(stored(shared, "shared").hint("merge"), "half")
     flags = (
         (F.col("role") == 0) & F.col("equal"),
         (F.col("role") == 1) & F.col("equal"),
@@ -211,7 +212,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         near.unionByName(several).groupBy("a", "b").agg(F.any_value("first").alias("first"), F.max("of").alias("of")),
         "again",
     )
-    found = lines.select("doc_id", "copy", "line", "a", "b").join(again, ["a", "b"])
+    found = lines.select("doc_id", "copy", "line", "a", "b").join(again.hint("merge"), ["a", "b"])
     found = found.where(F.col("of").isNotNull() | ~place.eqNullSafe(F.col("first")))
     kept = F.coalesce("of", "first")
     return found.select(
