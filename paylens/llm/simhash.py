@@ -8,7 +8,7 @@ reach therefore meets in the leaf where one of the two lives, and the result is
 sample was.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -231,11 +231,11 @@ def near_links(prints: DataFrame, leaf_rows: int = LEAF_ROWS, sample: int = SAMP
     return placed.groupBy("leaf").applyInArrow(link, "a long, b long")
 
 
-def component_names(prints: DataFrame) -> DataFrame:
+def component_names(prints: DataFrame, links: Callable[[DataFrame], DataFrame] = near_links) -> DataFrame:
     """Columns `fp`, `component` (its least linked fingerprint) and `component_id` (the least
     `doc_id` of the component; null when it has none), one row per distinct fingerprint."""
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(near_links(distinct))
+    roots = components(links(distinct))
     linked = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("component")
     )
@@ -277,7 +277,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         rows.select("row", "doc_id", fingerprint("text").alias("fp"), F.xxhash64("text").alias("hash")),
         "rows",
     )
-    named = component_names(rows)
+    return first_rows(rows, component_names(rows))
+
+
+def first_rows(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """Of each component the `row` with the smallest `doc_id`, then the least `hash`, as columns."""
     first = stored(
         rows.select("doc_id", "hash", "fp")
         .join(named, "fp")
