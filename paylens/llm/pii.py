@@ -1,8 +1,8 @@
 """Personal data: fixed patterns, and terms that the corpus shows to reveal them.
 
-Each kind of personal data is a protected entity c. Over all sentences of the corpus, the information
+Each kind of personal data, and each single datum, is a protected entity c. Over all sentences of the corpus, the information
 that a term t gives about c is PMI(c, t) = log2(p(c, t) / (p(c) p(t))), and what there is to know is
-IC(c) = -log2 p(c). A term that gives IC(c) / `ALPHA` or more discloses c. It is replaced by a more
+IC(c) = -log2 p(c). A term that gives IC(c) / `ALPHA` or more, and this not by chance, discloses c. It is replaced by a more
 general term (its first letters, or its digits blanked) where that one discloses nothing, and removed
 otherwise. DataFrame functions only.
 """
@@ -26,8 +26,10 @@ KINDS = tuple(PATTERNS)
 TERM = "term"
 # A term that gives a kind's information content divided by this is disclosing.
 ALPHA = 1.2
-# Different data of a kind that a term must meet before the estimate counts; copies of a text hold the same.
-CONTEXTS = 8
+# Contexts (different data of a kind, or different sentences around a datum) of which fewer show nothing.
+LEAST_CONTEXTS = 2
+# Bound on the chance that any term of no relation to an entity is taken to disclose it.
+CHANCE = 0.01
 # Letters of a word that its general form keeps.
 STEM = 3
 _WORD = r"[^\p{L}\p{N}]+"
@@ -132,12 +134,14 @@ def _sentences(docs: DataFrame) -> DataFrame:
 
 
 def _holding(sentences: DataFrame) -> DataFrame:
-    """Sentences with personal data: their kinds, each with a hash of the data, and their words without it."""
+    """Sentences with personal data: their kinds, each with a hash of the data and those of each datum, and
+    their words without it, with a hash of these as the context."""
 
     def held(kind: str) -> Column:
         def named(spans: Column) -> Column:
             data = F.xxhash64(F.transform(spans, lambda s: s["found"]))
-            return F.when(F.size(spans) > 0, F.struct(F.lit(kind).alias("kind"), data.alias("data")))
+            each = F.array_distinct(F.transform(spans, lambda s: F.xxhash64(_plain(s["found"], kind))))
+            return F.when(F.size(spans) > 0, F.struct(F.lit(kind).alias("kind"), data.alias("data"), each.alias("each")))
 
         return let(base_spans(F.col("sentence"), kind), named)
 
@@ -148,43 +152,83 @@ def _holding(sentences: DataFrame) -> DataFrame:
     kept = sentences.where(F.col("sentence").rlike(r"[@+]|[0-9]")).select(
         "sentence", F.array_compact(kinds).alias("kinds")
     )
-    return kept.where(F.size("kinds") > 0).select("kinds", _terms(masked).alias("terms"))
+    kept = kept.where(F.size("kinds") > 0).select("kinds", _terms(masked).alias("terms"))
+    return kept.withColumn("context", F.xxhash64("terms"))
+
+
+def _plain(found: Column, kind: str) -> Column:
+    """A datum however it is written."""
+    return F.regexp_replace(found, "[^0-9]", "") if kind in ("card", "phone") else F.lower(found)
+
+
+def _met(pairs: DataFrame) -> DataFrame:
+    """Per `term`, `kind` and `entity` the sentences with both and the different contexts among these."""
+    return (
+        pairs.groupBy("term", "kind", "entity", "context")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("term", "kind", "entity")
+        .agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("contexts"))
+    )
+
+
+def _by_chance(tests: int) -> Column:
+    """Whether a term may have met its entity by chance: Chernoff's bound on the binomial tail, for so many
+    tests. Sentences with both count once a context, those with the term alone each time."""
+    k, p = F.col("contexts").cast("double"), F.col("share")
+    n = k + F.col("alone") - F.col("both")
+    q = k / n
+    without = F.when(q < 1, (1 - q) * F.log((1 - q) / F.greatest(1 - p, F.lit(1e-12)))).otherwise(0.0)
+    return (q <= p) | (n * (q * F.log(q / p) + without) < F.log(F.lit(max(1, tests) / CHANCE)))
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """Terms that reveal a kind of personal data, one row each, with what stands for them.
 
-    Columns `term`, `kind` (the one revealed most), `pmi`, `content` (that kind's information content)
+    Columns `term`, `kind` (the one revealed most, itself or a datum of it), `pmi`, `content` (that kind's information content)
     and `instead` (the general form, or null where that discloses as well). Counted over the sentences
-    of all documents; a term must meet `CONTEXTS` different data of the kind.
+    of all documents, for each kind and for each datum. Copies teach nothing: of a kind the different data
+    count, of a datum the sentences that differ without it; see `_by_chance`.
     """
     sentences = _sentences(docs)
     holding = stored(_holding(sentences), "holding")
-    met = (
-        holding.select(F.inline("kinds"), "terms")
-        .select("kind", "data", F.explode("terms").alias("term"))
-        .groupBy("term", "kind", "data")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("term", "kind")
-        .agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("contexts"))
-        .where(F.col("contexts") >= CONTEXTS)
+    of_kind = holding.select(F.inline("kinds"), "terms").select(
+        "kind", F.lit(0).cast("long").alias("entity"), F.col("data").alias("context"), "terms"
+    )
+    single = holding.select(F.inline("kinds"), "terms", "context").select(
+        "kind", F.explode("each").alias("entity"), "context", "terms"
     )
-    met = stored(met, "met")
+    # A datum in one context only cannot meet a term in two.
+    again = single.groupBy("kind", "entity").agg(F.min("context").alias("low"), F.max("context").alias("high"))
+    again = stored(again.where("low <> high").select("kind", "entity"), "again")
+    single = single.join(again, ["kind", "entity"])
+    total = float(max(1, sentences.count()))
+    levels = []
+    for name, rows in (("kind", of_kind), ("datum", single)):
+        met = stored(_met(rows.select("kind", "entity", "context", F.explode("terms").alias("term"))), f"met_{name}")
+        share = (F.count(F.lit(1)) / F.lit(total)).alias("share")
+        shares = stored(rows.groupBy("kind", "entity").agg(share), f"shares_{name}")
+        shares = F.broadcast(shares) if name == "kind" else shares
+        levels.append((met.where(F.col("contexts") >= LEAST_CONTEXTS), shares, met.count()))
+    asked = stored(levels[0][0].select("term").union(levels[1][0].select("term")).distinct(), "asked")
     counted = (
         sentences.select(F.explode(_terms(F.col("sentence"))).alias("term"))
-        .join(met.select("term").distinct(), "term", "left_semi")
+        .join(asked, "term", "left_semi")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("alone"))
     )
-    total = sentences.count()
-    of_kind = holding.select(F.inline("kinds")).groupBy("kind").agg(F.count(F.lit(1)).alias("of_kind"))
-    rated = (
-        met.join(counted, "term")
-        .join(F.broadcast(of_kind), "kind")
-        .withColumn("pmi", F.log2(F.col("both") * F.lit(float(total)) / (F.col("alone") * F.col("of_kind"))))
-        .withColumn("content", -F.log2(F.col("of_kind") / F.lit(float(max(1, total)))))
-        .where(F.col("pmi") >= F.col("content") / ALPHA)
-    )
+    counted = stored(counted, "counted")
+
+    def rate(met: DataFrame, shares: DataFrame, tests: int) -> DataFrame:
+        return (
+            met.join(counted, "term")
+            .join(shares, ["kind", "entity"])
+            .withColumn("pmi", F.log2(F.col("both") / (F.col("alone") * F.col("share"))))
+            .withColumn("content", -F.log2("share"))
+            .where((F.col("pmi") >= F.col("content") / ALPHA) & ~_by_chance(tests))
+            .select("term", "kind", "pmi", "content")
+        )
+
+    rated = rate(*levels[0]).union(rate(*levels[1]))
     rated = stored(rated.select("term", "kind", "pmi", "content"), "rated")
     best = rated.groupBy("term").agg(F.max(F.struct("pmi", "kind", "content")).alias("best"))
     marked = F.substring("term", 2, 1 << 30)

@@ -145,6 +145,20 @@ def test_copies_do_not_teach(spark):
     assert P.disclosing_terms(docs).collect() == []
 
 
+def test_single_datum(spark):
+    """A name that always stands beside one person's data is found; words of chance and of one context are not."""
+    rng = random.Random(14)
+    words = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
+    fill = lambda: " ".join(rng.choice(words) for _ in range(6))
+    rows = [(i, f"{fill()}. {fill()} user{i}@mail.org.") for i in range(300)]
+    rows += [(1000 + i, f"{fill()} Quillon {fill()} quill@home.org.") for i in range(5)]
+    rows += [(2000 + i, f"{fill()} Zorba {fill()} {c}.") for i, c in enumerate(("4111 1111 1111 1111", "4111-1111-1111-1111") * 2)]
+    rows += [(3000 + i, "Once copied beside only@home.org.") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = {r.term: r.kind for r in P.disclosing_terms(docs).collect()}
+    assert terms == {"quillon": "email", "zorba": "card"}
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame(
         [(None, "a@b.co", 1), (1, None, 2), (1, "", 3), (2, "+12345678 and +12345678", 4), (2, "+12345678 and +12345678", 4)],
