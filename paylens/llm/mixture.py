@@ -231,6 +231,8 @@ def pack_mixture(
 ) -> DataFrame:
     """Packs all documents into sequences of `length` ids in which every source has its target share.
 
+    Given targets hold per shard and only until one of its sources runs dry: no shard takes over what another owes.
+
     Takes `doc_id`, `source` and `text`. `targets` are weights by source; by default each source gets
     its share of all ids, so that every window looks like the whole. A null source is a source of its
     own, a null text is empty (its end id alone), repeated rows are packed each. Returns a row per piece:
