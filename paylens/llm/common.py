@@ -68,3 +68,21 @@ def components(links: DataFrame) -> DataFrame:
         if changed.isEmpty():
             return jumped
         roots = jumped
+
+
+def usable_vectors(vectors: DataFrame, entry: Callable[[Column], Column]) -> DataFrame:
+    """`vec_id` and `x`, `entry` of every component as a double, of the vectors that hold finite numbers only.
+
+    A null vector and one with a component that is null, infinite or not a number is left out.
+    """
+    c = F.col("embedding").cast("array<double>")
+    finite = F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return vectors.where(F.coalesce(finite, F.lit(False))).select(
+        F.col("vec_id").cast("long").alias("vec_id"), F.transform(c, entry).alias("x")
+    )
+
+
+def whole_number(value: Column) -> Column:
+    """The floor of a double as a long; beyond 62 bits an error, never a wrong number."""
+    fits = F.abs(value) < float(1 << 62)
+    return F.when(fits, F.floor(value)).otherwise(F.raise_error(F.lit("a vector component is beyond 62 bits")).cast("long"))

@@ -150,5 +150,5 @@ items AS (SELECT min(id) AS item_id, s, len(s) AS n FROM sets WHERE kind = 'i' A
 wanted AS (SELECT item_id, n, unnest(s) AS g FROM items),
 had AS (SELECT DISTINCT id, unnest(s) AS g FROM sets WHERE kind = 'd')
 SELECT id AS doc_id, item_id, n AS n_shingles, count(*) AS shared, count(*) / n AS containment
-FROM had JOIN wanted USING (g) GROUP BY ALL HAVING count(*) * 10 >= 8 * n
+FROM had JOIN wanted USING (g) GROUP BY id, item_id, n HAVING count(*) * 10 >= 8 * n
 """

@@ -1,11 +1,11 @@
-"""The text operators over the given tables, whole, with production parameters."""
+"""The text and vector operators over the given tables, whole, with production parameters."""
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from paylens.llm import decontaminate, lines
+from paylens.llm import decontaminate, lines, topk
 from paylens.llm.common import read
 from paylens.llm.fingerprints import edited_fingerprints
 from paylens.llm.language import identify
@@ -63,6 +63,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, path).drop("payload")
 
 
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(read(spark, sf_dir, "embeddings"), modulus=50)
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_packed_ids": op2_packed_ids,
@@ -74,10 +78,12 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
+    "op13_topk": op13_topk,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
     "op4_lines": lines.ORACLE,
     "op9_decontamination": decontaminate.ORACLE,
+    "op13_topk": topk.ORACLE,
 }
