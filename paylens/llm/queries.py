@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from paylens.llm import decontaminate, lines, topk
+from paylens.llm import collocations, decontaminate, lines, topk
 from paylens.llm.common import read
 from paylens.llm.fingerprints import edited_fingerprints
 from paylens.llm.language import identify
@@ -15,6 +15,7 @@ from paylens.llm.quality import score_documents
 from paylens.llm.simhash import as_digits, near_duplicates
 from paylens.llm.tokens import pack_documents
 from paylens.llm.warc import read_archives, write_archives
+from paylens.llm.whitening import whiten
 from paylens.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +64,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, path).drop("payload")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
 def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(read(spark, sf_dir, "embeddings"), modulus=50)
 
@@ -78,6 +87,8 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
+    "op11_collocations": op11_collocations,
+    "op12_whitening": op12_whitening,
     "op13_topk": op13_topk,
     "pipeline": corpus_pipeline.run,
 }
@@ -85,5 +96,6 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op4_lines": lines.ORACLE,
     "op9_decontamination": decontaminate.ORACLE,
+    "op11_collocations": collocations.ORACLE,
     "op13_topk": topk.ORACLE,
 }
