@@ -34,6 +34,8 @@ CHANCE = 0.01
 STEM = 3
 _WORD = r"[^\p{L}\p{N}]+"
 _SENTENCE = r"(?<=[.!?])\s+|\n"
+# What every sentence with personal data has.
+_MAY_HOLD = r"[@+]|[0-9]"
 
 
 def _small_parts(match: Column) -> Column:
@@ -146,16 +148,21 @@ def _holding(sentences: DataFrame) -> DataFrame:
         return let(base_spans(F.col("sentence"), kind), named)
 
     kinds = F.array(*map(held, KINDS))
-    masked = F.col("sentence")
-    for pattern in PATTERNS.values():
-        masked = F.regexp_replace(masked, pattern, " ")
-    kept = sentences.where(F.col("sentence").rlike(r"[@+]|[0-9]")).select(
+    kept = sentences.where(F.col("sentence").rlike(_MAY_HOLD)).select(
         "sentence", F.array_compact(kinds).alias("kinds")
     )
-    kept = kept.where(F.size("kinds") > 0).select("kinds", _terms(masked).alias("terms"))
+    kept = kept.where(F.size("kinds") > 0).select("kinds", _terms(_masked(F.col("sentence"))).alias("terms"))
     return kept.withColumn("context", F.xxhash64("terms"))
 
 
+def _masked(sentence: Column) -> Column:
+    """A sentence with a space in place of all that looks like personal data."""
+    bare = sentence
+    for pattern in PATTERNS.values():
+        bare = F.regexp_replace(bare, pattern, " ")
+    return F.when(sentence.rlike(_MAY_HOLD), bare).otherwise(sentence)
+
+
 def _plain(found: Column, kind: str) -> Column:
     """A datum however it is written."""
     return F.regexp_replace(found, "[^0-9]", "") if kind in ("card", "phone") else F.lower(found)
@@ -175,7 +182,7 @@ def _by_chance(tests: int) -> Column:
     """Whether a term may have met its entity by chance: Chernoff's bound on the binomial tail, for so many
     tests. Sentences with both count once a context, those with the term alone each time."""
     k, p = F.col("contexts").cast("double"), F.col("share")
-    n = k + F.col("alone") - F.col("both")
+    n = k + F.greatest(F.col("alone") - F.col("both"), F.lit(0))
     q = k / n
     without = F.when(q < 1, (1 - q) * F.log((1 - q) / F.greatest(1 - p, F.lit(1e-12)))).otherwise(0.0)
     return (q <= p) | (n * (q * F.log(q / p) + without) < F.log(F.lit(max(1, tests) / CHANCE)))
@@ -210,8 +217,9 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
         shares = F.broadcast(shares) if name == "kind" else shares
         levels.append((met.where(F.col("contexts") >= LEAST_CONTEXTS), shares, met.count()))
     asked = stored(levels[0][0].select("term").union(levels[1][0].select("term")).distinct(), "asked")
+    # The same words as beside personal data, so that a term is alone at least as often as with any.
     counted = (
-        sentences.select(F.explode(_terms(F.col("sentence"))).alias("term"))
+        sentences.select(F.explode(_terms(_masked(F.col("sentence")))).alias("term"))
         .join(asked, "term", "left_semi")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("alone"))
