@@ -174,7 +174,7 @@ _HYDRATED = """
     FROM neighbours JOIN tx USING (tx_id)"""
 _SIMILAR_TOP = f"""
     {_tx('tx_orders')}, vectors AS ({_VECTORS}),
-    top AS (SELECT tx_id FROM tx ORDER BY amount DESC, tx_id LIMIT 50),
+    top AS (SELECT tx_id FROM tx WHERE tx_id IN (SELECT tx_id FROM vectors) ORDER BY amount DESC, tx_id LIMIT 50),
     queries AS (SELECT tx_id AS query_id, embedding FROM vectors WHERE tx_id IN (SELECT tx_id FROM top)),
     {_nearest(True)}, found AS ({_HYDRATED}),
     shared AS (
@@ -409,6 +409,12 @@ ORACLES: dict[str, str] = {
     "vector_upsert": f"""WITH old AS ({_profiles(_PART_TEXTS)}), new AS ({_profiles(_DOCUMENTS)}),
         vectors AS (SELECT * FROM new UNION ALL
                     SELECT * FROM old WHERE tx_id NOT IN (SELECT tx_id FROM new)) {_LETTER_ROWS}""",
+    "bucketed_upsert": f"""WITH old AS ({_profiles(_PART_TEXTS)}), new AS ({_profiles(_DOCUMENTS)}),
+        vectors AS (SELECT * FROM new UNION ALL
+                    SELECT * FROM old WHERE tx_id NOT IN (SELECT tx_id FROM new)) {_LETTER_ROWS}""",
+    "knn_cells_top20": f"""WITH vectors AS ({_profiles(_DOCUMENTS)}),
+        queries AS (SELECT tx_id AS query_id, embedding FROM vectors), {_nearest(True)}
+        SELECT query_id, tx_id, rank, distance FROM neighbours""",
     "knn_cosine_top20": f"""WITH vectors AS ({_VECTORS}),
         queries AS (SELECT tx_id AS query_id, embedding FROM vectors), {_nearest(True)}
         SELECT query_id, tx_id, rank, distance FROM neighbours""",
@@ -422,10 +428,10 @@ ORACLES: dict[str, str] = {
         queries AS (SELECT tx_id AS query_id, embedding FROM ({_profiles(
             f"SELECT counterparty AS tx_id, {_norm('counterparty')} AS search_text FROM names")})),
         vectors AS ({_profiles('SELECT tx_id, search_text FROM tx')}), {_nearest(False)} {_HYDRATED}""",
-    "unsearchable_ids": f"""
-        SELECT CAST(o_orderkey AS STRING) AS tx_id,
-               CASE WHEN o_orderkey % 5 = 0 THEN 'no such transaction' ELSE 'no search text' END AS problem
-        FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 IN (0, 1, 2)""",
+    "unsearchable_ids": """
+        SELECT CAST(o_orderkey AS STRING) AS tx_id, 'no search text' AS problem
+        FROM orders WHERE o_orderkey % 7 IN (0, 1, 2)
+        UNION ALL SELECT concat('part ', p_partkey), 'no such transaction' FROM part""",
     "rows_by_id": f"""WITH {_tx('tx_orders')}
         SELECT tx_id, booking_date, counterparty, amount, description FROM tx
         WHERE tx_id IN (SELECT tx_id FROM ({_VECTORS}))""",
@@ -457,7 +463,7 @@ ORACLES: dict[str, str] = {
         f"{_money('new_amount')} AS new_amount, {_percent('change_pct')} AS change_pct, date_span",
         "change_pct DESC, counterparty", _price_rise()),
     "chosen_row": f"""WITH {_tx('tx_orders')}, result AS ({_recurring()})
-        SELECT *, CAST(row_number() OVER (ORDER BY n DESC, counterparty) AS INTEGER) AS "#"
+        SELECT *, row_number() OVER (ORDER BY n DESC, counterparty) AS "#"
         FROM result QUALIFY "#" = 7""",
     "result_json": f"""WITH {_tx('tx_orders')}, result AS ({_recurring()})
         SELECT CAST(to_json({{'counterparty': counterparty, 'n': n,
@@ -474,3 +480,15 @@ ORACLES: dict[str, str] = {
     "parse_replies": f"WITH {_parsed()} SELECT * FROM parsed",
     "validate_params": f"WITH {_parsed()}, {_validated('parsed', _ORDER_BOUNDS)}",
 }
+
+# The same results reached another way.
+for _name, _same in (
+    ("statement_reload", "statement_load"),
+    ("period_by_month", "dataset_period"),
+    ("recurring_by_month", "recurring_payments_period"),
+    ("recurring_merged", "recurring_payments"),
+    ("duplicates_merged", "duplicate_payments"),
+    ("frequent_small_merged", "frequent_small_payments"),
+    ("price_rise_merged", "price_rise"),
+):
+    ORACLES[_name] = ORACLES[_same]

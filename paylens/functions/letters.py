@@ -4,40 +4,29 @@ A text becomes the counts of its 32 kept letters, scaled to unit length. It tell
 not meaning.
 """
 
-from collections.abc import Callable
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from paylens.fixed_values import SEARCH_LETTERS
 
 
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body(value)` with `value` evaluated once, however often the body uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
-def letter_profile(text: Column) -> Column:
-    """As a column expression; null for a text without letters."""
-    counts = F.array(
-        *[F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in SEARCH_LETTERS]
-    )
-
-    def with_norm(c: Column) -> Column:
-        squares = F.aggregate(c, F.lit(0.0), lambda s, n: s + n.cast("double") * n)
-        return F.struct(c.alias("counts"), F.sqrt(squares).alias("norm"))
-
-    def scaled(p: Column) -> Column:
-        weights = F.transform(p["counts"], lambda n: (n / p["norm"]).cast("float"))
-        return F.when(p["norm"] > 0, weights)
-
-    return _bound(_bound(counts, with_norm), scaled)
-
-
 def encode_letters(texts: list[str]) -> np.ndarray:
     """As a batch encoder (`list[str] -> ndarray`); zeros for a text without letters."""
     counts = np.array([[t.count(c) for c in SEARCH_LETTERS] for t in texts], dtype=np.float64)
     counts = counts.reshape(len(texts), len(SEARCH_LETTERS))
     norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
     return np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0).astype(np.float32)
+
+
+@F.arrow_udf(ArrayType(FloatType()))
+def _profiles(texts: pa.Array) -> pa.Array:
+    found = encode_letters([t or "" for t in texts.to_pylist()])
+    return pa.array([row if row.any() else None for row in found], pa.list_(pa.float32()))
+
+
+def letter_profile(text: Column) -> Column:
+    """As a column; null for a text without letters. Counted batch by batch, a letter at a time."""
+    return _profiles(text)

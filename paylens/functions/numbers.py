@@ -26,6 +26,16 @@ def average(amount: Column, digits: int = 2) -> Column:
     return round_half_away(F.sum(amount).cast("double") / F.count(amount), digits)
 
 
+def total_of(amount: Column, c: Column) -> Column:
+    """`total` of amounts that occur `c` times each."""
+    return F.sum(amount * c.cast("decimal(18,0)")).cast(TOTAL)
+
+
+def average_of(amount: Column, c: Column, digits: int = 2) -> Column:
+    """`average` of amounts that occur `c` times each."""
+    return round_half_away(F.sum(amount * c.cast("decimal(18,0)")).cast("double") / F.sum(c), digits)
+
+
 def percent_change(old: Column, new: Column, digits: int = 1) -> Column:
     """Null where the old value is zero."""
     ratio = F.try_divide((new - old).cast("double"), old.cast("double"))

@@ -11,9 +11,20 @@ from paylens.functions.text import has_text
 from paylens.schema import DETAIL_COLUMNS, TECHNICAL_COLUMNS
 
 
+# The month of a row, in a table that is laid out by month (see `sources.months`).
+BOOKING_MONTH = "booking_month"
+
+
+def month_number(day: date) -> int:
+    return day.year * 12 + day.month - 1
+
+
 def in_period(transactions: DataFrame, date_from: date, date_to: date) -> DataFrame:
-    """Both days included; a reversed period holds nothing."""
-    return transactions.where(F.col("booking_date").between(F.lit(date_from), F.lit(date_to)))
+    """Both days included; a reversed period holds nothing. Of a table laid out by month only the months are read."""
+    kept = transactions.where(F.col("booking_date").between(F.lit(date_from), F.lit(date_to)))
+    if BOOKING_MONTH in transactions.columns:
+        kept = kept.where(F.col(BOOKING_MONTH).between(month_number(date_from), month_number(date_to)))
+    return kept
 
 
 def up_to_amount(transactions: DataFrame, max_amount: float) -> DataFrame:

@@ -193,11 +193,15 @@ def price_rise(transactions: DataFrame, p: PriceRise = PriceRise()) -> DataFrame
     level before the first shuffle, and that shuffle is by counterparty and amount, so one huge
     counterparty is spread over its prices; the second aggregates again before it shuffles.
     """
+    return price_rises(price_levels(in_period(transactions, p.date_from, p.date_to)), p)
+
+
+def price_rises(prices: DataFrame, p: PriceRise) -> DataFrame:
+    """The second level of `price_rise`, from `price_levels`."""
     c, amount = F.col("c"), F.col("amount")
     x = amount.cast("double")
     groups = (
-        price_levels(in_period(transactions, p.date_from, p.date_to))
-        .groupBy("counterparty")
+        prices.groupBy("counterparty")
         .agg(
             F.sum(c).alias("n"),
             F.min(amount).alias("old_amount"),

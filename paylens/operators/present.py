@@ -1,42 +1,75 @@
 """Results as display rows and as JSON."""
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paylens.functions.numbers import money_text, percent_text
 from paylens.operators.filters import without_technical
 from paylens.schema import MONEY_COLUMNS, PERCENT_COLUMNS
-from paylens.sources.tables import written
+from paylens.session import scratch_path
 
 ROW_NUMBER = "#"
 
 
-def numbered(result: DataFrame, order: list[Column]) -> DataFrame:
-    """Rows with their number from 1 in the result's order.
+@dataclass(frozen=True)
+class ResultIndex:
+    """A sorted result as it was written: `rows` in ranges of the order, each in a folder of its own, with their
+    place in the range; of each range its number, the rows before it, and its own."""
+
+    rows: DataFrame
+    columns: list[str]
+    ranges: list[tuple[int, int, int]]
+
+    def numbered(self) -> DataFrame:
+        """All rows with their number from 1."""
+        spark = self.rows.sparkSession
+        before = spark.createDataFrame([r[:2] for r in self.ranges], "_range int, _before long")
+        number = (F.col("_before") + F.col("_place") + 1).alias(ROW_NUMBER)
+        return self.rows.join(F.broadcast(before), "_range").select(*_named(self.columns), number)
+
+    def row(self, number: int) -> DataFrame:
+        """The row with this number, from the folder of its range; an error if there is none."""
+        for part, before, n in self.ranges:
+            if before < number <= before + n:
+                found = self.rows.where((F.col("_range") == part) & (F.col("_place") == number - before - 1))
+                return found.select(*_named(self.columns), F.lit(number).cast("long").alias(ROW_NUMBER))
+        raise ValueError(f"the result has no row {number}")
+
+
+def _named(columns: list[str]) -> list[Column]:
+    return [F.col(f"`{c}`") for c in columns]
 
-    The sort cuts the rows into ranges. Each range numbers its own rows and adds those of the ranges
-    before it, of which there is one count per task.
+
+def index_result(result: DataFrame, order: list[Column]) -> ResultIndex:
+    """Sorts and writes a result once; any row of it is then found without sorting.
+
+    The sort cuts the rows into ranges, one per task, and the driver sees a row for each of them.
     """
     in_range = (1 << 33) - 1
-    ranges = result.orderBy(*order).select(
+    placed = result.orderBy(*order).select(
         "*",
-        F.spark_partition_id().alias("_range"),
         F.monotonically_increasing_id().bitwiseAND(in_range).alias("_place"),
+        F.spark_partition_id().alias("_range"),
     )
-    ranges = written(ranges, "ranges")
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    number = (F.col("_start") + F.col("_place") + 1).cast("int").alias(ROW_NUMBER)
-    return ranges.join(F.broadcast(starts), "_range").select(*result.columns, number)
+    path = scratch_path(result.sparkSession, "ranges")
+    placed.write.partitionBy("_range").parquet(path)
+    rows = result.sparkSession.read.schema(placed.schema).parquet(path)
+    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect()
+    before = accumulate((r.n for r in counts), initial=0)
+    return ResultIndex(rows, result.columns, [(r["_range"], b, r.n) for r, b in zip(counts, before)])
+
+
+def numbered(result: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows with their number from 1 in the result's order."""
+    return index_result(result, order).numbered()
 
 
 def row_at(result: DataFrame, order: list[Column], number: int) -> DataFrame:
-    """The row with this number; an error if the result has no such row."""
-    row = numbered(result, order).where(F.col(ROW_NUMBER) == number)
-    if row.isEmpty():
-        raise ValueError(f"the result has no row {number}")
-    return row
+    """The row with this number; an error if the result has no such row. For several, keep an `index_result`."""
+    return index_result(result, order).row(number)
 
 
 def cell_text(name: str, data_type: str) -> Column:

@@ -21,8 +21,6 @@ _UNITS = 10**DISTANCE_DIGITS
 # Queries that are broadcast: at most so many, of at most so many bytes in all.
 BROADCAST_QUERIES = 4096
 BROADCAST_BYTES = 128 << 20
-# Beyond that: bytes of vectors in one block of the query-by-corpus grid.
-GRID_BLOCK_BYTES = 128 << 20
 
 _CANDIDATES = pa.schema(
     [("query_id", pa.string()), ("tx_id", pa.string()), ("distance", pa.float64())]
@@ -134,38 +132,6 @@ def _scan_against(queries: pa.Table, corpus: DataFrame, k: int) -> DataFrame:
     return corpus.mapInArrow(scan, _CANDIDATES_DDL)
 
 
-def _blocks(vectors: DataFrame) -> int:
-    size = vectors.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dims")
-    ).first()
-    return max(1, -(-size.n * size.dims * 8 // GRID_BLOCK_BYTES))
-
-
-def _in_blocks(vectors: DataFrame, own: str, key: str, n: int, other: str, n_other: int):
-    """Rows in even blocks by hashed id, each block repeated for every block of the other side."""
-    return vectors.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(
-        other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
-    )
-
-
-def _scan_grid(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Candidates when the queries are too many to broadcast: every block of queries meets every
-    block of the corpus in a task of bounded size, and leaves k per query and block pair."""
-    n_queries, n_corpus = _blocks(queries), _blocks(corpus)
-    left = _in_blocks(queries, "q_block", "query_id", n_queries, "c_block", n_corpus)
-    right = _in_blocks(corpus, "c_block", "tx_id", n_corpus, "q_block", n_queries)
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        nearest = _Nearest(*_rows(left, "query_id"), k)
-        nearest.add(*_rows(right, "tx_id", nearest.dims))
-        return pa.Table.from_batches([nearest.batch()], schema=_CANDIDATES)
-
-    cell = ("q_block", "c_block")
-    return (
-        left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(meet, _CANDIDATES_DDL)
-    )
-
-
 def ranked(candidates: DataFrame, k: int) -> DataFrame:
     """First k different ids per query, nearest first, with their rank from 1.
 
@@ -189,17 +155,19 @@ def nearest(
 
     `queries` holds `query_id, embedding`, `corpus` holds `tx_id, embedding`; of an id that it holds
     several times the nearest row counts. With `exclude_self` a row whose id equals the query's is left out before ranking. Queries up to a
-    checked size are broadcast and the corpus is scanned in place, without a shuffle.
+    checked size are broadcast and the corpus is scanned in place, without a shuffle; for more the corpus is
+    indexed into cells first (see `cells`, which also takes an index that was built before).
     """
     queries = queries.select("query_id", "embedding")
     corpus = corpus.select("tx_id", "embedding")
     wanted = k + 1 if exclude_self else k
 
     taken = queries.limit(BROADCAST_QUERIES + 1).toArrow()
-    if taken.num_rows <= BROADCAST_QUERIES and taken.nbytes <= BROADCAST_BYTES:
-        candidates = _scan_against(taken, corpus, wanted)
-    else:
-        candidates = _scan_grid(queries, corpus, wanted)
+    if taken.num_rows > BROADCAST_QUERIES or taken.nbytes > BROADCAST_BYTES:
+        from paylens.operators.cells import build_cells, nearest_in_cells  # it builds on this module
+
+        return nearest_in_cells(queries, build_cells(corpus), k, exclude_self)
+    candidates = _scan_against(taken, corpus, wanted)
     if exclude_self:
         candidates = candidates.where(F.col("query_id") != F.col("tx_id"))
     return ranked(candidates, k)

@@ -91,10 +91,10 @@ RAW_STATEMENTS = """
            CASE WHEN o_orderkey % 73 = 0 THEN CAST(NULL AS STRING) ELSE 'EUR' END AS VALUUTA
     FROM orders JOIN customer ON o_custkey = c_custkey"""
 
-# User turns of conversations as they are, and questions asked about every order.
+# All turns of conversations as they are, and questions asked about every order.
 QUESTIONS = """
     SELECT concat('turn ', CAST(conv_id AS STRING), '/', CAST(turn AS STRING)) AS question_id, text
-    FROM conversations WHERE role = 'user'
+    FROM conversations
     UNION ALL
     SELECT concat('order ', CAST(o_orderkey AS STRING)) AS question_id,
            CASE CAST(o_orderkey % 12 AS INT)
@@ -156,12 +156,17 @@ REPLIES = """
            END AS reply
     FROM orders"""
 
-# Orders of which some are missing and some have no words: null, empty, digits only.
+# Orders of which some have no words: null, empty, digits only.
 GAPS = """
     SELECT CAST(o_orderkey AS STRING) AS tx_id,
            CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN CAST(o_custkey AS STRING) WHEN 1 THEN ''
            WHEN 2 THEN CAST(NULL AS STRING) ELSE o_orderpriority END AS description
-    FROM orders WHERE o_orderkey % 5 <> 0"""
+    FROM orders"""
+
+# Ids to search by: all orders, and parts, which are no transactions.
+SOURCES = """
+    SELECT CAST(o_orderkey AS STRING) AS tx_id FROM orders
+    UNION ALL SELECT concat('part ', CAST(p_partkey AS STRING)) AS tx_id FROM part"""
 
 # Names of which some are empty or hold no letter.
 NAMES = """

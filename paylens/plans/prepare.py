@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from paylens.functions.text import search_text
 from paylens.operators.encode import Encoder, build_vectors
+from paylens.sources.buckets import point_view, upsert_buckets
 from paylens.sources.statements import (
     check_statements,
     duplicate_ids,
@@ -23,7 +24,6 @@ from paylens.sources.tables import (
     blank_text_audit,
     new_version_path,
     point_table,
-    upsert_vectors,
     write_table,
 )
 
@@ -47,7 +47,6 @@ def load_statements(
     base_path: str,
     table: str,
     strict: bool = True,
-    multi_line: bool = True,
     with_search_text: bool = False,
 ) -> LoadReport:
     """Replaces `table` by the rows of statement files.
@@ -56,7 +55,7 @@ def load_statements(
     load; otherwise rejects are left out and counted. An empty statement and a repeated id always fail
     it. After a failure the table is as it was; the folder just written stays, to be looked into.
     """
-    checked = check_statements(read_statements(spark, paths, multi_line))
+    checked = check_statements(read_statements(spark, paths))
     seen = Observation()
     watched = checked.observe(
         seen,
@@ -102,20 +101,16 @@ def build_index(
     tasks: int | None = None,
 ) -> int:
     """Encodes all search texts into the vector table, replacing vectors of the same id and keeping
-    those of other ids. Gives the rows encoded; none is an error."""
-    new_path = new_version_path(base_path)
+    those of other ids. Gives the rows encoded; none is an error.
+
+    The table lies in buckets under `base_path`; only buckets with an encoded id are written anew."""
     vectors = build_vectors(spark.table(transactions_table), encoder, tasks=tasks)
-    counts = write_table(vectors, new_path)
-    if counts["rows"] == 0:
+    path = f"{base_path.rstrip('/')}/{vectors_table}"
+    done = upsert_buckets(vectors, path)
+    if done.rows == 0:
         raise ValueError("no transaction has a search text; fill them first")
-    if not spark.catalog.tableExists(vectors_table):
-        point_table(spark, vectors_table, new_path)
-        return counts["rows"]
-    path = new_version_path(base_path)
-    merged = upsert_vectors(spark.table(vectors_table), spark.read.parquet(new_path))
-    write_table(merged, path)
-    point_table(spark, vectors_table, path)
-    return counts["rows"]
+    point_view(spark, vectors_table, path)
+    return done.rows
 
 
 def prepare(

@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 
 from paylens.functions.letters import encode_letters, letter_profile
 from paylens.functions.text import normalise, search_text
-from paylens.operators import facts, payments, present, similar
+from paylens.operators import facts, levels, payments, present, similar
+from paylens.operators.cells import build_cells, nearest_in_cells
 from paylens.operators.encode import batch_encoder, build_vectors, encode_rows
 from paylens.operators.filters import by_id, by_ids, capped, detail, searchable
 from paylens.operators.periods import dataset_bounds, dataset_period, relative_periods
 from paylens.operators.replies import parse_replies, validate_params
 from paylens.operators.routing import route_questions, routed_params
 from paylens.operators.vectors import nearest
-from paylens.plans.fixtures import GAPS, NAMES, QUESTIONS, RAW_STATEMENTS, REPLIES, from_tables, view
+from paylens.plans.fixtures import GAPS, NAMES, QUESTIONS, RAW_STATEMENTS, REPLIES, SOURCES, from_tables, view
 from paylens.plans.prepare import build_index, fill_search_text, load_statements
 from paylens.session import scratch_path
+from paylens.sources.buckets import read_vectors, upsert_buckets
+from paylens.sources.loads import load_files, loaded_rows
+from paylens.sources.months import read_by_month, stored_period, write_by_month
 from paylens.sources.statements import (
     check_statements,
     duplicate_ids,
@@ -30,6 +34,7 @@ from paylens.sources.tables import (
     point_table,
     upsert_vectors,
     write_if_absent,
+    written,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,8 +140,8 @@ def index_vectors(spark, sf_dir):
     table, base = _filled_table(spark, sf_dir)
     build_index(spark, table, f"{table}_vectors", base, letter_profile)
     found = spark.table(f"{table}_vectors")
-    for name in (table, f"{table}_vectors"):
-        spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"DROP VIEW {table}_vectors")
+    spark.sql(f"DROP TABLE {table}")
     return _letters(found)
 
 
@@ -157,10 +162,10 @@ def statement_rejects(spark, sf_dir):
     return rejects.withColumn("errors", F.array_join("errors", "; "))
 
 
-def statement_load(spark, sf_dir):
-    """Statement files written from the rows, in two orders of columns and one without an optional
-    column, read back, checked, written and read as a table."""
-    files, base = scratch_path(spark, "statements"), scratch_path(spark, "tables")
+def _statement_files(spark, sf_dir) -> list[str]:
+    """Statement files written from the rows, in two orders of columns and one without an optional column, with line
+    breaks in quoted fields: their folders."""
+    files = scratch_path(spark, "statements")
     raw = raw_statements(spark, sf_dir)
     part = F.pmod(F.xxhash64("TEHINGU_ID", "SELGITUS"), F.lit(3))
     bare = F.col("VIITENUMBER").isNull()
@@ -170,14 +175,53 @@ def statement_load(spark, sf_dir):
         own.select(*columns).write.csv(
             f"{files}/{n}", sep=";", header=True, quote='"', escape='"', quoteAll=True
         )
-    table = "loaded_" + files[-32:]
-    report = load_statements(
-        spark, [f"{files}/{n}" for n in range(3)], base, table, strict=False, with_search_text=True
-    )
+    return [f"{files}/{n}" for n in range(3)]
+
+
+def statement_load(spark, sf_dir):
+    """Statement files read back, checked, written and read as a table."""
+    files, base = _statement_files(spark, sf_dir), scratch_path(spark, "tables")
+    table = "loaded_" + base[-32:]
+    report = load_statements(spark, files, base, table, strict=False, with_search_text=True)
     spark.sql(f"DROP TABLE {table}")
     return spark.read.parquet(report.path)
 
 
+def statement_reload(spark, sf_dir):
+    """The table after a load of some files and another of all, which reads only the others."""
+    files, base = _statement_files(spark, sf_dir), scratch_path(spark, "loads")
+    load_files(spark, files[:2], base, strict=False)
+    load_files(spark, files, base, strict=False)
+    return loaded_rows(spark, base)
+
+
+def _by_month(spark, sf_dir, name) -> str:
+    path = scratch_path(spark, "months")
+    write_by_month(view(spark, sf_dir, name), path)
+    return path
+
+
+def period_by_month(spark, sf_dir):
+    return stored_period(spark, _by_month(spark, sf_dir, "tx_supply"))
+
+
+def recurring_by_month(spark, sf_dir):
+    table = read_by_month(spark, _by_month(spark, sf_dir, "tx_orders"))
+    return payments.recurring_payments(table, payments.RecurringPayments(FROM, TO))
+
+
+def _merged_levels(name, query):
+    """A query from the states of three parts of a table, each worked out and written by itself."""
+
+    def run(spark, sf_dir):
+        transactions = view(spark, sf_dir, name)
+        part = F.pmod(F.xxhash64("tx_id"), F.lit(3))
+        states = [written(levels.levels(transactions.where(part == k)), "levels") for k in range(3)]
+        return query(levels.merged(states[0].unionByName(states[1]).unionByName(states[2])))
+
+    return run
+
+
 def letter_vectors(spark, sf_dir):
     return _letters(_document_vectors(spark, sf_dir))
 
@@ -194,6 +238,16 @@ def vector_upsert(spark, sf_dir):
     return _letters(upsert_vectors(old, new))
 
 
+def bucketed_upsert(spark, sf_dir):
+    """The same, in a table of buckets: part texts, then all documents, then one document again."""
+    path = scratch_path(spark, "buckets")
+    upsert_buckets(encode_rows(searchable(_with_text(view(spark, sf_dir, "tx_parts"))), letter_profile), path)
+    new = _document_vectors(spark, sf_dir)
+    upsert_buckets(new, path)
+    upsert_buckets(new.orderBy("tx_id").limit(1), path)
+    return _letters(read_vectors(spark, path))
+
+
 def knn_cosine_top20(spark, sf_dir):
     """Each vector's neighbours among all others."""
     vectors = _vectors(spark, sf_dir)
@@ -210,11 +264,23 @@ def knn_names(spark, sf_dir):
     return nearest(queries, _document_vectors(spark, sf_dir))
 
 
+def _normalised_documents(spark, sf_dir):
+    """Documents' vectors, each worked out once."""
+    return written(_document_vectors(spark, sf_dir).where("embedding IS NOT NULL"), "document_vectors")
+
+
+def knn_cells_top20(spark, sf_dir):
+    """Each document's neighbours among all others, through cells."""
+    vectors = _normalised_documents(spark, sf_dir)
+    queries = vectors.withColumnRenamed("tx_id", "query_id")
+    return nearest_in_cells(queries, build_cells(vectors), exclude_self=True)
+
+
 def _similar_top(spark, sf_dir):
-    """Follow-up on the largest orders: neighbours by their stored vectors."""
+    """Follow-up on the largest of the orders that have a stored vector: neighbours by these."""
     orders = view(spark, sf_dir, "tx_orders")
     stored = _vectors(spark, sf_dir)
-    top = payments.top_transactions(orders, payments.TopTransactions(limit=50))
+    top = payments.top_transactions(by_ids(orders, stored), payments.TopTransactions(limit=50))
     return similar.similar_to_result(
         "suurimad_kulutused", top, stored, orders, letter_profile
     ), orders
@@ -243,9 +309,8 @@ def similar_by_name(spark, sf_dir):
 
 
 def unsearchable_ids(spark, sf_dir):
-    """Which orders are missing among those with gaps, or have no search text there."""
-    ids = from_tables(spark, sf_dir, "SELECT CAST(o_orderkey AS STRING) AS tx_id FROM orders")
-    return similar.source_problems(ids, _gaps(spark, sf_dir))
+    """Which of many ids are no orders, or those of orders without a search text."""
+    return similar.source_problems(from_tables(spark, sf_dir, SOURCES), _gaps(spark, sf_dir))
 
 
 def rows_by_id(spark, sf_dir):
@@ -384,11 +449,20 @@ QUERIES: dict[str, Query] = {
     "validate_statement_valid": statement_valid,
     "validate_statement_rejects": statement_rejects,
     "statement_load": statement_load,
+    "statement_reload": statement_reload,
+    "period_by_month": period_by_month,
+    "recurring_by_month": recurring_by_month,
+    "recurring_merged": _merged_levels("tx_orders", levels.recurring_payments),
+    "duplicates_merged": _merged_levels("tx_supply", levels.duplicate_payments),
+    "frequent_small_merged": _merged_levels("tx_events", levels.frequent_small_payments),
+    "price_rise_merged": _merged_levels("tx_price", levels.price_rise),
     "duplicate_ids": _on("tx_supply", duplicate_ids),
     "letter_vectors": letter_vectors,
     "encoded_texts": encoded_texts,
     "vector_upsert": vector_upsert,
+    "bucketed_upsert": bucketed_upsert,
     "knn_cosine_top20": knn_cosine_top20,
+    "knn_cells_top20": knn_cells_top20,
     "knn_texts_top20": knn_names,
     "similar_by_id": similar_by_id,
     "similar_by_name": similar_by_name,

@@ -156,3 +156,28 @@ def test_filters_reach_the_scan(spark, tmp_path, transactions):
     pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
     assert "LessThanOrEqual(amount,15.00)" in pushed
     assert "GreaterThanOrEqual(booking_date,2024-01-01)" in pushed
+
+
+def test_rows_by_number_from_one_index(spark):
+    """A row is read from the folder of its range; nothing is sorted again."""
+    import os
+    import shutil
+
+    from paylens.operators.present import index_result
+
+    result = spark.range(1000).selectExpr("(id * 7919) % 1000 AS v", "id AS `a.b`")
+    index = index_result(result, [F.col("v")])
+    assert len(index.ranges) > 1 and sum(n for *_, n in index.ranges) == 1000
+    assert {r["#"]: r.v for r in index.numbered().collect()} == {k + 1: k for k in range(1000)}
+    part, before, n = index.ranges[-1]
+    folder = index.rows.inputFiles()[0].split("/_range=")[0].removeprefix("file:")
+    for other in os.listdir(folder):
+        if other.startswith("_range=") and other != f"_range={part}":
+            shutil.rmtree(os.path.join(folder, other))
+    row = index.row(before + 1).first()
+    assert (row.v, row["#"], row["a.b"] * 7919 % 1000) == (before, before + 1, before)
+    plan = index.row(before + n)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan
+    for number in (0, 1001):
+        with pytest.raises(ValueError, match="no row"):
+            index.row(number)

@@ -160,3 +160,49 @@ def test_files_with_other_headers(spark, tmp_path):
     rows = valid_rows(check_statements(read_statements(spark, str(tmp_path)))).orderBy("tx_id").collect()
     got = [(r.tx_id, r.counterparty, r.description, str(r.amount), r.reference_no) for r in rows]
     assert got == [("1", "Pood", "leib", "5.00", None), ("2", "Kohvik", "sai", "6.50", "77")]
+
+
+def test_one_file_is_read_by_several_tasks(spark, tmp_path):
+    """Quoted line breaks, doubled quotes and separators, across splits and chunks of any size."""
+    import csv
+    import io
+    import random
+
+    rng = random.Random(9)
+    parts = ["a", "b;", '"', "\n", "\n\n", "x\r\ny", "õ", " ", ";;", '""', "pikk " * 30]
+    rows = [
+        [str(i), "1.2.2024", "".join(rng.choice(parts) for _ in range(rng.randrange(6))), "Pood", "1,5", "",
+         "".join(rng.choice(parts) for _ in range(rng.randrange(8))), "EUR"]
+        for i in range(400)
+    ]
+    rows[200][6] = "rida\n" * 3000  # longer than a split
+    out = io.StringIO()
+    writer = csv.writer(out, delimiter=";", lineterminator="\r\n")
+    writer.writerows([list(STATEMENT_HEADERS), *rows])
+    path = tmp_path / "one.csv"
+    path.write_text("﻿" + out.getvalue(), encoding="utf-8", newline="")
+    wanted = sorted(tuple(r) for r in csv.reader(io.StringIO(out.getvalue(), newline=""), delimiter=";"))
+    wanted.remove(tuple(STATEMENT_HEADERS))
+    for size, chunk in (("2k", 700), ("3k", 1 << 20), ("128m", 500)):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            lines = spark.read.text(str(path))
+            assert size == "128m" or lines.rdd.getNumPartitions() > 8
+            got = sorted(tuple(c or "" for c in r) for r in read_statements(spark, str(path), chunk).collect())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert got == wanted
+
+
+def test_quotes_without_a_match(spark, tmp_path):
+    path = write(tmp_path, HEADER, ROW.format(id='"a'), ROW.format(id="b"))
+    with pytest.raises(ValueError, match="quotes without a match.*s.csv"):
+        read_statements(spark, path)
+
+
+def test_files_without_rows(spark, tmp_path):
+    assert read_statements(spark, write(tmp_path, HEADER)).count() == 0
+    (tmp_path / "empty.csv").write_text("", "utf-8")
+    assert read_statements(spark, str(tmp_path / "empty.csv")).count() == 0

@@ -47,11 +47,10 @@ def sample():
 
 
 @pytest.mark.parametrize("exclude_self", [False, True])
-@pytest.mark.parametrize("grid", [False, True])
-def test_nearest_is_brute_force(spark, sample, monkeypatch, grid, exclude_self):
-    if grid:
+@pytest.mark.parametrize("many", [False, True])
+def test_nearest_is_brute_force(spark, sample, monkeypatch, many, exclude_self):
+    if many:
         monkeypatch.setattr(vectors, "BROADCAST_QUERIES", 3)
-        monkeypatch.setattr(vectors, "GRID_BLOCK_BYTES", 1200)
     got = nearest(frame(spark, sample, "query_id"), frame(spark, sample), 20, exclude_self)
     assert as_lists(got) == brute(sample, sample, 20, exclude_self)
 
@@ -138,11 +137,10 @@ def test_follow_up(spark, transactions):
         ("9", "no such transaction")]
 
 
-@pytest.mark.parametrize("grid", [False, True])
-def test_repeated_ids_and_unusable_vectors(spark, monkeypatch, grid):
-    if grid:
+@pytest.mark.parametrize("many", [False, True])
+def test_repeated_ids_and_unusable_vectors(spark, monkeypatch, many):
+    if many:
         monkeypatch.setattr(vectors, "BROADCAST_QUERIES", 0)
-        monkeypatch.setattr(vectors, "GRID_BLOCK_BYTES", 64)
     inf, nan = float("inf"), float("nan")
     rows = [("a", [1.0, 0.1]), ("a", [1.0, 0.0]), ("a", [1.0, 0.05]), ("a", [1.0, 0.2]), ("a", [1.0, 0.3]),
             ("b", [0.9, 0.5]), ("c", [0.5, 0.9]), ("x", [inf, 1.0]), ("y", [nan, 1.0]), ("z", [None, 1.0]), ("n", None)]
