@@ -1,18 +1,23 @@
 """WARC archives compressed record by record with a Zstandard dictionary.
 
-An archive starts with a skippable frame that holds the dictionary; each record follows as a frame of
-its own, so that a reader can start at any record. Spark's text writer makes the files, one archive
-per task and part of the job's commit, wherever the path points: its line separator is a skippable
-frame of no bytes, which Zstandard readers pass over.
+An archive starts with a skippable frame that holds the dictionary, then comes a record about the archive; each
+record is a frame of its own, so that a reader can start at any. The dictionary is learned from a sample of all
+pages, spread by hash. Records have what WARC/1.1 asks of every record; a page's is an HTTP response, and one that
+revisits another holds the HTTP head alone. Spark's text writer makes the files, one archive per task and part of
+the job's commit, wherever the path points: its line separator is a skippable frame of no bytes, which Zstandard
+readers pass over. After the commit the files get names of archives.
 """
 
+import base64
 import hashlib
-import itertools
 import struct
+import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +30,10 @@ DICTIONARY_FRAME = 0x184D2A5D
 SEPARATOR = "P*M\x18\0\0\0\0"
 # Payloads of at least this many bytes are stored once.
 REVISIT_BYTES = 1000
-# The dictionary's size, and how much of an archive it is learned from; it changes sizes only.
+# The dictionary's size, and how many pages it is learned from, at most so much of each; it changes sizes only.
 DICTIONARY_BYTES = 32 * 1024
-LEARN_BYTES = 4 * 1024 * 1024
+LEARN_PAGES = 512
+LEARN_BYTES = 8 * 1024
 LEVEL = 3
 READ_SCHEMA = (
     "page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
@@ -35,49 +41,95 @@ READ_SCHEMA = (
 )
 
 
-def record_bytes(page_id, url, digest: str, length: int, refers_to, payload: bytes | None) -> bytes:
-    """One WARC record: a response with its payload, or a revisit of another page."""
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if payload is None else 'response'}"]
+def record_id(page_id: int | None, url: str | None, digest: str) -> str:
+    """The record's name, which a record that revisits it can tell from the page's id and payload.
+
+    Only rows with equal ids and payloads share one; a page without an id goes by its address.
+    """
+    page = f"page {page_id}" if page_id is not None else f"address {url}"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {digest}')}>"
+
+
+def _record(fields: list[str], block: bytes) -> bytes:
+    head = ["WARC/1.1", *fields, f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def record_bytes(
+    page_id, url, digest: str, length: int, refers_to, payload: bytes | None, date: str = "1970-01-01T00:00:00Z"
+) -> bytes:
+    """One WARC record: a response with its payload, or a revisit of another page, for which it is null.
+
+    `Page-ID` and `Refers-To-Page` are fields of our own; readers pass over those that they do not know.
+    """
+    revisit = payload is None
+    head = [
+        f"WARC-Type: {'revisit' if revisit else 'response'}",
+        f"WARC-Record-ID: {record_id(page_id, url, digest)}",
+        f"WARC-Date: {date}",
+        "Content-Type: application/http; msgtype=response",
+        "WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(digest)).decode(),
+    ]
     if page_id is not None:
-        head.append(f"WARC-Record-ID: <urn:page:{page_id}>")
+        head.append(f"Page-ID: {page_id}")
     if url is not None:
         head.append("WARC-Target-URI: " + url.translate(_NO_BREAKS))
-    head += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {length}"]
-    if payload is None:
+    if revisit:
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        head.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
-    head.append(f"Content-Length: {len(payload or b'')}")
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + (payload or b"") + b"\r\n\r\n"
+        head.append(f"WARC-Refers-To: {record_id(refers_to, None, digest)}")
+        head.append(f"Refers-To-Page: {refers_to}")
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n"
+    return _record(head, http.encode() + (payload or b""))
+
+
+def archive_info(name: str, date: str) -> bytes:
+    """The record about the archive that starts it."""
+    fields = [
+        "WARC-Type: warcinfo",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'archive {name} {date}')}>",
+        f"WARC-Date: {date}",
+        "Content-Type: application/warc-fields",
+    ]
+    return _record(fields, f"software: paylens\r\nformat: WARC File Format 1.1\r\nisPartOf: {name}\r\n".encode())
 
 
 _NO_BREAKS = {ord("%"): "%25", ord("\r"): "%0D", ord("\n"): "%0A"}
 
 
-def parse_record(data: bytes) -> dict:
-    """The columns of `READ_SCHEMA` from one record."""
+def _fields_of(lines: list[str]) -> dict[str, str]:
+    """Named fields, by their names in lower case."""
+    return {name.lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
+
+
+def parse_record(data: bytes) -> dict | None:
+    """The columns of `READ_SCHEMA` from one record; None for one that is not about a page."""
     head, _, rest = data.partition(b"\r\n\r\n")
     version, *lines = head.decode().split("\r\n")
     if version != "WARC/1.1":
         raise ValueError(f"not a WARC record: {version[:20]!r}")
-    fields = dict(line.split(": ", 1) for line in lines)
-    payload = rest[: int(fields["Content-Length"])]
-    if rest[len(payload) :] != b"\r\n\r\n":
+    fields = _fields_of(lines)
+    block = rest[: int(fields["content-length"])]
+    if rest[len(block) :] != b"\r\n\r\n":
         raise ValueError("a record is cut short")
-    revisit = fields["WARC-Type"] == "revisit"
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    page = lambda name: int(fields[name][len("<urn:page:") : -1]) if name in fields else None
-    url = fields.get("WARC-Target-URI")
+    if fields["warc-type"] not in ("response", "revisit"):
+        return None
+    http, _, payload = block.partition(b"\r\n\r\n")
+    length = int(_fields_of(http.decode().split("\r\n")[1:])["content-length"])
+    revisit = fields["warc-type"] == "revisit"
+    digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
+    page = lambda name: int(fields[name]) if name in fields else None
+    url = fields.get("warc-target-uri")
     for code, escaped in ((10, "%0A"), (13, "%0D"), (37, "%25")):
         url = url and url.replace(escaped, chr(code))
     return {
-        "page_id": page("WARC-Record-ID"),
+        "page_id": page("page-id"),
         "url": url,
-        "payload_bytes": int(fields["WARC-Payload-Length"]),
+        "payload_bytes": length,
         "payload_digest": digest,
-        "record_type": fields["WARC-Type"],
-        "refers_to": page("WARC-Refers-To"),
+        "record_type": fields["warc-type"],
+        "refers_to": page("refers-to-page"),
         "payload": None if revisit else payload,
-        "intact": revisit or hashlib.sha1(payload).hexdigest() == digest,
+        "intact": revisit or (len(payload) == length and hashlib.sha1(payload).hexdigest() == digest),
     }
 
 
@@ -90,20 +142,12 @@ def learn_dictionary(records: list[bytes]) -> bytes:
         return b"".join(records)[:DICTIONARY_BYTES]
 
 
-def archive_frames(records: Iterator[bytes]) -> Iterator[bytes]:
+def archive_frames(records: Iterator[bytes], dictionary: bytes) -> Iterator[bytes]:
     """The frames of one archive: the dictionary's, then one per record. No record gives no frame."""
-    learned, size = [], 0
-    for record in records:
-        learned.append(record)
-        size += len(record)
-        if size >= LEARN_BYTES:
-            break
-    if not learned:
-        return
-    content = learn_dictionary(learned)
-    yield struct.pack("<II", DICTIONARY_FRAME, len(content)) + content
-    press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(content))
-    for record in itertools.chain(learned, records):
+    press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
+    for n, record in enumerate(records):
+        if n == 0:
+            yield struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary
         yield press.compress(record)
 
 
@@ -165,22 +209,60 @@ def with_records(pages: DataFrame) -> DataFrame:
     )
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """Writes a WARC record per page into archives under `path`, one per task that has pages."""
+def sampled_dictionary(pages: DataFrame, date: str) -> bytes:
+    """A dictionary from pages with the least hashes; the driver sees at most `LEARN_PAGES` * `LEARN_BYTES` of them."""
+    text = F.substring(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 1, LEARN_BYTES)
+    rows = pages.select(F.xxhash64("page_id", "url", "html").alias("hash"), "page_id", "url", text.alias("text"))
+    drawn = rows.orderBy("hash", "page_id", "url").limit(LEARN_PAGES).collect()
+    digest = lambda data: hashlib.sha1(data).hexdigest()
+    return learn_dictionary(
+        [record_bytes(r.page_id, r.url, digest(r.text), len(r.text), None, bytes(r.text), date) for r in drawn]
+    )
+
+
+def write_archives(pages: DataFrame, path: str, date: datetime | None = None) -> None:
+    """Writes a WARC record per page into archives under `path`, one per task that has pages.
+
+    `date` is the time of the records, by default now. The archives are named `pages-<task>.warc.zst` once all are
+    written; should that be cut off, they are read under the names that Spark gave them.
+    """
+    spark = pages.sparkSession
+    at = (date or datetime.now(UTC)).astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    dictionary = spark.sparkContext.broadcast(sampled_dictionary(pages, at))
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("page_id", "url", "payload_digest", "payload_bytes", "refers_to", "payload")
-        records = (
-            record_bytes(*values)
-            for batch in batches
-            for values in zip(*(batch.column(n).to_pylist() for n in names))
-        )
-        for frame in archive_frames(records):
+
+        def records() -> Iterator[bytes]:
+            for batch in batches:
+                for values in zip(*(batch.column(n) for n in names)):
+                    if not started:
+                        started.append(True)
+                        yield archive_info(f"pages-{TaskContext.get().partitionId():05d}", at)
+                    yield record_bytes(*(v.as_py() for v in values), at)
+
+        started: list[bool] = []
+        for frame in archive_frames(records(), dictionary.value):
             yield pa.RecordBatch.from_arrays([pa.array([frame], pa.binary())], ["value"])
 
     found = with_records(pages).mapInArrow(frames, "value binary")
     lines = found.select(F.col("value").cast("string").alias("value"))
     lines.write.option("lineSep", SEPARATOR).option("compression", "none").text(path)
+    _name_archives(spark, path)
+
+
+def _name_archives(spark: SparkSession, path: str) -> None:
+    """Gives the written files names of archives; files without a record go."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if not name.startswith("part-"):
+            continue
+        if status.getLen() == 0:
+            files.delete(status.getPath(), False)
+        else:
+            files.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder, f"pages-{name[5:10]}.warc.zst"))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -192,7 +274,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for data in batch.column(0):
                 rows, size = [], 0
                 for record in archive_records(data.as_py()):
-                    rows.append(parse_record(record))
+                    row = parse_record(record)
+                    if row is None:
+                        continue
+                    rows.append(row)
                     size += len(record)
                     if size > 1 << 23:
                         yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)

@@ -1,7 +1,10 @@
 """Archives: round trip, revisits and frames."""
 
+import base64
 import hashlib
 import random
+import re
+from datetime import UTC, datetime
 
 import pytest
 import zstandard
@@ -68,28 +71,77 @@ def test_empty(spark):
     assert got == []
 
 
-def test_file_is_plain_zstandard(spark):
-    """The file begins with the dictionary, and each frame decompresses by itself."""
-    pages = read(spark, SF_DIR, "pages").repartition(2)
-    path, got = round_trip(spark, pages)
-    files = spark.read.format("binaryFile").load(path).select("content").collect()
-    assert len(files) == 2
-    for (data,) in files:
-        assert int.from_bytes(data[:4], "little") == W.DICTIONARY_FRAME
-        size = int.from_bytes(data[4:8], "little")
-        learned = zstandard.ZstdCompressionDict(bytes(data[8 : 8 + size]))
-        assert learned.dict_id() != 0
-        reader = zstandard.ZstdDecompressor(dict_data=learned)
-        with reader.stream_reader(bytes(data), read_across_frames=True) as stream:
-            assert stream.read().count(b"WARC/1.1\r\n") == len(list(W.archive_records(data)))
-    assert sum(len(list(W.archive_records(d))) for (d,) in files) == len(got)
+def plain_records(data):
+    """Records of an archive by a reader of its own: frames by the Zstandard library, fields by splitting lines."""
+    size = int.from_bytes(data[4:8], "little")
+    learned = zstandard.ZstdCompressionDict(bytes(data[8 : 8 + size]))
+    with zstandard.ZstdDecompressor(dict_data=learned).stream_reader(bytes(data), read_across_frames=True) as stream:
+        rest = stream.read()
+    while rest:
+        head, _, rest = rest.partition(b"\r\n\r\n")
+        version, *lines = head.decode().split("\r\n")
+        assert version == "WARC/1.1"
+        fields = dict(line.split(": ", 1) for line in lines)
+        assert len(fields) == len(lines)
+        block, rest = rest[: int(fields["Content-Length"])], rest[int(fields["Content-Length"]) :]
+        assert rest.startswith(b"\r\n\r\n")
+        yield fields, block
+        rest = rest[4:]
+
+
+def test_archives_by_another_reader(spark):
+    """Every record has the fields that the standard asks for, and its block is what they say."""
+    pages = read(spark, SF_DIR, "pages")
+    pages = pages.union(pages.selectExpr("page_id + 1000", "url", "html")).repartition(3)
+    path = scratch_path(spark, "warc")
+    W.write_archives(pages, path, datetime(2024, 5, 6, 7, 8, 9, tzinfo=UTC))
+    html = {r.page_id: r for r in pages.collect()}
+    files = spark.read.format("binaryFile").load(path).select("path", "content").collect()
+    assert sorted(r.path.rsplit("/", 1)[1] for r in files) == [f"pages-0000{k}.warc.zst" for k in range(3)]
+    seen, refers = {}, []
+    for r in files:
+        assert int.from_bytes(r.content[:4], "little") == W.DICTIONARY_FRAME
+        first, *records = plain_records(r.content)
+        assert first[0]["WARC-Type"] == "warcinfo" and first[0]["Content-Type"] == "application/warc-fields"
+        for fields, block in [first, *records]:
+            assert re.fullmatch("<urn:uuid:[0-9a-f-]{36}>", fields["WARC-Record-ID"])
+            assert fields["WARC-Date"] == "2024-05-06T07:08:09Z" and fields["WARC-Record-ID"] not in seen
+            seen[fields["WARC-Record-ID"]] = fields
+        for fields, block in records:
+            page = html[int(fields["Page-ID"])]
+            data = page.html.encode()
+            assert fields["WARC-Target-URI"] == page.url
+            assert fields["Content-Type"] == "application/http; msgtype=response"
+            assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+            http, _, payload = block.partition(b"\r\n\r\n")
+            assert http.startswith(b"HTTP/1.1 200 OK\r\n") and f"Content-Length: {len(data)}".encode() in http
+            if fields["WARC-Type"] == "revisit":
+                refers.append(fields)
+                assert payload == b"" and "identical-payload-digest" in fields["WARC-Profile"]
+            else:
+                assert payload == data and fields["WARC-Type"] == "response"
+    assert len(seen) == len(html) + 3 and len(refers) > 10
+    for fields in refers:
+        other = seen[fields["WARC-Refers-To"]]
+        assert other["WARC-Type"] == "response" and other["Page-ID"] == fields["Refers-To-Page"]
+        assert other["WARC-Payload-Digest"] == fields["WARC-Payload-Digest"]
+
+
+def test_the_sample_is_spread(spark, monkeypatch):
+    """Records of a late part of the table are learned from as well."""
+    monkeypatch.setattr(W, "LEARN_PAGES", 40)
+    late = "quite another kind of page, with words of its own kind " * 3
+    rows = [(i, f"u{i}", f"<p>{i} plain</p>" if i < 500 else f"<div>{i} {late}</div>") for i in range(1000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    learned = W.sampled_dictionary(pages, "2024-01-01T00:00:00Z")
+    assert b"another kind of page" in learned and learned == W.sampled_dictionary(pages.repartition(4), "2024-01-01T00:00:00Z")
 
 
 def test_frames():
     rng = random.Random(1)
     records = [bytes(rng.choice(b"abc P*M\x18\0") for _ in range(rng.randrange(400))) for _ in range(300)]
     for some in ([], records[:1], [b""], [b"same"] * 40, records):
-        data = W.SEPARATOR.encode().join(W.archive_frames(iter(some)))
+        data = W.SEPARATOR.encode().join(W.archive_frames(iter(some), W.learn_dictionary(some)))
         assert list(W.archive_records(data)) == some
     with pytest.raises(ValueError):
         list(W.archive_records(data[:-5]))
