@@ -1,17 +1,23 @@
 """Mixture-controlled packing: deficit round-robin over one queue per source.
 
-The documents of a source, one after the other, are its queue of ids. Queues are dealt to shards of
-bounded size in quanta, evenly along each queue, so that every shard has every source in its share and
-no source, however large, meets in one task. A shard fills windows of `LENGTH` ids: before each window
-every source earns its target share, the source that is owed most sends next, and what it was owed or
-overpaid is carried on. A shard starts with what the shards before it left owing, which follows from
-its number alone.
+The documents of a source, one after the other, are its queue of ids. All queues together follow one schedule: at
+each moment every source with ids left sends in proportion to its target, and one that runs dry leaves its share to
+the others; sources without a target come when the others are dry. The schedule is cut into shards of bounded size,
+and so is every queue, at the places that the schedule has reached, in quanta. So no source, however large, meets in
+one task, and a shard starts with the deficits that the shards before it left, which follow from the schedule.
+
+A shard fills windows of `LENGTH` ids: before each window every source earns its share, the source that is owed most
+sends next, at least `PIECE` ids at a time, and what it is owed or has overpaid is carried on to the next window. So
+a window holds runs of a few sources, and the windows together hold the targets within a run or two.
 """
 
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -23,8 +29,8 @@ from paylens.llm.tokens import LENGTH, encode_texts, tokenizer_path
 
 # Ids per shard, dealt in quanta; a piece is at least `PIECE` ids long where the queue has them.
 SHARD_TOKENS = 1 << 20
-QUANTUM = 256
-PIECE = 64
+QUANTUM = 1024
+PIECE = 256
 _PHASES = 1 << 16
 
 TOKENS_SCHEMA = "doc_id long, source string, ids binary, n long, task int, at long"
@@ -45,7 +51,7 @@ _PIECES = pa.schema(
     ]
 )
 _CUT_SCHEMA = (
-    "shard long, source string, place long, doc_id long, start long, doc_tokens long, total long, ids binary"
+    "shard long, source string, place long, doc_id long, start long, doc_tokens long, total long, size long, ids binary"
 )
 _CUT = pa.schema(
     [
@@ -56,6 +62,7 @@ _CUT = pa.schema(
         ("start", pa.int64()),
         ("doc_tokens", pa.int64()),
         ("total", pa.int64()),
+        ("size", pa.int64()),
         ("ids", pa.binary()),
     ]
 )
@@ -67,11 +74,11 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def document_tokens(docs: DataFrame, path: str) -> DataFrame:
-    """Ids of each document with the end id, its source, its task and its place in the task's queue of
-    that source."""
+    """Ids of each document with the end id, compressed, their number, its source, its task and its place in the
+    task's queue of that source."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
+        task, press = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
         queued: dict[str | None, int] = {}
         for batch in batches:
             for at in range(0, len(batch), 64):
@@ -85,7 +92,7 @@ def document_tokens(docs: DataFrame, path: str) -> DataFrame:
                     [
                         pa.array(doc_ids, pa.int64()),
                         pa.array(sources, pa.string()),
-                        pa.array(ids, pa.binary()),
+                        pa.array([press.compress(i) for i in ids], pa.binary()),
                         pa.array([len(i) // 4 for i in ids], pa.int64()),
                         pa.array([task] * len(ids), pa.int32()),
                         pa.array(places, pa.int64()),
@@ -101,43 +108,110 @@ def document_tokens(docs: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(encoded, TOKENS_SCHEMA)
 
 
+class Schedule:
+    """How far all queues have come when so many ids are sent: `at` gives a moment, `ids_at` turns it back.
+
+    A source of weight w (all weights together are 1) has sent w v ids at moment v, until it is dry; those without
+    a weight, `rest` ids together, start when all others are dry and end together.
+    """
+
+    def __init__(self, weighted: list[tuple[int, float]], rest: int):
+        ends = sorted((total / w, w) for total, w in weighted if total)
+        rates = np.cumsum([w for _, w in reversed(ends)])[::-1] if ends else []
+        moments, ids = [0.0], [0.0]
+        for (end, _), rate in zip(ends, rates):
+            ids.append(ids[-1] + rate * (end - moments[-1]))
+            moments.append(end)
+        self.dry, self.rest = moments[-1], rest
+        if rest:
+            moments.append(self.dry + rest)
+            ids.append(ids[-1] + rest)
+        self.moments, self.ids = np.array(moments), np.array(ids)
+
+    def at(self, ids: float) -> float:
+        return float(np.interp(ids, self.ids, self.moments))
+
+    def ids_at(self, moment: float) -> float:
+        return float(np.interp(moment, self.moments, self.ids))
+
+
 class Deal:
-    """Which shard each place of a source's queue goes to: quantum k of K to shard (k + phase) * shards / K."""
+    """Which shard each place of a source's queue goes to, by the schedule, a quantum at a time. Sources begin at
+    different phases, so that the only quanta of many small ones are spread."""
 
-    def __init__(self, source: str | None, total: int, shards: int):
-        self.total, self.shards = total, shards
+    def __init__(self, source: str | None, total: int, weight: float, schedule: Schedule, size: int, shards: int):
+        self.total, self.weight, self.schedule, self.size, self.shards = total, weight, schedule, size, shards
         self.quanta = -(-total // QUANTUM)
-        self.phase = zlib.crc32(repr(source).encode()) % _PHASES
+        self.phase = zlib.crc32(repr(source).encode()) % _PHASES / _PHASES
 
-    def shard(self, place: int) -> int:
-        return (place // QUANTUM * _PHASES + self.phase) * self.shards // (self.quanta * _PHASES)
+    def sent(self, shard: int) -> float:
+        """How many ids the schedule has sent before this shard."""
+        moment = self.schedule.at(shard * self.size)
+        if self.weight:
+            return min(self.total, self.weight * moment)
+        return self.total * min(1.0, max(0.0, moment - self.schedule.dry) / max(1, self.schedule.rest))
 
     def first(self, shard: int) -> int:
         """The first place that goes to this shard or a later one."""
-        least = -(-shard * self.quanta * _PHASES // self.shards) - self.phase
-        return min(max(0, -(-least // _PHASES)) * QUANTUM, self.total)
+        if shard <= 0 or shard >= self.shards:
+            return 0 if shard <= 0 else self.total
+        begun = math.ceil(self.sent(shard) / self.total * self.quanta - self.phase)
+        return min(self.total, max(0, begun) * QUANTUM)
+
+    def shard(self, place: int) -> int:
+        share = (place // QUANTUM + self.phase) / self.quanta
+        moment = share * self.total / self.weight if self.weight else self.schedule.dry + share * self.schedule.rest
+        found = min(self.shards - 1, max(0, int(self.schedule.ids_at(moment) // self.size)))
+        while found > 0 and self.first(found) > place:
+            found -= 1
+        while self.first(found + 1) <= place:
+            found += 1
+        return found
 
     def owed(self, shard: int) -> float:
-        """What the source has earned but not sent before this shard, by its even share."""
-        return shard * self.total / self.shards - self.first(shard)
+        """What the source is owed before this shard: sent by the schedule, but not dealt yet."""
+        return self.sent(shard) - self.first(shard)
+
+
+@dataclass(frozen=True)
+class Plan:
+    """The targets as weights that add up to 1, and what follows from them."""
 
+    weights: dict[str | None, float]
+    schedule: Schedule
+    size: int
+    shards: int
 
-def _cut(shards: int):
+    def deal(self, source: str | None, total: int) -> Deal:
+        return Deal(source, total, self.weights.get(source, 0.0), self.schedule, self.size, self.shards)
+
+
+def _cut(plan: Plan):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pieces of documents by shard, with their place in the source's whole queue; ids compressed."""
+        """Documents by shard, with their place in the source's whole queue; few lie in two and are cut."""
         deals: dict[str | None, Deal] = {}
-        press = zstandard.ZstdCompressor(level=1)
+        until: dict[str | None, tuple[int, int, int]] = {}
+        press, unpress = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         for batch in batches:
             rows, size = [], 0
             for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "ids", "n", "place", "total"))):
                 doc_id, source, ids, n, place, total = row
-                deal = deals.setdefault(source, Deal(source, total, shards))
-                start = 0
+                deal = deals.get(source)
+                if deal is None:
+                    deal = deals[source] = plan.deal(source, total)
+                start, whole = 0, None
                 while start < n:
-                    shard = deal.shard(place + start)
-                    end = min(n, deal.first(shard + 1) - place)
-                    own = press.compress(ids[4 * start : 4 * end])
-                    rows.append((shard, source, place + start, doc_id, start, n, total, own))
+                    shard, low, high = until.get(source, (0, 0, 0))
+                    if not low <= place + start < high:
+                        shard = deal.shard(place + start)
+                        low, high = deal.first(shard), deal.first(shard + 1)
+                        until[source] = shard, low, high
+                    end = min(n, high - place)
+                    own = ids
+                    if start or end < n:
+                        whole = whole or unpress.decompress(ids)
+                        own = press.compress(whole[4 * start : 4 * end])
+                    rows.append((shard, source, place + start, doc_id, start, n, total, end - start, own))
                     start = end
                 size += len(ids)
                 if size >= 1 << 23:
@@ -151,16 +225,19 @@ def _cut(shards: int):
 def windows(left: dict, shares: dict, owed: dict, length: int = LENGTH) -> Iterator[list[tuple]]:
     """Deficit round-robin over queues of the given lengths: per window, what each source sends in turn.
 
-    Sources that run dry leave their share to the others.
+    Sources that run dry leave their share to the others; those without a share come when no other is left, in
+    proportion to their lengths.
     """
-    left, owed = dict(left), dict(owed)
+    left, owed, whole = dict(left), dict(owed), dict(left)
     live = {s for s, n in left.items() if n}
     while live:
+        sending = {s for s in live if shares[s]} or live
+        weight = shares if shares[next(iter(sending))] else whole
         room, sent = length, []
-        total = sum(shares[s] for s in live)
-        for s in live:
-            owed[s] += length * (shares[s] / total if total else 1 / len(live))
-        queue = [(-owed[s], repr(s), s) for s in live]
+        total = sum(weight[s] for s in sending)
+        for s in sending:
+            owed[s] += length * weight[s] / total
+        queue = [(-owed[s], repr(s), s) for s in sending]
         heapq.heapify(queue)
         while room and queue:
             _, name, s = heapq.heappop(queue)
@@ -173,44 +250,46 @@ def windows(left: dict, shares: dict, owed: dict, length: int = LENGTH) -> Itera
                 heapq.heappush(queue, (-owed[s], name, s))
             else:
                 live.discard(s)
+                if not queue and room:
+                    # The window goes on with those that are left.
+                    others = {o for o in live if shares[o]} or live
+                    queue = [(-owed[o], repr(o), o) for o in others]
+                    heapq.heapify(queue)
         merged: dict = {}
         for s, n in sent:
             merged[s] = merged.get(s, 0) + n
         yield list(merged.items())
 
 
-def _pack(shards: int, targets: dict | None, length: int):
+def _pack(plan: Plan, length: int):
     def pack(group: pa.Table) -> pa.Table:
         """The pieces of one shard in their windows."""
         queues: dict[str | None, list[dict]] = {}
         unpress = zstandard.ZstdDecompressor()
         for row in group.to_pylist():
-            row["ids"] = unpress.decompress(row["ids"])
             queues.setdefault(row["source"], []).append(row)
         deals = {}
         for source, rows in queues.items():
             rows.sort(key=lambda r: r["place"], reverse=True)
-            deals[source] = Deal(source, rows[0]["total"], shards)
+            deals[source] = plan.deal(source, rows[0]["total"])
         shard = group.column("shard")[0].as_py()
-        left = {s: sum(len(r["ids"]) // 4 for r in rows) for s, rows in queues.items()}
-        if targets is None:
-            shares = {s: d.total for s, d in deals.items()}
-            owed = {s: d.owed(shard) for s, d in deals.items()}
-        else:
-            shares, owed = {s: targets.get(s, 0.0) for s in deals}, {s: 0.0 for s in deals}
+        left = {s: sum(r["size"] for r in rows) for s, rows in queues.items()}
+        shares = {s: d.weight for s, d in deals.items()}
+        owed = {s: d.owed(shard) for s, d in deals.items()}
         batches, out = [], []
         for k, sent in enumerate(windows(left, shares, owed, length)):
             offset = 0
             for source, n in sent:
                 while n:
                     row = queues[source][-1]
-                    take = min(n, len(row["ids"]) // 4)
-                    ids = row["ids"][: 4 * take]
-                    out.append(
-                        (row["doc_id"], source, row["start"], take, row["doc_tokens"], (shard << 32) + k, offset, ids)
-                    )
-                    row["ids"], row["start"] = row["ids"][4 * take :], row["start"] + take
-                    if not row["ids"]:
+                    if "whole" not in row:
+                        row["whole"], row["at"] = unpress.decompress(row["ids"]), 0
+                    take = min(n, row["size"] - row["at"])
+                    ids = row["whole"][4 * row["at"] : 4 * (row["at"] + take)]
+                    start = row["start"] + row["at"]
+                    out.append((row["doc_id"], source, start, take, row["doc_tokens"], (shard << 32) + k, offset, ids))
+                    row["at"] += take
+                    if row["at"] == row["size"]:
                         queues[source].pop()
                     n -= take
                     offset += take
@@ -229,18 +308,19 @@ def pack_mixture(
     path: str | None = None,
     shard_tokens: int = SHARD_TOKENS,
 ) -> DataFrame:
-    """Packs all documents into sequences of `length` ids in which every source has its target share.
-
-    Given targets hold per shard and only until one of its sources runs dry: no shard takes over what another owes.
-
-    Takes `doc_id`, `source` and `text`. `targets` are weights by source; by default each source gets
-    its share of all ids, so that every window looks like the whole. A null source is a source of its
-    own, a null text is empty (its end id alone), repeated rows are packed each. Returns a row per piece:
-    `doc_id`, `source`, `start` (ids of the document before it), `length`, `doc_tokens`, `sequence_id`,
-    `offset` in the sequence, and `ids`. Only the last sequence of a shard may be short. The driver sees
-    the number of ids; no document gives no row.
+    """Packs all documents into sequences of `length` ids, in which sources have their target shares.
+
+    Takes `doc_id`, `source` and `text`. `targets` are weights by source; by default each source gets its share of
+    all ids. The shares hold over the sequences in order of `sequence_id`, across shards, as long as all sources
+    last; one that runs dry leaves its share to the others, and sources without a target come last, each by its
+    share of these. A null source is a source of its own, a null text is empty (its end id alone), repeated rows
+    are packed each, a long text goes over as many sequences as it needs. Ties between sources that are owed the
+    same go by name. Returns a row per piece: `doc_id`, `source`, `start` (ids of the document before it),
+    `length`, `doc_tokens`, `sequence_id`, `offset` in the sequence, and `ids`. Only the last sequence of a shard
+    may be short. The driver sees the number of ids, and that of each source with a target; no document gives no
+    row. Other columns are not read, whatever their names.
     """
-    tokens = stored(document_tokens(docs, path or tokenizer_path()), "tokens", "zstd")
+    tokens = stored(document_tokens(docs, path or tokenizer_path()), "tokens", "none")
     sums = tokens.groupBy("source", "task").agg(F.sum("n").alias("sum"))
     of_source = Window.partitionBy("source")
     before = of_source.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -253,24 +333,29 @@ def pack_mixture(
         ),
         "queues",
     )
-    total = tokens.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-total // shard_tokens))
+    plan = _planned(tokens, targets, shard_tokens)
     placed = tokens.join(
         bases, (F.col("task") == F.col("_task")) & F.col("source").eqNullSafe(F.col("_source"))
     ).select("doc_id", "source", "ids", "n", (F.col("base") + F.col("at")).alias("place"), "total")
-    pieces = placed.mapInArrow(_cut(shards), _CUT_SCHEMA)
-    return pieces.groupBy("shard").applyInArrow(_pack(shards, targets, length), PIECES_SCHEMA)
-
-
-def packed_pieces(pieces: DataFrame) -> DataFrame:
-    """Pieces with a checksum in place of their ids."""
-    return pieces.select(
-        "doc_id",
-        "start",
-        "length",
-        F.crc32("ids").alias("ids_crc32"),
-        "doc_tokens",
-        "sequence_id",
-        "offset",
-        "source",
-    )
+    pieces = placed.mapInArrow(_cut(plan), _CUT_SCHEMA)
+    return pieces.groupBy("shard").applyInArrow(_pack(plan, length), PIECES_SCHEMA)
+
+
+def _planned(tokens: DataFrame, targets: dict[str | None, float] | None, shard_tokens: int) -> Plan:
+    """The schedule; of single sources only those with a target are looked at."""
+    wanted = {s: w for s, w in (targets or {}).items() if w > 0}
+    named = F.col("source").isin([s for s in wanted if s is not None])
+    named = named | F.col("source").isNull() if None in wanted else F.coalesce(named, F.lit(False))
+    of_targets = tokens.where(named).groupBy("source").agg(F.sum("n").alias("n")).collect() if wanted else []
+    total = tokens.agg(F.sum("n")).first()[0] or 0
+    whole = sum(wanted[r.source] for r in of_targets)
+    weights = {r.source: wanted[r.source] / whole for r in of_targets}
+    known = sum(r.n for r in of_targets)
+    schedule = Schedule([(r.n, weights[r.source]) for r in of_targets], total - known)
+    return Plan(weights, schedule, shard_tokens, max(1, -(-total // shard_tokens)))
+
+
+def packed_pieces(pieces: DataFrame, with_ids: bool = False) -> DataFrame:
+    """Pieces with a checksum in place of their ids, or beside them."""
+    columns = ["doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source"]
+    return pieces.select(*columns, *(["ids"] if with_ids else []))

@@ -20,6 +20,9 @@ from paylens.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Weights by source: every fifth source counts three times, every other one once, `src0` twice.
+MIXTURE = {f"src{k}": 3.0 if k % 5 == 4 else 1.0 for k in range(20)} | {"src0": 2.0}
+
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(read(spark, sf_dir, "documents"))
@@ -46,7 +49,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_pieces(pack_mixture(read(spark, sf_dir, "documents")))
+    return packed_pieces(pack_mixture(read(spark, sf_dir, "documents"), MIXTURE))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

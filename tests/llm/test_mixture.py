@@ -54,53 +54,99 @@ def test_documents(spark):
         assert {k >> 32 for k in packed} == set(range(shards))
 
 
-def test_every_window_has_the_proportions(spark):
-    rng = random.Random(4)
-    names = {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}
+def by_source(spark, names, seed=4, n=3000):
+    rng = random.Random(seed)
     docs = spark.createDataFrame(
-        [(i, rng.choices([*names], [*names.values()])[0], "word " * rng.randrange(1, 400)) for i in range(3000)],
+        [(i, rng.choices([*names], [*names.values()])[0], "word " * rng.randrange(1, 400)) for i in range(n)],
         "doc_id long, source string, text string",
     )
-    rows = M.pack_mixture(docs.orderBy("source").repartitionByRange(4, "source"), shard_tokens=60_000).collect()
-    share, total = {}, sum(r.length for r in rows)
-    for r in rows:
-        share[r.source] = share.get(r.source, 0) + r.length / total
-    packed = sequences(rows, 1024)
-    full = [own for own in packed.values() if sum(r.length for r in own) == 1024]
-    assert len(full) > 200
-    sent = dict.fromkeys(names, 0)
-    ends = {max(k for k in packed if k >> 32 == s) for s in {k >> 32 for k in packed}}
-    late = {e - back for e in ends for back in range(2)}
-    for n, key in enumerate(sorted(packed), 1):
+    return docs.orderBy("source").repartitionByRange(4, "source")
+
+
+def shares_so_far(rows, length=1024):
+    """Per window in order, what each source has sent up to its end."""
+    packed, sent, out = sequences(rows, length), {}, []
+    for key in sorted(packed):
         for r in packed[key]:
-            sent[r.source] += r.length
+            sent[r.source] = sent.get(r.source, 0) + r.length
+        out.append(dict(sent))
+    return out
+
+
+def test_windows_have_the_proportions(spark):
+    names = {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}
+    rows = M.pack_mixture(by_source(spark, names), shard_tokens=60_000).collect()
+    whole = shares_so_far(rows)[-1]
+    total = sum(whole.values())
+    assert len({r.sequence_id >> 32 for r in rows}) > 8
+    for sent in shares_so_far(rows):
         done = sum(sent.values())
         for s in names:
-            assert abs(sent[s] - share[s] * done) < 2 * M.QUANTUM
-        if key not in late:
-            for s in names:
-                inside = sum(r.length for r in packed[key] if r.source == s)
-                assert abs(inside - 1024 * share[s]) < 3 * M.PIECE
+            assert abs(sent.get(s, 0) - whole[s] / total * done) < 2 * M.QUANTUM
+
+
+def test_targets_hold_across_shards(spark):
+    """Until a source runs dry, and then for those that are left; one without a target comes last."""
+    names = {"a": 0.4, "b": 0.2, "c": 0.2, "d": 0.2}
+    targets = {"a": 1.0, "b": 2.0, "c": 1.0, "none": 5.0}
+    rows = M.pack_mixture(by_source(spark, names, 6), targets, shard_tokens=50_000).collect()
+    so_far = shares_so_far(rows)
+    whole = so_far[-1]
+    assert len({r.sequence_id >> 32 for r in rows}) > 8
+    dry = 2 * whole["b"]
+    checked = {"first": 0, "then": 0, "last": 0}
+    for sent in so_far:
+        done = sum(sent.values())
+        if done < dry - 4 * M.QUANTUM:
+            for s, share in (("a", 0.25), ("b", 0.5), ("c", 0.25)):
+                assert abs(sent.get(s, 0) - share * done) < 2 * M.QUANTUM
+            assert sent.get("d", 0) <= M.QUANTUM
+            checked["first"] += 1
+        elif done > dry + 4 * M.QUANTUM and sent["c"] < whole["c"] - 4 * M.QUANTUM:
+            assert sent["b"] == whole["b"] and abs(sent["a"] - sent["c"]) < 3 * M.QUANTUM
+            checked["then"] += 1
+        elif done > sum(whole.values()) - whole["d"] + 4 * M.QUANTUM:
+            assert all(sent[s] == whole[s] for s in "abc")
+            checked["last"] += 1
+    assert min(checked.values()) > 20
+
+
+def test_documents_stay_in_few_pieces(spark):
+    docs = read(spark, SF_DIR, "documents")
+    rows = M.pack_mixture(docs, {f"src{k}": 1 + k % 3 for k in range(20)}).collect()
+    cut = sum(r.length for r in rows) / M.LENGTH
+    assert len(rows) < 5 * max(len({r.doc_id for r in rows}), cut)
 
 
-def test_targets():
+def test_windows():
     sent = list(M.windows({"x": 5000, "y": 5000}, {"x": 3, "y": 1}, {"x": 0, "y": 0}))
     assert [dict(w)["x"] for w in sent[:6]] == [768] * 6
     assert sum(n for w in sent for _, n in w) == 10_000 and all(sum(n for _, n in w) == 1024 for w in sent[:-1])
     zero = list(M.windows({"x": 100, "y": 50}, {"x": 0, "y": 0}, {"x": 0, "y": 0}, 64))
-    assert sum(n for w in zero for _, n in w) == 150
+    assert [sum(n for _, n in w) for w in zero] == [64, 64, 22]
+    late = list(M.windows({"x": 3000, "y": 3000}, {"x": 1, "y": 0}, {"x": 0, "y": 0}))
+    assert all(s == "x" for w in late[:2] for s, _ in w) and dict(late[2])["x"] == 3000 - 2048
+    assert all(sum(n for _, n in w) == 1024 for w in late[:-1])
 
 
 @pytest.mark.parametrize("total,shards", [(1, 1), (1, 50), (255, 7), (100_000, 7), (12_345, 500), (10**13, 10**7)])
 def test_deal(total, shards):
-    for source in ("a", "b", None):
-        deal = M.Deal(source, total, shards)
-        assert deal.first(0) == 0 and deal.first(shards) == total
-        for place in {0, total - 1, *(total * k // 9 for k in range(9))}:
-            at = deal.shard(place)
-            assert 0 <= at < shards and deal.first(at) <= place < deal.first(at + 1)
-            assert abs(deal.owed(at)) <= 2 * M.QUANTUM or total < shards * M.QUANTUM
-    assert len({M.Deal(str(i), 5, 40).shard(0) for i in range(400)}) > 30
+    size = max(1, 3 * total // shards)
+    shards = -(-3 * total // size)
+    for weights in ((), ((total, 0.25), (2 * total, 0.75)), ((total, 0.9), (total, 0.1))):
+        schedule = M.Schedule(list(weights), 3 * total - sum(t for t, _ in weights))
+        assert schedule.ids[-1] == pytest.approx(3 * total)
+        for source in ("a", "b", None):
+            rest = 3 * total - sum(t for t, _ in weights)
+            for own, weight in [*weights, *([(min(total, rest), 0.0)] if rest else [])]:
+                deal = M.Deal(source, own, weight, schedule, size, shards)
+                assert deal.first(0) == 0 and deal.first(shards) == own
+                for place in {0, own - 1, *(own * k // 9 for k in range(9))}:
+                    at = deal.shard(place)
+                    assert 0 <= at < shards and deal.first(at) <= place < deal.first(at + 1)
+                    assert abs(deal.owed(at)) <= 2 * M.QUANTUM
+    small = [M.Deal(str(i), 5, 0.0, M.Schedule([], 5000), 125, 40).shard(0) for i in range(400)]
+    assert len(set(small)) > 30
 
 
 def test_odd_rows(spark):
