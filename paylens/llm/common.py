@@ -20,6 +20,44 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(df: DataFrame) -> list[Column]:
+    """All columns, whatever is in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that `df` does not have, in upper or lower case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+# Places in one bitmap, and the most bits of all bitmaps together: 64 MB.
+_BITMAP = 1 << 15
+_MOST_BITS = 1 << 29
+
+
+def likely_in(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """The `rows` that equal a row of `wanted` in `columns`, and a few others.
+
+    Hashes of `wanted` are drawn into bitmaps, 16 bits for each up to 64 MB in all, which are broadcast; past that
+    more rows get through. So what is left can be joined by a shuffle that moves little, at any size.
+    """
+    bits = max(_BITMAP, min(_MOST_BITS, 1 << (16 * max(1, wanted.count()) - 1).bit_length()))
+    at, bucket, bitmap = fresh(rows, "_at"), fresh(rows, "_bucket"), fresh(rows, "_bitmap")
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumn(at, F.pmod(F.xxhash64(*columns), F.lit(bits)))
+
+    drawn = placed(wanted.select(*columns)).groupBy((F.col(at) / _BITMAP).cast("int").alias(bucket))
+    drawn = stored(drawn.agg(F.bitmap_construct_agg(F.col(at) % _BITMAP).alias(bitmap)), "bitmaps")
+    found = placed(rows).withColumn(bucket, (F.col(at) / _BITMAP).cast("int")).join(F.broadcast(drawn), bucket)
+    inside = (F.col(at) % _BITMAP).cast("int")
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(inside / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(byte, inside % 8) == 1).drop(at, bucket, bitmap)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is worked out once per row, also where lambdas inside `body` use it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -11,7 +11,7 @@ of shared shingles then decides. DataFrame functions only.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paylens.llm.common import let, stored
+from paylens.llm.common import fresh, let, stored
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -125,8 +125,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Rows are told apart by id and text, so of rows that share an id only those with an item go. Null and
     empty texts stay; see `contained_items`.
     """
-    found = _matches(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_of")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_of"))
+    own_id, own_copy = fresh(docs, "_id"), fresh(docs, "_of")
+    found = _matches(docs, benchmark).select(F.col("doc_id").alias(own_id), F.col("copy").alias(own_copy)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_copy))
     return docs.join(stored(found, "contaminated"), same, "left_anti")
 
 

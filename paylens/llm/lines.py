@@ -13,12 +13,10 @@ repeat are compared in the end. DataFrame functions only.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paylens.llm.common import let, running, stored
+from paylens.llm.common import fresh, let, likely_in, quoted, running, stored
 
 # Words that a line must have to be matched with one edit.
 EDIT_WORDS = 8
-# Rows with half of a match up to this many are broadcast (24 bytes each); more are joined by shuffling.
-BROADCAST_ROWS = 1_000_000
 
 
 def line_words(line: Column) -> Column:
@@ -161,8 +159,9 @@ def _near(docs: DataFrame, lines: DataFrame, distinct: DataFrame) -> DataFrame:
     earlier one's."""
     some = distinct.join(stored(_roles(lines), "roles"), "a")
     some = stored(some.select("a", "b", "n", "first", *ROLES, "first.*"), "some")
-    places = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
-    texts = _exploded(docs).withColumnRenamed("doc_id", "id")
+    # The texts move only where a place is asked for: bitmaps tell that, and a merge join makes sure.
+    texts = likely_in(_exploded(docs), some, ["doc_id", "copy", "line"]).withColumnRenamed("doc_id", "id")
+    places = some.hint("merge")
     same = (
         texts["id"].eqNullSafe(places["doc_id"])
         & (texts["copy"] == places["copy"])
@@ -228,18 +227,20 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """The documents without their repeated lines; every document stays, with all its columns.
 
-    A text of which nothing is left is empty; a null text stays null. See `repeated_lines`.
+    A text of which nothing is left is empty; a null text stays null. Other columns may have any name. See
+    `repeated_lines`.
     """
+    own_id, own_copy, gone = (fresh(docs, name) for name in ("_id", "_copy", "_lines"))
     found = stored(
         repeated_lines(docs)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"))
-        .agg(F.collect_set("line").alias("_lines")),
+        .groupBy(F.col("doc_id").alias(own_id), F.col("copy").alias(own_copy))
+        .agg(F.collect_set("line").alias(gone)),
         "found",
     )
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_copy"))
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_lines", i))
-    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    columns = [text.alias("text") if c == "text" else docs[c] for c in docs.columns]
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64("text") == F.col(own_copy))
+    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(gone, i))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    columns = [text.alias("text") if name == "text" else c for name, c in zip(docs.columns, quoted(docs))]
     return docs.join(found, same, "left").select(*columns)
 
 

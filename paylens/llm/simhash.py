@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from paylens.llm.common import components, stored
+from paylens.llm.common import components, quoted, stored
 
 REACH = 2
 SHINGLE = 3
@@ -267,28 +267,21 @@ def as_digits(fp: Column | str) -> Column:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without near-duplicates: of each component the one with the smallest id stays.
 
-    All columns are kept. Of several rows with this id, the one with the least hash of its text stays,
-    and of equal rows one. A component without any id keeps one row likewise.
+    All columns are kept, whatever their names. Null and empty texts are alike. Of several rows with this id, the
+    one with the least hash of its text stays, and of equal rows one. A component without any id keeps one row
+    likewise. No document gives no row.
     """
     rows = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"
+        F.struct(*quoted(docs)).alias("row"),
+        F.monotonically_increasing_id().alias("number"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        fingerprint("text").alias("fp"),
+        F.xxhash64("text").alias("hash"),
     )
-    rows = stored(
-        rows.select("row", "doc_id", fingerprint("text").alias("fp"), F.xxhash64("text").alias("hash")),
-        "rows",
-    )
-    return first_rows(rows, component_names(rows))
-
-
-def first_rows(rows: DataFrame, named: DataFrame) -> DataFrame:
-    """Of each component the `row` with the smallest `doc_id`, then the least `hash`, as columns."""
-    first = stored(
-        rows.select("doc_id", "hash", "fp")
-        .join(named, "fp")
-        .groupBy("component")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first"))
-        .select("first.doc_id", "first.hash"),
-        "firsts",
-    )
-    same = rows["doc_id"].eqNullSafe(first["doc_id"]) & (rows["hash"] == first["hash"])
-    return rows.join(first, same, "left_semi").dropDuplicates(["doc_id", "hash"]).select("row.*")
+    rows = stored(rows, "rows")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "number")
+    # The first row of each fingerprint, then of each component, so that copies combine before they meet.
+    of_print = rows.groupBy("fp").agg(F.min(first).alias("first"))
+    of_component = of_print.join(component_names(rows), "fp").groupBy("component").agg(F.min("first").alias("first"))
+    kept = stored(of_component.select("first.number"), "firsts")
+    return rows.join(kept, "number", "left_semi").select("row.*")

@@ -84,3 +84,11 @@ def test_odd_rows(spark):
     assert D.contained_items(docs.where("false"), items).collect() == []
     assert D.contained_items(docs, items.where("false")).collect() == []
     assert D.drop_contaminated(docs, items.where("false")).count() == 9
+
+
+def test_clashing_names(spark):
+    columns = ["doc_id", "text", "_id", "_OF", "a.b", "hash", "words"]
+    docs = spark.createDataFrame([(k, f"one two three four five {k}", *[k] * 5) for k in (1, 2)], columns)
+    items = spark.createDataFrame([(7, "two three four five 1", 0)], "item_id long, text string, `a.b` int")
+    got = D.drop_contaminated(docs, items)
+    assert got.columns == columns and [tuple(r) for r in got.collect()] == [(2, "one two three four five 2", *[2] * 5)]

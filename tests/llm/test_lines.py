@@ -2,6 +2,7 @@
 
 import random
 
+from paylens.llm import common as M
 from paylens.llm import lines as L
 
 
@@ -88,13 +89,33 @@ def test_template_lines(spark):
     assert len([1 for (k, _), v in got.items() if k < 40 and v == (0, 0, 1)]) == 39
 
 
-def test_broadcast_or_not(spark, monkeypatch):
+def test_bitmaps_of_any_size(spark, monkeypatch):
+    """Bitmaps that let nearly everything through change nothing."""
     rows = [(k, "\n".join(f"one two three four five six seven {k % 5} nine {k % 3}" for _ in range(2))) for k in range(30)]
     check(spark, rows)
-    monkeypatch.setattr(L, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(M, "_MOST_BITS", 8)
+    monkeypatch.setattr(M, "_BITMAP", 8)
     check(spark, rows)
 
 
+def test_likely_in(spark):
+    rows = spark.range(20_000).selectExpr("id", "CAST(id % 7 AS STRING) AS _at", "IF(id % 11 = 0, NULL, id) AS `_bucket`")
+    wanted = rows.where("id % 40 = 0").select("_bucket", "id")
+    got = M.likely_in(rows, wanted, ["id", "_bucket"])
+    assert got.columns == rows.columns
+    found = {r.id for r in got.collect()}
+    assert found >= set(range(0, 20_000, 40)) and len(found) < 3000
+    assert M.likely_in(rows, wanted.where("false"), ["id", "_bucket"]).count() == 0
+
+
+def test_clashing_names(spark):
+    columns = ["doc_id", "text", "_id", "_copy", "_LINES", "_at", "_bucket", "_bitmap", "a.b", "words"]
+    docs = spark.createDataFrame([(k, "one line\none line", *[k] * 8) for k in (1, 2)], columns)
+    got = L.drop_repeated_lines(docs)
+    assert got.columns == columns
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "one line", *[1] * 8), (2, "", *[2] * 8)]
+
+
 def test_odd_rows(spark):
     line = "one two three four five six seven eight"
     docs = spark.createDataFrame(

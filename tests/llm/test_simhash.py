@@ -128,6 +128,13 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id or -1, r.fp) for r in kept.collect()) == [(-1, "f"), (3, "y"), (4, "d"), (7, "c")]
 
 
+def test_clashing_names(spark):
+    columns = ["doc_id", "text", "fp", "Number", "a.b", "row", "hash", "component"]
+    docs = spark.createDataFrame([(k, "one two three four", *[k] * 6) for k in (2, 1, 1)], columns)
+    got = S.one_of_each(docs)
+    assert got.columns == columns and [tuple(r) for r in got.collect()] == [(1, "one two three four", *[1] * 6)]
+
+
 def test_long_text():
     text = " ".join(str(i) for i in range(70_000))
     assert S.simhash(text.encode()) % (1 << 64) == slow_simhash(text)
