@@ -11,8 +11,8 @@ from paylens.llm.common import read, stored
 from paylens.llm.decontaminate import drop_contaminated
 from paylens.llm.lines import drop_repeated_lines
 from paylens.llm.mixture import pack_mixture, packed_pieces
-from paylens.llm.near import one_of_each
 from paylens.llm.quality import keep_good
+from paylens.llm.simhash import one_of_each
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
+    """One document of each group of near copies, by SimHash over three words within two bits."""
     return one_of_each(docs)
 
 
@@ -38,8 +38,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed by the mixture of their sources."""
-    return packed_pieces(pack_mixture(docs))
+    """Pieces of all documents with their ids, packed by the mixture of their sources."""
+    return packed_pieces(pack_mixture(docs), with_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
