@@ -176,3 +176,95 @@ def test_odd_rows(spark):
 def test_general_forms(spark):
     words = spark.createDataFrame([("holder",), ("ab12",), ("ü",)], "w string")
     assert [r.g for r in words.select(P.general(F.col("w")).alias("g")).collect()] == ["hol*", "ab00", "ü*"]
+
+
+def slow_terms(texts):
+    """The rule over plain counts: {term: (kind, pmi, content, instead)}."""
+    import regex
+
+    sentences = [s for t in texts for s in re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+|\n", t or "") if s]
+
+    def general(w):
+        return re.sub("[0-9]", "0", w) if re.search("[0-9]", w) else w[: P.STEM] + "*"
+
+    def plain(found, kind):
+        return re.sub("[^0-9]", "", found) if kind in ("card", "phone") else found.lower()
+
+    total, alone, shares, met = max(1, len(sentences)), {}, {}, {}
+    for s in sentences:
+        bare = s
+        for p in PLAIN.values():
+            bare = re.sub(p, " ", bare)
+        words = dict.fromkeys(w for w in regex.split(r"[^\p{L}\p{N}]+", bare.lower()) if len(w) > 1)
+        terms = tuple(dict.fromkeys([*("=" + w for w in words), *("~" + general(w) for w in words)]))
+        for t in terms:
+            alone[t] = alone.get(t, 0) + 1
+        for kind, spans in slow_spans(s).items():
+            data = [s[a:b] for a, b in spans]
+            if data:
+                entities = [("kind", kind, 0, tuple(data))] + [
+                    ("datum", kind, d, terms) for d in dict.fromkeys(plain(x, kind) for x in data)
+                ]
+                for level, kind_, entity, context in entities:
+                    key = (level, kind_, entity)
+                    shares.setdefault(key, []).append(context)
+                    for t in terms:
+                        met.setdefault((t, key), []).append(context)
+    # A datum in one context only is no entity.
+    entities = {k for k, c in shares.items() if k[0] == "kind" or len(set(c)) > 1}
+    rated = {}
+    for level in ("kind", "datum"):
+        own = {k: c for k, c in met.items() if k[1] in entities and k[1][0] == level}
+        for (term, key), contexts in own.items():
+            k, both = len(set(contexts)), len(contexts)
+            share = len(shares[key]) / total
+            if k < P.LEAST_CONTEXTS:
+                continue
+            pmi, content = math.log2(both / (alone[term] * share)), -math.log2(share)
+            assert pmi <= content + 1e-9 and alone[term] >= both
+            n = k + alone[term] - both
+            q = k / n
+            without = (1 - q) * math.log((1 - q) / max(1 - share, 1e-12)) if q < 1 else 0.0
+            chance = q <= share or n * (q * math.log(q / share) + without) < math.log(max(1, len(own)) / P.CHANCE)
+            if pmi >= content / P.ALPHA and not chance:
+                rated.setdefault(term, []).append((pmi, key[1], content))
+    best = {t: max(r) for t, r in rated.items()}
+    return {
+        t[1:]: (kind, pmi, content, None if "~" + general(t[1:]) in best else general(t[1:]))
+        for t, (pmi, kind, content) in best.items()
+        if t[0] == "="
+    }
+
+
+def test_terms_by_brute_force(spark):
+    """Words with digits glued to data, repeated sentences and data, and words that always go with some."""
+    rng = random.Random(15)
+    found = 0
+    for seed in range(4):
+        words = [f"{c}{d}{n}" for c in "kmnprst" for d in "aeio" for n in ("n", "la", "7", "99")] + ["zeta", "zeta99", "Ünit"]
+        people = [(f"who{p}@m{p % 3}.org", f"Name{p}") for p in range(9)] + [("+44 20 7946 09" + str(p), f"caller{p}") for p in range(10, 16)]
+        texts = []
+        for i in range(250):
+            fill = [rng.choice(words) for _ in range(rng.randrange(2, 7))]
+            how = rng.random()
+            if how < 0.25:
+                datum, name = rng.choice(people)
+                glue = rng.choice(["", " ", "zeta99 ", "99", "7 "])
+                fill.insert(rng.randrange(len(fill)), f"{name} {glue}{datum}" if rng.random() < 0.8 else f"{glue}{datum}")
+            texts.append(" ".join(fill) + rng.choice([".", "!", "\n", ""]))
+            if rng.random() < 0.3:
+                texts.append(texts[rng.randrange(len(texts))])
+            if rng.random() < 0.2:
+                texts[-1] += " " + rng.choice(texts)
+        texts += [None, "", "zeta99 x@a.org", "zeta99 x@a.org", "zeta99 y@a.org", "zeta here"]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.term: r for r in P.disclosing_terms(docs).collect()}
+        wanted = slow_terms(texts)
+        assert got.keys() == wanted.keys()
+        for term, (kind, pmi, content, instead) in wanted.items():
+            r = got[term]
+            assert (r.kind, r.instead) == (kind, instead)
+            assert math.isclose(r.pmi, pmi, rel_tol=1e-9) and math.isclose(r.content, content, rel_tol=1e-9)
+            assert r.pmi <= r.content + 1e-9
+        found += len(wanted)
+    assert found > 20
