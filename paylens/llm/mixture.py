@@ -19,7 +19,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,12 +72,23 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def _narrow(ids: bytes) -> bytes:
+    """Four-byte ids in two bytes each, if all fit."""
+    numbers = np.frombuffer(ids, "<u4")
+    return numbers.astype("<u2").tobytes() if numbers.max(initial=0) < 1 << 16 else ids
+
+
+def _wide(ids: bytes, n: int) -> bytes:
+    """So many ids in four bytes each."""
+    return ids if len(ids) == 4 * n else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+
+
 def document_tokens(docs: DataFrame, path: str) -> DataFrame:
-    """Ids of each document with the end id, compressed, their number, its source, its task and its place in the
-    task's queue of that source."""
+    """Ids of each document with the end id, in two bytes each where they fit, their number, its source, its task
+    and its place in the task's queue of that source."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, press = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
+        task = TaskContext.get().partitionId()
         queued: dict[str | None, int] = {}
         for batch in batches:
             for at in range(0, len(batch), 64):
@@ -92,7 +102,7 @@ def document_tokens(docs: DataFrame, path: str) -> DataFrame:
                     [
                         pa.array(doc_ids, pa.int64()),
                         pa.array(sources, pa.string()),
-                        pa.array([press.compress(i) for i in ids], pa.binary()),
+                        pa.array(list(map(_narrow, ids)), pa.binary()),
                         pa.array([len(i) // 4 for i in ids], pa.int64()),
                         pa.array([task] * len(ids), pa.int32()),
                         pa.array(places, pa.int64()),
@@ -191,7 +201,6 @@ def _cut(plan: Plan):
         """Documents by shard, with their place in the source's whole queue; few lie in two and are cut."""
         deals: dict[str | None, Deal] = {}
         until: dict[str | None, tuple[int, int, int]] = {}
-        press, unpress = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         for batch in batches:
             rows, size = [], 0
             for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "ids", "n", "place", "total"))):
@@ -199,7 +208,7 @@ def _cut(plan: Plan):
                 deal = deals.get(source)
                 if deal is None:
                     deal = deals[source] = plan.deal(source, total)
-                start, whole = 0, None
+                start, width = 0, len(ids) // n
                 while start < n:
                     shard, low, high = until.get(source, (0, 0, 0))
                     if not low <= place + start < high:
@@ -207,10 +216,7 @@ def _cut(plan: Plan):
                         low, high = deal.first(shard), deal.first(shard + 1)
                         until[source] = shard, low, high
                     end = min(n, high - place)
-                    own = ids
-                    if start or end < n:
-                        whole = whole or unpress.decompress(ids)
-                        own = press.compress(whole[4 * start : 4 * end])
+                    own = ids[width * start : width * end]
                     rows.append((shard, source, place + start, doc_id, start, n, total, end - start, own))
                     start = end
                 size += len(ids)
@@ -265,7 +271,6 @@ def _pack(plan: Plan, length: int):
     def pack(group: pa.Table) -> pa.Table:
         """The pieces of one shard in their windows."""
         queues: dict[str | None, list[dict]] = {}
-        unpress = zstandard.ZstdDecompressor()
         for row in group.to_pylist():
             queues.setdefault(row["source"], []).append(row)
         deals = {}
@@ -283,7 +288,7 @@ def _pack(plan: Plan, length: int):
                 while n:
                     row = queues[source][-1]
                     if "whole" not in row:
-                        row["whole"], row["at"] = unpress.decompress(row["ids"]), 0
+                        row["whole"], row["at"] = _wide(row["ids"], row["size"]), 0
                     take = min(n, row["size"] - row["at"])
                     ids = row["whole"][4 * row["at"] : 4 * (row["at"] + take)]
                     start = row["start"] + row["at"]
@@ -320,7 +325,7 @@ def pack_mixture(
     may be short. The driver sees the number of ids, and that of each source with a target; no document gives no
     row. Other columns are not read, whatever their names.
     """
-    tokens = stored(document_tokens(docs, path or tokenizer_path()), "tokens", "none")
+    tokens = stored(document_tokens(docs, path or tokenizer_path()), "tokens")
     sums = tokens.groupBy("source", "task").agg(F.sum("n").alias("sum"))
     of_source = Window.partitionBy("source")
     before = of_source.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
