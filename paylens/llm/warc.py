@@ -210,10 +210,16 @@ def with_records(pages: DataFrame) -> DataFrame:
 
 
 def sampled_dictionary(pages: DataFrame, date: str) -> bytes:
-    """A dictionary from pages with the least hashes; the driver sees at most `LEARN_PAGES` * `LEARN_BYTES` of them."""
+    """A dictionary from about `LEARN_PAGES` different pages, those with the least hashes.
+
+    The bound on hashes follows from the number of pages, so no task sends more to the driver than is learned from.
+    """
+    share = min(1.0, LEARN_PAGES / max(1, pages.count()))
+    bound = int(share * (1 << 64)) - (1 << 63)
     text = F.substring(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 1, LEARN_BYTES)
     rows = pages.select(F.xxhash64("page_id", "url", "html").alias("hash"), "page_id", "url", text.alias("text"))
-    drawn = rows.orderBy("hash", "page_id", "url").limit(LEARN_PAGES).collect()
+    few = rows.where(F.col("hash") <= min(bound, (1 << 63) - 1)).dropDuplicates(["hash"])
+    drawn = few.orderBy("hash").limit(2 * LEARN_PAGES).collect()
     digest = lambda data: hashlib.sha1(data).hexdigest()
     return learn_dictionary(
         [record_bytes(r.page_id, r.url, digest(r.text), len(r.text), None, bytes(r.text), date) for r in drawn]
