@@ -481,6 +481,22 @@ ORACLES: dict[str, str] = {
     "validate_params": f"WITH {_parsed()}, {_validated('parsed', _ORDER_BOUNDS)}",
 }
 
+
+
+def _outliers(key: str, column: str, result: str) -> str:
+    return f"""WITH {result}, centre AS (SELECT median(CAST({column} AS DOUBLE)) AS m FROM result),
+        spread AS (SELECT m, median(abs(CAST({column} AS DOUBLE) - m)) * 1.4826 AS s FROM result, centre GROUP BY m)
+        SELECT {key}, {column}, round((CAST({column} AS DOUBLE) - m) / s, 6) AS distance
+        FROM result, spread WHERE abs((CAST({column} AS DOUBLE) - m) / s) >= 2"""
+
+
+ORACLES["outlying_totals"] = _outliers(
+    "counterparty", "total_amount", f"""tx AS ({VIEWS['tx_supply']}), result AS (
+        SELECT counterparty, CAST(sum(amount) AS DECIMAL(38,2)) AS total_amount
+        FROM tx GROUP BY counterparty HAVING count(*) >= 2)"""
+)
+ORACLES["outlying_amounts"] = _outliers("tx_id", "amount", f"result AS ({VIEWS['tx_orders']})")
+
 # The same results reached another way.
 for _name, _same in (
     ("statement_reload", "statement_load"),

@@ -3,10 +3,14 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paylens.functions.quantiles import median
 from paylens.functions.text import search_text
 
 STANDOUTS = 3
 REPEATED_AT_LEAST = 3
+# Deviations from the median at which a row stands out, and a normal distribution's deviation over its median one.
+OUTLIER = 3.5
+NORMAL = 1.4826
 
 
 def result_overview(result: DataFrame) -> DataFrame:
@@ -31,6 +35,24 @@ def standouts(result: DataFrame, order: list[Column]) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
+def outliers(result: DataFrame, column: str, at_least: float = OUTLIER) -> DataFrame:
+    """Rows of a result that stand out by a column: `distance` says by how many deviations from the median.
+
+    The deviation is the median distance from the median, scaled to that of a normal distribution, so that rows far
+    out do not hide each other. Where more than half of the values are equal there is no such scale, and no row
+    stands out; null values never do. The medians are exact.
+    """
+    x = F.col(f"`{column}`").cast("double")
+    centre = median(result.select(x.alias("x")), "x")
+    if centre is None:
+        return result.withColumn("distance", F.lit(None).cast("double")).where("false")
+    spread = median(result.select(F.abs(x - F.lit(centre)).alias("x")), "x") * NORMAL
+    if spread == 0:
+        return result.withColumn("distance", F.lit(None).cast("double")).where("false")
+    distance = (x - F.lit(centre)) / F.lit(spread)
+    return result.withColumn("distance", distance).where(F.abs("distance") >= at_least)
+
+
 def repeated_counterparties(result: DataFrame) -> DataFrame:
     """Counterparties on three rows of the result or more."""
     return (

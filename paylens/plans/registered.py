@@ -348,6 +348,18 @@ def result_standouts(spark, sf_dir):
     )
 
 
+def outlying_totals(spark, sf_dir):
+    """Counterparties whose total stands out among those with recurring payments."""
+    found = facts.outliers(payments.recurring_payments(view(spark, sf_dir, "tx_supply")), "total_amount", 2.0)
+    return found.select("counterparty", "total_amount", F.round("distance", 6).alias("distance"))
+
+
+def outlying_amounts(spark, sf_dir):
+    """Single orders whose amount stands out."""
+    found = facts.outliers(view(spark, sf_dir, "tx_orders"), "amount", 2.0)
+    return found.select("tx_id", "amount", F.round("distance", 6).alias("distance"))
+
+
 def repeated_counterparties(spark, sf_dir):
     """Counterparties on three or more of the duplicate payments."""
     return facts.repeated_counterparties(
@@ -472,6 +484,8 @@ QUERIES: dict[str, Query] = {
     "shared_words": shared_words,
     "result_facts": result_facts,
     "result_standouts": result_standouts,
+    "outlying_totals": outlying_totals,
+    "outlying_amounts": outlying_amounts,
     "repeated_counterparties": repeated_counterparties,
     "display_top": display_top,
     "display_recurring": display_recurring,

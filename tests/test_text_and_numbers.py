@@ -85,3 +85,31 @@ def test_money_of_decimals(spark):
 def test_percent_change_of_zero_is_null(spark):
     df = spark.createDataFrame([(Decimal("0"), Decimal("5"))], "a decimal(18,2), b decimal(18,2)")
     assert df.select(numbers.percent_change(F.col("a"), F.col("b"))).first()[0] is None
+
+
+def test_median_is_exact(spark, monkeypatch):
+    """By sketches alone until few rows are left; many equal values, odd and even numbers, nulls, decimals."""
+    import random
+    import statistics
+
+    from paylens.functions import quantiles as Q
+
+    monkeypatch.setattr(Q, "LOOKED_AT", 40)
+    rng = random.Random(3)
+    for n, kind in ((5001, "any"), (4000, "any"), (3000, "few"), (2001, "one"), (2, "any"), (1, "any")):
+        values = [
+            round(rng.gauss(0, 50), 3) if kind == "any" else float(rng.randrange(3)) if kind == "few" else 7.0 for _ in range(n)
+        ]
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "`a.b` double")
+        assert Q.median(df, "a.b") == statistics.median(values)
+    amounts = spark.range(101).selectExpr("CAST(id / 4 AS DECIMAL(18,2)) AS x")
+    assert str(Q.median(amounts, "x")) == "12.50"
+    assert Q.median(amounts.where("false"), "x") is None
+
+
+def test_outliers(spark):
+    from paylens.operators.facts import outliers
+
+    rows = spark.createDataFrame([(i, float(i % 10)) for i in range(100)] + [(100, 60.0), (101, -50.0), (102, None)], "i int, x double")
+    assert [r.i for r in outliers(rows, "x").orderBy("i").collect()] == [100, 101]
+    assert outliers(rows.selectExpr("i", "1.0 AS x"), "x").count() == 0 and outliers(rows.where("false"), "x").count() == 0
