@@ -166,7 +166,11 @@ def test_rows_by_number_from_one_index(spark):
     from paylens.operators.present import index_result
 
     result = spark.range(1000).selectExpr("(id * 7919) % 1000 AS v", "id AS `a.b`")
-    index = index_result(result, [F.col("v")])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = index_result(result, [F.col("v")])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(index.ranges) > 1 and sum(n for *_, n in index.ranges) == 1000
     assert {r["#"]: r.v for r in index.numbered().collect()} == {k + 1: k for k in range(1000)}
     part, before, n = index.ranges[-1]
