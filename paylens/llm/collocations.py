@@ -302,7 +302,7 @@ def _counted_phrases(shared: Broadcast, words: Broadcast, pairs: Broadcast | Non
         if pairs is None:
             add(2, first, counts)
         else:
-            frequent = pairs.value.holds([ids[at[first]], ids[at[first + 1]]])
+            frequent = Bitmap(*pairs.value).holds([ids[at[first]], ids[at[first + 1]]])
             good = (ranks >= 0) & np.concatenate((frequent, [False]))[ranks]
             whole = good
             for m in range(3, LONGEST + 1):
@@ -315,12 +315,13 @@ def _counted_phrases(shared: Broadcast, words: Broadcast, pairs: Broadcast | Non
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, known, langs, different = [0], [0], {}, 0
+        frequent = Bitmap(*words.value)
         for batch in batches:
             for lang, text in zip(*(batch.column(i) for i in (0, 1))):
                 name = lang.as_py()
                 own = langs.get(name)
                 if own is None:
-                    own = langs[name] = _Ids(name, known, shared.value, words.value, bits)
+                    own = langs[name] = _Ids(name, known, shared.value, frequent, bits)
                 different -= len(own)
                 for part in pieces(text.as_py()):
                     numbers.extend(map(own.__getitem__, part))
@@ -349,8 +350,8 @@ def _merged(shard_bits: int, least: int):
     return merged
 
 
-def _bitmap(phrases: DataFrame, m: int) -> Bitmap:
-    """Where frequent phrases of m words lie. The driver sees the bitmap, of at most 2^`BITMAP_BITS` bits."""
+def _bitmap(phrases: DataFrame, m: int) -> tuple[int, bytes]:
+    """Where frequent phrases of m words lie, as `Bitmap` takes it. The driver sees it, at most 2^`BITMAP_BITS` bits."""
     bits = max(_SLICE_BITS, min(BITMAP_BITS, (16 * max(1, phrases.count())).bit_length()))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +372,7 @@ def _bitmap(phrases: DataFrame, m: int) -> Bitmap:
     size = 1 << (_SLICE_BITS - 3)
     for row in slices.groupBy("slice").applyInArrow(drawn, "slice int, data binary").toLocalIterator():
         data[row.slice * size : (row.slice + 1) * size] = row.data
-    return Bitmap(bits, bytes(data))
+    return bits, bytes(data)
 
 
 def _texts(docs: DataFrame) -> DataFrame:

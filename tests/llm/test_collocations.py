@@ -93,7 +93,7 @@ def test_several_writes():
         def __init__(self, value):
             self.value = value
 
-    every = C.Bitmap(C._SLICE_BITS, b"\xff" * (1 << C._SLICE_BITS - 3))
+    every = (C._SLICE_BITS, b"\xff" * (1 << C._SLICE_BITS - 3))
 
     def counts():
         filters = {}
