@@ -11,6 +11,7 @@ sends next, at least `PIECE` ids at a time, and what it is owed or has overpaid
 a window holds runs of a few sources, and the windows together hold the targets within a run or two.
 """
 
+import gc
 import heapq
 import math
 import zlib
@@ -88,6 +89,7 @@ def document_tokens(docs: DataFrame, path: str) -> DataFrame:
     and its place in the task's queue of that source."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.collect()  # what an earlier task of this worker remembered
         task = TaskContext.get().partitionId()
         queued: dict[str | None, int] = {}
         for batch in batches:
@@ -109,6 +111,7 @@ def document_tokens(docs: DataFrame, path: str) -> DataFrame:
                     ],
                     ["doc_id", "source", "ids", "n", "task", "at"],
                 )
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
