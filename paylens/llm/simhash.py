@@ -284,4 +284,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     of_print = rows.groupBy("fp").agg(F.min(first).alias("first"))
     of_component = of_print.join(component_names(rows), "fp").groupBy("component").agg(F.min("first").alias("first"))
     kept = stored(of_component.select("first.number"), "firsts")
-    return rows.join(kept, "number", "left_semi").select("row.*")
+    # Both sides grow with the rows, so they are sorted and merged at every size.
+    return rows.join(kept.hint("merge"), "number", "left_semi").select("row.*")
