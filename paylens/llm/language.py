@@ -128,7 +128,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Takes `doc_id`, `text` and `lang`. Null texts and texts without a letter are `und` with score 0, and
     so is every text when there is nothing to learn from. Languages equally near go by name. Equal rows
-    get equal results; a row without id is not learned from. No document gives no row.
+    get equal results; a row without id is not learned from. Long texts count whole, and other columns are not
+    read, whatever their names. No document gives no row.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

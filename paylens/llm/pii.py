@@ -194,7 +194,8 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     Columns `term`, `kind` (the one revealed most, itself or a datum of it), `pmi`, `content` (that kind's information content)
     and `instead` (the general form, or null where that discloses as well). Counted over the sentences
     of all documents, for each kind and for each datum. Copies teach nothing: of a kind the different data
-    count, of a datum the sentences that differ without it; see `_by_chance`.
+    count, of a datum the sentences that differ without it; see `_by_chance`. Entities that a term reveals alike go
+    by the name of their kind, the last one; null and empty texts have no sentence, and no document gives no row.
     """
     sentences = _sentences(docs)
     holding = stored(_holding(sentences), "holding")
@@ -260,8 +261,9 @@ def find_spans(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     Takes `doc_id` and `text`; gives `doc_id`, `copy`, `text`, one array per kind, and `term` with the
     spans of disclosing terms that overlap no other; each span has `start`, `end` (code points, end
     exclusive) and `found`. `instead` maps the terms of the document to what stands for them (null:
-    nothing). A null text is empty; equal rows have equal spans; no document gives no row. `terms` are
-    those of `disclosing_terms` over these documents unless given.
+    nothing). A null text is empty; equal rows have equal spans; long texts are searched whole; no document gives no
+    row. Other columns are not read, whatever their names. `terms` are those of `disclosing_terms` over these
+    documents unless given.
     """
     terms = stored(disclosing_terms(docs), "terms") if terms is None else terms
     rows = docs.select(

@@ -195,7 +195,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Takes `doc_id` and `text` of documents and `doc_id` and `quality` of labels. A null text counts as
     empty, equal rows get equal scores, labels of unknown or null documents and null labels teach
-    nothing, and several labels of a document all count. No document gives no row.
+    nothing, and several labels of a document all count. Long texts count whole, and other columns are not read,
+    whatever their names. No document gives no row.
     """
     rows = stored(
         docs.select(

@@ -187,7 +187,8 @@ def pack_documents(
     shards of bounded size, without moving text. A row has `input_ids` and `position_ids` (little-endian
     unsigned 32-bit matrix rows, padded with 0; positions count from the start of the
     document's piece), `segment_ends` (cumulative lengths of the segments, from 0), the document and its
-    offset per segment, and `n_tokens` without padding. `sequence_id` is unique. No document, no row.
+    offset per segment, and `n_tokens` without padding. `sequence_id` is unique. Pieces of equal length go in the
+    order they are read, repeated rows are packed each, other columns are not read. No document, no row.
     """
     path = path or tokenizer_path()
 
