@@ -9,6 +9,8 @@ once. Learning sees sums only, so every labelled row counts and the driver gets
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,9 @@ PROSE_BYTES, PROSE_WORDS = 60, 10
 # How far a class's covariance goes towards the pooled one, and the result towards the identity.
 TO_POOLED = 0.2
 TO_IDENTITY = 0.05
+# Learning adds features as whole numbers of this fraction, a chunk of rows at a time in 64 bits: sums are exact,
+# so the model is the same however rows are dealt to tasks.
+STEPS, CHUNK = 1 << 18, 8192
 # Documents scored at least this high pass as good.
 KEEP_FROM = 0.3
 # Of five remainders of crc32(doc_id), the one that is never learned from.
@@ -83,7 +88,10 @@ def features(texts: pa.Array) -> pa.Array:
 
 @dataclass(frozen=True)
 class Model:
-    """Per class (0, 1) the share of rows, the mean and the Cholesky factor; none without both classes."""
+    """Per class (0, 1) the share of rows, the mean and the Cholesky factor; none without both classes.
+
+    The factors' inverses are worked out once. A row's score does not depend on the rows beside it.
+    """
 
     prior: float
     centre: np.ndarray | None = None
@@ -91,14 +99,20 @@ class Model:
     means: tuple[np.ndarray, np.ndarray] | None = None
     factors: tuple[np.ndarray, np.ndarray] | None = None
 
+    @cached_property
+    def inverses(self) -> list[np.ndarray]:
+        return [np.linalg.solve(factor, np.eye(SIZE)) for factor in self.factors]
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Probability of class 1 of each row."""
         if self.means is None:
             return np.full(len(x), self.prior)
         z = (x - self.centre) / self.scale
         logs = []
-        for mean, factor in zip(self.means, self.factors):
-            away = np.linalg.solve(factor, (z - mean).T)
+        for mean, factor, inverse in zip(self.means, self.factors, self.inverses):
+            away = np.zeros((SIZE, len(x)))
+            for place, values in enumerate((z - mean).T):
+                away += np.outer(inverse[:, place], values)
             logs.append(-0.5 * (away**2).sum(axis=0) - np.log(np.diag(factor)).sum())
         odds = logs[1] - logs[0] + np.log(self.prior / (1 - self.prior))
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
@@ -132,25 +146,29 @@ def model_of(moments: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> Model:
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per class, the sums of ones, of values and of products that a task has read."""
-    totals = {0: np.zeros(1 + SIZE + SIZE * SIZE), 1: np.zeros(1 + SIZE + SIZE * SIZE)}
+    """Per class, the exact sums of ones, of values and of products that a task has read, in steps."""
+    totals = {k: np.zeros(1 + SIZE + SIZE * SIZE, dtype=object) for k in (0, 1)}
     for batch in batches:
         x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, SIZE)
+        steps = np.rint(x * STEPS).astype(np.int64)
         label = batch.column(1).to_numpy(zero_copy_only=False)
         for k, total in totals.items():
-            own = x[label == k]
-            total += np.concatenate(([len(own)], own.sum(axis=0), (own.T @ own).ravel()))
+            own = steps[label == k]
+            for first in range(0, len(own), CHUNK):
+                part = own[first : first + CHUNK]
+                total += np.concatenate(([len(part)], part.sum(axis=0), (part.T @ part).ravel())).astype(object)
     for k, total in totals.items():
         places = np.arange(len(total))
+        values = pa.array([Decimal(v) for v in total], pa.decimal128(38, 0))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(total), k)), pa.array(places), pa.array(total)], ["label", "place", "value"]
+            [pa.array(np.full(len(total), k)), pa.array(places), values], ["label", "place", "value"]
         )
 
 
 def train(learned: DataFrame) -> Model:
     """A model from all rows of `features` and `label` (0 or 1)."""
     sums = learned.select("features", F.col("label").cast("long")).mapInArrow(
-        _sums, "label long, place long, value double"
+        _sums, "label long, place long, value decimal(38,0)"
     )
     found = sums.groupBy("label", "place").agg(F.sum("value").alias("value")).collect()
     moments = {}
@@ -158,8 +176,9 @@ def train(learned: DataFrame) -> Model:
         values = np.zeros(1 + SIZE + SIZE * SIZE)
         for r in found:
             if r.label == k:
-                values[r.place] = r.value
-        moments[k] = (values[0], values[1 : 1 + SIZE], values[1 + SIZE :].reshape(SIZE, SIZE))
+                values[r.place] = float(r.value)
+        sums, products = values[1 : 1 + SIZE] / STEPS, values[1 + SIZE :] / STEPS**2
+        moments[k] = (values[0], sums, products.reshape(SIZE, SIZE))
     return model_of(moments)
 
 

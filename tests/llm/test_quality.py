@@ -60,6 +60,30 @@ def test_held_out_documents(spark):
     assert kept == {k for k, r in got.items() if r.predicted}
 
 
+def test_same_scores_however_rows_are_dealt(spark):
+    docs, labels = read(spark, SF_DIR, "documents"), read(spark, SF_DIR, "labels")
+    found = [
+        {r.doc_id: r.score for r in Q.score_documents(docs.repartition(n).sortWithinPartitions(order), labels).collect()}
+        for n, order in ((1, "doc_id"), (7, "n_chars"), (3, "text"))
+    ]
+    assert found[0] == found[1] == found[2]
+
+
+def test_sums_are_exact():
+    x = np.random.default_rng(1).normal(0, 9, (300, Q.SIZE))
+    steps = [[round(v * Q.STEPS) for v in row] for row in x.tolist()]
+    batch = Q.pa.RecordBatch.from_arrays([Q.pa.array(x.tolist()), Q.pa.array([1] * 300)], ["features", "label"])
+    _, got = Q._sums(iter([batch, batch]))
+    values = [int(v) for v in got.column("value").to_pylist()]
+    assert values[0] == 600
+    assert values[1 : 1 + Q.SIZE] == [2 * sum(row[i] for row in steps) for i in range(Q.SIZE)]
+    assert values[1 + Q.SIZE + 3] == 2 * sum(row[0] * row[3] for row in steps)
+    most = np.full((20_000, Q.SIZE), 32.0)
+    whole = Q.pa.RecordBatch.from_arrays([Q.pa.array(most.tolist()), Q.pa.array([0] * 20_000)], ["features", "label"])
+    got, _ = Q._sums(iter([whole]))
+    assert int(got.column("value").to_pylist()[-1]) == 20_000 * (32 * Q.STEPS) ** 2
+
+
 def test_held_out_labels_do_not_teach(spark):
     docs, labels = read(spark, SF_DIR, "documents"), read(spark, SF_DIR, "labels")
     turned = labels.selectExpr(
