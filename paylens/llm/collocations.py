@@ -40,8 +40,8 @@ SHARED = 1 << 20
 BITMAP_BITS = 29
 _SLICE_BITS = 17
 # Positions and different words that a task holds before it writes its filters.
-HELD = 1 << 22
-HELD_WORDS = 1 << 19
+HELD = 1 << 20
+HELD_WORDS = 1 << 18
 SHARD_BYTES = 16 << 20
 MOST_SHARD_BITS = 16
 
