@@ -508,3 +508,48 @@ for _name, _same in (
     ("price_rise_merged", "price_rise"),
 ):
     ORACLES[_name] = ORACLES[_same]
+
+# Routing by score: descriptions, letters and words that say nothing stand here once more, and weights are
+# summed by joins.
+_SCORED = """
+    told(template_id, text) AS (VALUES
+        ('suurimad_kulutused',
+         'Suurimad kulutused ja kõige kallimad ostud. Kõige suurem väljaminek, suurim makse, suurimad tehingud, kuhu läks kõige rohkem raha, kalleim ost. Väikseimad ja odavaimad ostud, kõige väiksem makse. Tehingute edetabel, top kümme.'),
+        ('korduvad_maksed',
+         'Korduvad maksed ja regulaarsed arved. Püsimaksed, tellimused, kuumaksed, igakuised maksed, iga kuu sama saaja, samale kaupmehele mitu korda, raha läheb regulaarselt, liikmemaks, abonement, korduvalt makstud.'),
+        ('topeltmaksed',
+         'Topeltmaksed ja kahekordsed maksed. Sama arve on makstud kaks korda, sama päev ja sama summa samale saajale, dubleeritud tehing, topelt võetud raha, ekslikult teist korda tasutud.'),
+        ('sagedased_vaikesed_maksed',
+         'Sagedased väikesed maksed. Palju väikseid oste, mikromaksed, väike summa, kohvikud ja kioskid, sageli alla mingi summa, pisikulud, tihti väikesed ostud, näksid, peenraha, väiksed kulutused kogunevad.'),
+        ('pusimakse_hinnatous',
+         'Püsimakse hinnatõus. Teenus on läinud kallimaks, hind on tõusnud, tellimus on kallinenud, teenusepakkuja tõstis hinda, hinnamuutus, püsikulu kasvas, hind kasvas protsenti, kuutasu suurenes, hinnad kerkisid.')),
+    said AS (
+        SELECT key, list_transform(list_filter(regexp_extract_all(lower(text), '[a-zäöõüšž]+'),
+                   lambda w: length(w) >= 3 AND NOT list_contains(regexp_extract_all('
+        aga alates ega eur euro eurot ehk enne ette igal ilma juba jaoks kaasa kas kes kokku kuhu kui kuid kuni kus
+        kust kuu kuul kuus kõik mida midagi millal mille millele milline millised mind minu mis miks mul mulle mult
+        need näita oled olen oli olid olnud palun pärast see seda seal selle sest siis siin sel tee too vahemikus
+        vahel veel välja üks aasta aastal eelmise eelmisel eelmine jooksul läheb mitu ole olema ning või', '[a-zäöõüšž]+'), w)),
+                   lambda w: left(w, 5)) AS s
+        FROM (SELECT template_id AS key, text FROM told UNION ALL SELECT 'q ' || question_id, text FROM asked)),
+    terms AS (
+        SELECT key, unnest(list_concat(s, list_transform(range(1, len(s)), lambda i: s[i] || '_' || s[i + 1]))) AS term
+        FROM said),
+    tf AS (SELECT key, term, count(*) AS tf FROM terms WHERE key IN (SELECT template_id FROM told) GROUP BY ALL),
+    sizes AS (SELECT key, sum(tf) AS size FROM tf GROUP BY key),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    weights AS (
+        SELECT term, key AS template_id, CAST(floor(1000 * (
+            ln(1 + ((SELECT count(*) FROM sizes)::DOUBLE - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))
+            * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size
+               / (SELECT avg(size) FROM sizes)))))) AS BIGINT) AS weight
+        FROM tf JOIN sizes USING (key) JOIN df USING (term)),
+    totals AS (
+        SELECT key, template_id, sum(weight) AS score
+        FROM (SELECT DISTINCT key, term FROM terms) JOIN weights USING (term) GROUP BY ALL),
+    best AS (SELECT * FROM totals QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, template_id) = 1)"""
+
+ORACLES["route_by_score"] = f"""WITH asked AS ({QUESTIONS}), {_SCORED}
+    SELECT question_id, CASE WHEN score >= 1000 THEN template_id END AS template_id,
+           CAST(coalesce(score, 0) AS BIGINT) AS score
+    FROM asked LEFT JOIN best ON key = 'q ' || question_id"""

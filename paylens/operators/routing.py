@@ -19,6 +19,7 @@ from paylens.fixed_values import (
 )
 from paylens.functions.dates import named_periods, parse_iso_date
 from paylens.functions.text import normalise
+from paylens.operators.scored import TermIndex, scored_template
 
 _NUMBER = r"([0-9]+(?:[.,][0-9]+)?)"
 LIMIT_PATTERN = r"([0-9]{1,9}) (?:kõige )?(?:suurim|kallim|kalleim|väikseim|odavaim)"
@@ -43,14 +44,15 @@ def _any(conditions: list[Column]) -> Column:
     return found
 
 
-def _best_template(words: Column) -> Column:
-    """Template with most keywords and its score; the earlier in the list on a tie."""
+def _keyword_template(words: Column) -> Column:
+    """Template with most keywords, null without any; the earlier in the list on a tie."""
     scores = []
     for place, (template, keywords) in enumerate(TEMPLATE_KEYWORDS.items()):
         score = sum((c.cast("int") for c in _mentions(words, keywords)), F.lit(0))
         scores.append(F.struct(score.alias("score"), F.lit(-place).alias("place"),
                                F.lit(template).alias("template")))
-    return F.array_max(F.array(*scores))
+    best = F.array_max(F.array(*scores))
+    return F.get(F.transform(F.array(best), lambda b: F.when(b["score"] > 0, b["template"])), F.lit(0))
 
 
 def _extract(text: Column, pattern: str, group: int = 1) -> Column:
@@ -94,11 +96,15 @@ def _mentioned_month(number: Column, text: Column, today: Column) -> Column:
     return F.when(number > 0, _bounds(first, F.last_day(first)))
 
 
-def route_questions(questions: DataFrame, today: date, bounds: tuple[date, date]) -> DataFrame:
+def route_questions(
+    questions: DataFrame, today: date, bounds: tuple[date, date], index: TermIndex | None = None
+) -> DataFrame:
     """Template, dates and raw parameters of each question in `question_id, text`.
 
+    The template goes by keywords, or, given an index of descriptions, by BM25 score.
+
     Dates come from ISO dates in the text, else a named period, else a month name, else the bounds of
-    the dataset. Other parameters are the text found, or null. No keyword gives a null template.
+    the dataset. Other parameters are the text found, or null. No keyword, or too low a score, gives a null template.
     """
     words = F.concat(F.lit(" "), normalise(F.col("text")), F.lit(" "))
     day = F.lit(today)
@@ -108,7 +114,8 @@ def route_questions(questions: DataFrame, today: date, bounds: tuple[date, date]
         "question_id", F.lower("text").alias("lowered"), words.alias("words")
     ).select(
         "*",
-        _best_template(F.col("words")).alias("best"),
+        (_keyword_template(F.col("words")) if index is None else scored_template(text, index)["template"])
+        .alias("template_id"),
         _iso_dates(text).alias("days"),
         _month_number(text).alias("month"),
     )
@@ -121,7 +128,7 @@ def route_questions(questions: DataFrame, today: date, bounds: tuple[date, date]
     )
     routed = prepared.select(
         "question_id",
-        F.when(F.col("best.score") > 0, F.col("best.template")).alias("template_id"),
+        "template_id",
         dates.alias("dates"),
         F.when(_any(_mentions(words, SMALLEST_FIRST_KEYWORDS)), F.lit("ASC")).alias("direction"),
         _extract(text, LIMIT_PATTERN).alias("limit"),

@@ -9,6 +9,7 @@ from paylens.operators.payments import QUERIES
 from paylens.operators.periods import dataset_bounds
 from paylens.operators.replies import parse_replies, validate_params
 from paylens.operators.routing import route_questions, routed_params
+from paylens.operators.scored import TermIndex
 
 _CONVERT = {
     "date_from": date.fromisoformat,
@@ -44,12 +45,12 @@ def _answer(transactions: DataFrame, parsed: DataFrame, bounds) -> tuple[str, Da
 
 
 def answer_question(
-    spark: SparkSession, transactions: DataFrame, question: str, today: date
+    spark: SparkSession, transactions: DataFrame, question: str, today: date, index: TermIndex | None = None
 ) -> tuple[str, DataFrame]:
-    """Template and result of one question, routed by keywords."""
+    """Template and result of one question, routed by keywords, or by scores where an index is given."""
     bounds = dataset_bounds(transactions)
     questions = spark.createDataFrame([("q", question)], "question_id string, text string")
-    return _answer(transactions, routed_params(route_questions(questions, today, bounds)), bounds)
+    return _answer(transactions, routed_params(route_questions(questions, today, bounds, index)), bounds)
 
 
 def answer_reply(spark: SparkSession, transactions: DataFrame, reply: str) -> tuple[str, DataFrame]:

@@ -15,6 +15,7 @@ from paylens.operators.filters import by_id, by_ids, capped, detail, searchable
 from paylens.operators.periods import dataset_bounds, dataset_period, relative_periods
 from paylens.operators.replies import parse_replies, validate_params
 from paylens.operators.routing import route_questions, routed_params
+from paylens.operators.scored import default_index, route_by_score
 from paylens.operators.vectors import nearest
 from paylens.plans.fixtures import GAPS, NAMES, QUESTIONS, RAW_STATEMENTS, REPLIES, SOURCES, from_tables, view
 from paylens.plans.prepare import build_index, fill_search_text, load_statements
@@ -408,6 +409,11 @@ def routed_questions(spark, sf_dir):
     return _routed(spark, sf_dir)[0]
 
 
+def questions_by_score(spark, sf_dir):
+    """Every question and turn against the inverted index of the templates' descriptions."""
+    return route_by_score(_spread(from_tables(spark, sf_dir, QUESTIONS)), default_index(spark))
+
+
 def routed_question_params(spark, sf_dir):
     routed, bounds = _routed(spark, sf_dir)
     return validate_params(routed_params(routed), bounds)
@@ -494,6 +500,7 @@ QUERIES: dict[str, Query] = {
     "result_json": result_json,
     "route_questions": routed_questions,
     "route_question_params": routed_question_params,
+    "route_by_score": questions_by_score,
     "parse_replies": parsed_replies,
     "validate_params": reply_params,
 }
