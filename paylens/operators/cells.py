@@ -5,10 +5,15 @@ centroid. Ranges of this order are rings (a cell, the least and the greatest ang
 size. For a query at angle a from a centroid, a vector at angle b is at least |a - b| away, so a ring from
 `low` to `high` holds nothing nearer than max(low - a, a - high).
 
-The search: queries first meet the block nearest to them, where the distance of their k-th neighbour so far is
-found; then the rings whose bound does not exceed it, and in these the rows within reach. Both times queries and
-blocks are joined on the block's number, so a block that many queries want is split by adaptive execution. Only
-centroids and rings, of bounded number, are broadcast. Nothing runs before the result is asked for but the index.
+The search: queries are sorted by cell and angle too and cut into tiles. Blocks are dealt into shards of bounded
+size, queries into groups, and each pair of a group and a shard is a task: it holds the blocks and takes the tiles
+one by one. So a block moves once for each group and a query once for each shard, and their number depends on
+cores and bytes, not on how many blocks a query wants. Within a task each query meets the block nearest to it,
+which bounds the distance of its k-th neighbour, then those whose bound does not exceed it, and in these the rows
+within reach. Inner products in single precision tell which rows may count; only these are worked out in double.
+
+Only centroids, and for `probes` rings, of bounded number, are broadcast. Nothing runs before the result is asked
+for but the index.
 
 With `probes` only so many rings are visited, those of the least bound: then neighbours may be missed.
 
@@ -21,12 +26,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Accumulator, Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paylens.fixed_values import NEIGHBOURS
-from paylens.operators.vectors import _CANDIDATES, _CANDIDATES_DDL, _REPEATED, _UNITS, _matrix, _Nearest, _unit_rows, ranked
+from paylens.operators.vectors import _CANDIDATES, _CANDIDATES_DDL, _UNITS, _matrix, _unit_rows, ranked
 from paylens.session import scratch_path
 
 # Bytes of a block's vectors, and the most ranges that the sorted rows are cut into.
@@ -37,12 +43,20 @@ SAMPLE = 8192
 CENTROIDS = 1024
 CENTROID_BYTES = 32 << 20
 ROUNDS = 6
-# Room for what rounding does to an angle, and bytes of queries that a task gathers before it sends them on.
+# Bytes of vectors, in single precision, and rows of a shard; queries of a tile; tasks for each core.
+SHARD_BYTES = 128 << 20
+SHARD_ROWS = 1 << 19
+TILE = 1024
+TASKS = 3
+# Room for what rounding does to an angle.
 _SLACK = 1e-6
-_HELD_BYTES = 32 << 20
-_QUERIES = 2048
+# A neighbour as one number that sorts by query of the tile, distance in units and place of its id in the shard.
+_UNIT_BITS, _RANK_BITS = 31, 21
+_FAR = (1 << _UNIT_BITS) - 1
+# Pairs that are worked out in double at once.
+_PAIRS = 1 << 16
 _PER_RING = 1 << 24
-_NONE = -1
+_BLOCK = -1
 
 _ASSIGNED_DDL = "tx_id string, embedding array<double>, cell int, angle double"
 _BLOCKS_DDL = (
@@ -61,14 +75,18 @@ _BLOCKS = pa.schema(
         ("x", pa.binary()),
     ]
 )
-_SENT_DDL = "block_id long, query_ids array<string>, queries binary, reach binary, found array<string>"
+# Blocks and tiles of queries on their way to tasks; a tile has a number, a block has not.
+_SENT_DDL = "number long, block_id long, ring long, cell int, ids array<string>, angles binary, kind string, x binary"
 _SENT = pa.schema(
     [
+        ("number", pa.int64()),
         ("block_id", pa.int64()),
-        ("query_ids", pa.list_(pa.string())),
-        ("queries", pa.binary()),
-        ("reach", pa.binary()),
-        ("found", pa.list_(pa.string())),
+        ("ring", pa.int64()),
+        ("cell", pa.int32()),
+        ("ids", pa.list_(pa.string())),
+        ("angles", pa.binary()),
+        ("kind", pa.string()),
+        ("x", pa.binary()),
     ]
 )
 
@@ -76,7 +94,7 @@ _SENT = pa.schema(
 @dataclass(frozen=True)
 class CellIndex:
     """`blocks` of vectors, the `centroids` of their cells (the last without direction), and the rings: arrays
-    `ring`, `cell`, `low`, `high` and `blocks`, one place for each ring."""
+    `ring`, `cell`, `low`, `high` and `rows`, one place for each ring."""
 
     blocks: DataFrame
     centroids: np.ndarray
@@ -111,6 +129,12 @@ def _learned(sample: np.ndarray, wanted: int) -> np.ndarray:
     return centroids
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """In single precision, where that holds the same numbers."""
+    small = x.astype(np.float32)
+    return np.ascontiguousarray(small if (small == x).all() else x)
+
+
 def _assigned(centroids: Broadcast):
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, dims = centroids.value[:-1], centroids.value.shape[1]
@@ -138,8 +162,7 @@ def _blocked(dims: int, cells: int, block_rows: int):
 
         def cut() -> pa.RecordBatch:
             ids, angles, x = (np.concatenate(c) for c in zip(*held))
-            small = x.astype(np.float32)
-            small = small if (small == x).all() else x
+            small = _small(x)
             ring, number = part * cells + last, counts.get(last, 0)
             counts[last] = number + 1
             row = {
@@ -151,7 +174,7 @@ def _blocked(dims: int, cells: int, block_rows: int):
                 "ids": ids.tolist(),
                 "angles": angles.tobytes(),
                 "kind": small.dtype.str,
-                "x": np.ascontiguousarray(small).tobytes(),
+                "x": small.tobytes(),
             }
             return pa.RecordBatch.from_pylist([row], schema=_BLOCKS)
 
@@ -213,10 +236,10 @@ def read_cells(spark: SparkSession, path: str) -> CellIndex:
     blocks = spark.read.schema(_BLOCKS_DDL).parquet(f"{path}/blocks")
     centroids = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
     rings = blocks.groupBy("ring", "cell").agg(
-        F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("blocks")
+        F.min("low").alias("low"), F.max("high").alias("high"), F.sum(F.length("angles") / 8).cast("long").alias("rows")
     )
     told = rings.orderBy("ring").collect()
-    arrays = {c: np.array([r[c] for r in told]) for c in ("ring", "cell", "low", "high", "blocks")}
+    arrays = {c: np.array([r[c] for r in told]) for c in ("ring", "cell", "low", "high", "rows")}
     arrays["cell"] = arrays["cell"].astype(np.int64)
     return CellIndex(blocks, np.array([r.centroid for r in centroids], dtype=np.float64).reshape(len(centroids), -1), arrays)
 
@@ -231,158 +254,214 @@ def _bounds(units: np.ndarray, centroids: np.ndarray, rings: dict) -> tuple[np.n
     return angles, least - 2
 
 
-class _Outbox:
-    """Queries on their way to blocks, gathered so that a block meets many at a time."""
-
-    def __init__(self):
-        self.held: dict[int, list[tuple]] = {}
-        self.size = 0
-
-    def put(self, block: int, ids: np.ndarray, queries: np.ndarray, reach: np.ndarray) -> None:
-        self.held.setdefault(block, []).append((ids, queries, reach))
-        self.size += queries.nbytes + 64 * len(ids)
-
-    def full(self) -> bool:
-        return self.size >= _HELD_BYTES
-
-    def send(self) -> Iterator[pa.RecordBatch]:
-        for block, parts in self.held.items():
-            ids, queries, reach = (np.concatenate(c) for c in zip(*parts))
-            for at in range(0, len(ids), _QUERIES):
-                part = slice(at, at + _QUERIES)
-                yield _sent(block, ids[part], queries[part], reach[part])
-        self.held, self.size = {}, 0
-
+def _tiled(dims: int, directed: int):
+    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries sorted by cell and angle, in tiles; those without a direction in tiles of their own."""
+        part, number = TaskContext.get().partitionId(), 0
+        held: list[tuple] = []
+        size, last = 0, False
 
-def _sent(block, ids, queries, reach, found=None) -> pa.RecordBatch:
-    row = {
-        "block_id": block,
-        "query_ids": list(ids),
-        "queries": None if queries is None else np.ascontiguousarray(queries).tobytes(),
-        "reach": np.ascontiguousarray(reach).tobytes(),
-        "found": None if found is None else list(found),
-    }
-    return pa.RecordBatch.from_pylist([row], schema=_SENT)
+        def cut() -> pa.RecordBatch:
+            nonlocal number
+            ids = pa.concat_arrays([i for i, _ in held])
+            x = _small(np.concatenate([x for _, x in held]))
+            row = {"number": part * _PER_RING + number, "ids": ids, "kind": x.dtype.str, "x": x.tobytes()}
+            number += 1
+            return pa.RecordBatch.from_pylist([{**row, "ids": ids.to_pylist()}], schema=_SENT)
 
+        for batch in batches:
+            ids, x = batch.column("tx_id"), _matrix(batch.column("embedding"), dims)
+            empty = batch.column("cell").to_numpy(zero_copy_only=False) >= directed
+            at = 0
+            while at < len(ids):
+                if size and (size >= TILE or bool(empty[at]) != last):
+                    yield cut()
+                    held, size = [], 0
+                last = bool(empty[at])
+                other = np.flatnonzero(empty[at:] != last)
+                end = min(at + (int(other[0]) if len(other) else len(ids) - at), at + TILE - size)
+                held.append((ids.slice(at, end - at), x[at:end]))
+                size += end - at
+                at = end
+        if size:
+            yield cut()
 
-def _first_blocks(centroids: Broadcast, rings: Broadcast):
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Queries to the block nearest to them."""
-        box, dims = _Outbox(), centroids.value.shape[1]
-        own = rings.value
-        if not len(own["ring"]):
+    return tiled
+
+
+class _Block:
+    """A block of a shard; `start` is its first row's place among those of the shard."""
+
+    def __init__(self, row: dict, start: int, dims: int):
+        self.block_id, self.ring, self.cell, self.start = row["block_id"], row["ring"], row["cell"], start
+        self.angles = np.frombuffer(row["angles"], np.float64)
+        self.x = np.frombuffer(row["x"], row["kind"]).reshape(-1, dims)
+        x = self.x.astype(np.float64)
+        self.norms = np.sqrt(np.einsum("ij,ij->i", x, x))
+        self.near = _unit_rows(x).astype(np.float32)
+
+    def units(self, rows: np.ndarray) -> np.ndarray:
+        x, norms = self.x[rows].astype(np.float64), self.norms[rows][:, None]
+        return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
+
+
+class _Shard:
+    """The blocks that a task holds, and the search of a tile in them."""
+
+    def __init__(self, rows: list[dict], centroids: np.ndarray, wanted: int, compared: Accumulator | None):
+        dims = centroids.shape[1]
+        self.blocks, self.centroids, self.wanted, self.compared = [], centroids, wanted, compared
+        start = 0
+        for row in rows:
+            self.blocks.append(_Block(row, start, dims))
+            start += len(row["ids"])
+        self.ids = pa.concat_arrays([row["ids"] for row in rows])
+        self.rank = pc.rank(self.ids, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64) - 1
+        if start > 1 << _RANK_BITS:
+            raise ValueError(f"a shard holds {start} rows")
+        self.row_of = np.empty(int(self.rank.max()) + 1, dtype=np.int64)
+        self.row_of[self.rank] = np.arange(start)
+        self.repeated = len(self.row_of) < start
+        self.cells = np.array([b.cell for b in self.blocks])
+        self.low = np.array([b.angles[0] for b in self.blocks])
+        self.high = np.array([b.angles[-1] for b in self.blocks])
+        # What single precision may make of the inner product of two unit vectors.
+        self.room = (dims + 16) * 2.0**-22
+
+    def _kept(self, keys: np.ndarray) -> np.ndarray:
+        """The least keys of each query, of a repeated id the nearest."""
+        if self.repeated:
+            rank = keys & ((1 << _RANK_BITS) - 1)
+            query = keys >> (_UNIT_BITS + _RANK_BITS)
+            order = np.lexsort((keys, rank, query))
+            first = np.ones(len(keys), dtype=bool)
+            first[1:] = (rank[order][1:] != rank[order][:-1]) | (query[order][1:] != query[order][:-1])
+            keys = keys[order][first]
+        keys = np.sort(keys)
+        query = keys >> (_UNIT_BITS + _RANK_BITS)
+        place = np.arange(len(keys)) - np.searchsorted(query, query)
+        return keys[place < self.wanted]
+
+    def _limits(self, reach: np.ndarray) -> np.ndarray:
+        """The angle up to which a row may lie from a query."""
+        angle = np.arccos(np.clip(1.0 - (reach + 2) / _UNITS, -1.0, 1.0)) + _SLACK
+        return np.where(reach >= _FAR, np.inf, angle)
+
+    def _meet(self, block: _Block, live: np.ndarray, units, near, angles, furthest, reach) -> Iterator[np.ndarray]:
+        """Keys of a block's rows within reach of the queries `live`."""
+        start, end = np.zeros(len(live), np.int64), np.full(len(live), len(block.angles))
+        if block.cell < len(self.centroids) - 1:
+            start = np.searchsorted(block.angles, angles - furthest, side="left")
+            end = np.searchsorted(block.angles, angles + furthest, side="right")
+        some = end > start
+        if not some.any():
             return
-        for batch in batches:
-            ids = np.array(batch.column("query_id").to_pylist(), dtype=object)
-            queries = _matrix(batch.column("embedding"), dims)
-            for at in range(0, len(ids), _QUERIES):
-                part = slice(at, at + _QUERIES)
-                angles, least = _bounds(_unit_rows(queries[part]), centroids.value, own)
-                home = (least / _UNITS + 1e-3 * angles).argmin(axis=1)
-                angle = angles[np.arange(len(home)), home]
-                low, high, blocks = (own[c][home] for c in ("low", "high", "blocks"))
-                share = np.divide(angle - low, high - low, out=np.zeros(len(home)), where=high > low)
-                number = np.clip((share * blocks).astype(np.int64), 0, blocks - 1)
-                target = own["ring"][home] * _PER_RING + number
-                for block in np.unique(target).tolist():
-                    rows = np.flatnonzero(target == block)
-                    box.put(block, ids[part][rows], queries[part][rows], np.full(len(rows), np.inf))
-            if box.full():
-                yield from box.send()
-        yield from box.send()
-
-    return first
-
-
-def _block(row: dict, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = np.array(row["ids"], dtype=object)
-    x = np.frombuffer(row["x"], row["kind"]).reshape(len(ids), dims).astype(np.float64)
-    return ids, np.frombuffer(row["angles"], np.float64), x
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(len(batch)):
-            yield batch.slice(i, 1).to_pylist()[0]
-
-
-def _sent_on(centroids: Broadcast, rings: Broadcast, wanted: int, probes: int | None, compared: Accumulator | None):
-    def sent_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What queries find in their first block, and the queries again for the blocks that may hold more."""
-        box, own, dims = _Outbox(), rings.value, centroids.value.shape[1]
-        for row in _rows(batches):
-            query_ids = np.array(row["query_ids"], dtype=object)
-            queries = np.frombuffer(row["queries"], np.float64).reshape(-1, dims)
-            nearest = _Nearest(query_ids, queries, wanted)
-            ids, _, x = _block(row, dims)
-            nearest.add(ids, x)
-            if compared is not None:
-                compared.add(len(ids) * len(query_ids))
-            real = nearest.units != _REPEATED
-            full = real.sum(axis=1) >= wanted
-            reach = np.where(full, np.where(real, nearest.units, 0).max(axis=1, initial=0), np.inf)
-            width = nearest.ids.shape[1]
-            yield _sent(
-                _NONE, np.repeat(query_ids, width)[real.ravel()], None, nearest.units[real], nearest.ids[real]
-            )
-            _, least = _bounds(_unit_rows(queries), centroids.value, own)
-            need = least <= reach[:, None]
-            if probes is not None and probes < least.shape[1]:
-                chosen = np.zeros_like(need)
-                np.put_along_axis(chosen, np.argpartition(least, probes - 1, axis=1)[:, :probes], True, axis=1)
-                need &= chosen
-            for k in np.flatnonzero(need.any(axis=0)).tolist():
-                rows = np.flatnonzero(need[:, k])
-                for number in range(int(own["blocks"][k])):
-                    block = int(own["ring"][k]) * _PER_RING + number
-                    if block != row["block_id"]:
-                        box.put(block, query_ids[rows], queries[rows], reach[rows])
-            if box.full():
-                yield from box.send()
-        yield from box.send()
-
-    return sent_on
-
-
-def _found(centroids: Broadcast, wanted: int, compared: Accumulator | None):
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Candidates within reach of each query."""
-        dims = centroids.value.shape[1]
-        for row in _rows(batches):
-            query_ids = np.array(row["query_ids"], dtype=object)
-            if row["block_id"] == _NONE:
-                units = np.frombuffer(row["reach"], np.int64)
-                yield _candidates(query_ids, np.array(row["found"], dtype=object), units)
-                continue
-            queries = np.frombuffer(row["queries"], np.float64).reshape(-1, dims)
-            reach = np.frombuffer(row["reach"], np.float64)
-            ids, angles, x = _block(row, dims)
-            units = _unit_rows(queries)
-            angle = _angles(units, centroids.value[row["cell"]][None, :])[:, 0]
-            furthest = np.arccos(np.clip(1.0 - (reach + 2) / _UNITS, -1.0, 1.0)) + _SLACK
-            furthest[~units.any(axis=1) | np.isinf(reach)] = np.inf
-            if row["cell"] == len(centroids.value) - 1:
-                furthest[:] = np.inf
-            start = np.searchsorted(angles, angle - furthest, side="left")
-            end = np.searchsorted(angles, angle + furthest, side="right")
-            live = np.flatnonzero(end > start)
+        live, a, b = live[some], int(start[some].min()), int(end[some].max())
+        if self.compared is not None:
+            self.compared.add(len(live) * (b - a))
+        reach = reach[live]
+        for at in range(a, b, 1 << 12):
+            near_rows = block.near[at : min(b, at + (1 << 12))]
+            dots = near[live] @ near_rows.T
+            least = 1.0 - (reach + 2) / _UNITS - self.room
+            if not self.repeated and dots.shape[1] > self.wanted and (reach >= _FAR).any():
+                # So many rows of this block are at least as near.
+                place = dots.shape[1] - self.wanted
+                least = np.maximum(least, np.partition(dots, place, axis=1)[:, place] - 2 * self.room - 4 / _UNITS)
+            hits = np.flatnonzero(dots >= least.astype(np.float32)[:, None])
+            for part in range(0, len(hits), _PAIRS):
+                q, row = np.divmod(hits[part : part + _PAIRS], dots.shape[1])
+                row += at
+                distance = 1.0 - np.einsum("ij,ij->i", units[live[q]], block.units(row))
+                found = np.rint(distance * _UNITS).astype(np.int64).clip(min=0)
+                kept = found <= reach[q]
+                q, row, found = live[q[kept]], row[kept], found[kept]
+                yield (((q << _UNIT_BITS) | found) << _RANK_BITS) | self.rank[block.start + row]
+
+    def search(self, queries: np.ndarray, allowed: np.ndarray | None) -> np.ndarray:
+        """Keys of the nearest rows of each query; `allowed` tells which blocks it may visit."""
+        units = _unit_rows(queries)
+        near, empty = units.astype(np.float32), ~units.any(axis=1)
+        angles = _angles(units, self.centroids)[:, self.cells]
+        gap = np.maximum(np.maximum(self.low[None, :] - angles, angles - self.high[None, :]), 0.0)
+        gap[:, self.cells == len(self.centroids) - 1] = np.pi / 2
+        gap[empty] = np.pi / 2
+        if allowed is not None:
+            gap[~allowed] = np.inf
+        reach = np.full(len(queries), _FAR, dtype=np.int64)
+        furthest = np.full(len(queries), np.inf)
+        best, pending, waiting = np.empty(0, dtype=np.int64), [], 0
+
+        def settle() -> None:
+            nonlocal best, pending, waiting, furthest
+            best = self._kept(np.concatenate([best, *pending]))
+            pending, waiting = [], 0
+            counts = np.bincount(best >> (_UNIT_BITS + _RANK_BITS), minlength=len(queries))
+            last = np.cumsum(counts) - 1
+            full = counts >= self.wanted
+            reach[full] = (best[last[full]] >> _RANK_BITS) & _FAR
+            furthest = np.where(empty, np.inf, self._limits(reach))
+
+        home = (gap + 1e-3 * angles).argmin(axis=1)
+        order = [(int(k), np.flatnonzero(home == k)) for k in np.unique(home)]
+        order += [(int(k), None) for k in np.argsort(gap.min(axis=0), kind="stable")]
+        for k, live in order:
+            if live is None:
+                live = np.flatnonzero((gap[:, k] <= furthest) & (home != k))
+            live = live[np.isfinite(gap[live, k])]
             if not len(live):
                 continue
-            a, b = int(start[live].min()), int(end[live].max())
-            nearest = _Nearest(query_ids[live], queries[live], wanted)
-            nearest.add(ids[a:b], x[a:b])
-            if compared is not None:
-                compared.add(len(live) * (b - a))
-            kept = (nearest.units != _REPEATED) & (nearest.units <= reach[live][:, None])
-            own = np.repeat(query_ids[live], nearest.ids.shape[1])[kept.ravel()]
-            yield _candidates(own, nearest.ids[kept], nearest.units[kept])
-
-    return found
-
-
-def _candidates(query_ids: np.ndarray, ids: np.ndarray, units: np.ndarray) -> pa.RecordBatch:
-    columns = (query_ids, ids, units / float(_UNITS))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CANDIDATES.types)], schema=_CANDIDATES)
+            for keys in self._meet(self.blocks[k], live, units, near, angles[live, k], furthest[live], reach):
+                pending.append(keys)
+                waiting += len(keys)
+                if waiting > max(_PAIRS, 4 * len(queries)):
+                    settle()
+            if waiting > 4 * len(queries):
+                settle()
+        settle()
+        return best
+
+
+def _searched(centroids: Broadcast, rings: Broadcast | None, wanted: int, probes: int | None, compared: Accumulator | None):
+    def allowed(shard: _Shard, queries: np.ndarray) -> np.ndarray | None:
+        """Of each query and block whether its ring is among those of the least bound."""
+        if rings is None:
+            return None
+        own = rings.value
+        angles, least = _bounds(_unit_rows(queries), centroids.value, own)
+        chosen = np.zeros(least.shape, dtype=bool)
+        np.put_along_axis(chosen, np.argpartition(least, probes - 1, axis=1)[:, :probes], True, axis=1)
+        chosen[np.arange(len(least)), (least / _UNITS + 1e-3 * angles).argmin(axis=1)] = True
+        place = np.searchsorted(own["ring"], [b.ring for b in shard.blocks])
+        return chosen[:, place]
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each task first its blocks, then its tiles."""
+        task, held, shard, dims = None, [], None, centroids.value.shape[1]
+        for batch in batches:
+            for i in range(len(batch)):
+                row = {name: batch.column(name)[i].as_py() for name in ("task", "number", "block_id", "ring", "cell", "angles", "kind", "x")}
+                ids = batch.column("ids")[i].values
+                if row["task"] != task:
+                    task, held, shard = row["task"], [], None
+                if row["number"] == _BLOCK:
+                    held.append({**row, "ids": ids})
+                    continue
+                if shard is None and held:
+                    shard, held = _Shard(held, centroids.value, wanted, compared), []
+                if shard is None:
+                    continue  # a shard to which no block was dealt
+                queries = np.frombuffer(row["x"], row["kind"]).reshape(len(ids), dims).astype(np.float64)
+                best = shard.search(queries, allowed(shard, queries))
+                found = shard.row_of[best & ((1 << _RANK_BITS) - 1)]
+                columns = (
+                    ids.take(pa.array(best >> (_UNIT_BITS + _RANK_BITS))),
+                    shard.ids.take(pa.array(found)),
+                    pa.array(((best >> _RANK_BITS) & _FAR) / float(_UNITS)),
+                )
+                yield pa.RecordBatch.from_arrays(list(columns), schema=_CANDIDATES)
+
+    return searched
 
 
 def nearest_in_cells(
@@ -399,12 +478,30 @@ def nearest_in_cells(
     `compared` counts the pairs whose distance was worked out.
     """
     context = queries.sparkSession.sparkContext
-    centroids, rings = context.broadcast(index.centroids), context.broadcast(index.rings)
+    rows = int(index.rings["rows"].sum())
+    if not rows:
+        return ranked(queries.sparkSession.createDataFrame([], _CANDIDATES_DDL), k)
+    centroids = context.broadcast(index.centroids)
+    limited = probes is not None and probes < len(index.rings["ring"])
+    rings = context.broadcast(index.rings) if limited else None
     wanted = k + 1 if exclude_self else k
-    blocks = index.blocks.drop("ring", "low", "high")
-    first = _usable(queries, "query_id").mapInArrow(_first_blocks(centroids, rings), _SENT_DDL)
-    sent = first.join(blocks, "block_id").mapInArrow(_sent_on(centroids, rings, wanted, probes, compared), _SENT_DDL)
-    candidates = sent.join(blocks, "block_id", "left").mapInArrow(_found(centroids, wanted, compared), _CANDIDATES_DDL)
+    shards = max(-(-4 * index.dims * rows // SHARD_BYTES), -(-rows // SHARD_ROWS))
+    groups = -(-TASKS * context.defaultParallelism // shards)
+
+    placed = _usable(queries, "query_id").withColumnRenamed("query_id", "tx_id").mapInArrow(_assigned(centroids), _ASSIGNED_DDL)
+    # Queries of one place are spread by their ids.
+    placed = placed.repartitionByRange(groups, "cell", "angle", F.xxhash64("tx_id")).sortWithinPartitions("cell", "angle")
+    tiles = placed.mapInArrow(_tiled(index.dims, len(index.centroids) - 1), _SENT_DDL)
+    blocks = index.blocks.withColumn("number", F.lit(_BLOCK).cast("long")).select(tiles.columns)
+    group, shard = F.floor(F.col("number") / _PER_RING), F.pmod(F.xxhash64("block_id"), F.lit(shards))
+    sent = tiles.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).select(
+        (group * shards + F.col("shard")).alias("task"), *tiles.columns
+    )
+    dealt = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")).select(
+        (F.col("group") * shards + shard).alias("task"), *tiles.columns
+    )
+    met = sent.unionByName(dealt).repartition(4 * groups * shards, "task").sortWithinPartitions("task", "number")
+    candidates = met.mapInArrow(_searched(centroids, rings, wanted, probes, compared), _CANDIDATES_DDL)
     if exclude_self:
         candidates = candidates.where(F.col("query_id") != F.col("tx_id"))
     return ranked(candidates, k)

@@ -70,3 +70,24 @@ def test_odd_vectors(spark):
     assert nearest_in_cells(asked, empty, 5).count() == 0
     with pytest.raises(Exception, match="not all of length"):
         build_cells(frame(spark, [("a", [1.0]), ("b", [1.0, 2.0])]))
+
+
+def test_candidates_do_not_grow_with_blocks(spark, monkeypatch):
+    """Of each query a shard gives so many rows as are wanted, however many blocks it visits."""
+    from paylens.operators import cells
+
+    rng = np.random.default_rng(9)
+    rows = [(f"v{i:03d}", rng.normal(size=16).tolist()) for i in range(400)]
+    rows += [(rows[i][0], rng.normal(size=16).tolist()) for i in range(0, 400, 9)]  # ids that occur again
+    given, ranked = [], cells.ranked
+    monkeypatch.setattr(cells, "ranked", lambda found, k: given.append(found) or ranked(found, k))
+    asked, index = frame(spark, rows[:400], "query_id"), build_cells(frame(spark, rows), block_bytes=20 * 128)
+    found = nearest_in_cells(asked, index, 5)
+    wanted = {q: list(dict.fromkeys(own))[:5] for q, own in brute(rows[:400], rows, 10, False).items()}
+    assert index.blocks.count() > 20
+    assert given[0].count() <= 400 * 5
+    assert as_lists(found) == wanted
+    # Several shards, over which the same id may lie.
+    monkeypatch.setattr(cells, "SHARD_ROWS", 150)
+    assert as_lists(nearest_in_cells(asked, index, 5)) == wanted
+    assert given[1].count() <= 400 * 5 * 3
