@@ -68,7 +68,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = from_tables(
         spark, sf_dir, "SELECT CAST(doc_id AS STRING) AS tx_id, text AS search_text FROM documents"
     )
-    return _spread(texts).withColumn("search_text", normalise(F.col("search_text")))
+    # Generated, since a filter on a derived column would work it out a second time.
+    return _spread(texts).select("tx_id", F.explode(F.array(normalise(F.col("search_text")))).alias("search_text"))
 
 
 def _document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +236,8 @@ def encoded_texts(spark, sf_dir):
 def vector_upsert(spark, sf_dir):
     """Vectors of part texts, replaced by those of documents with the same id."""
     old = encode_rows(searchable(_with_text(view(spark, sf_dir, "tx_parts"))), letter_profile)
-    new = _document_vectors(spark, sf_dir)
+    # Read twice, for its ids and its vectors.
+    new = written(_document_vectors(spark, sf_dir), "document_vectors")
     return _letters(upsert_vectors(old, new))
 
 
@@ -243,7 +245,7 @@ def bucketed_upsert(spark, sf_dir):
     """The same, in a table of buckets: part texts, then all documents, then one document again."""
     path = scratch_path(spark, "buckets")
     upsert_buckets(encode_rows(searchable(_with_text(view(spark, sf_dir, "tx_parts"))), letter_profile), path)
-    new = _document_vectors(spark, sf_dir)
+    new = written(_document_vectors(spark, sf_dir), "document_vectors")
     upsert_buckets(new, path)
     upsert_buckets(new.orderBy("tx_id").limit(1), path)
     return _letters(read_vectors(spark, path))

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from paylens.sources.buckets import bucket_of, point_view, read_vectors, upsert_buckets
 from test_vectors import frame
@@ -67,3 +68,37 @@ def test_a_failed_batch_changes_nothing(spark, tmp_path):
     with pytest.raises(Exception):
         upsert_buckets(bad, path)
     assert rows(spark, path) == {"a": [1.0]}
+
+
+def _tables(spark, folder):
+    docs = [(i, f"Dokument {i} ülekanne Tartu") for i in range(30)] + [(30, None), (31, "12 34")]
+    parts = [(i, f"nimi {i}", "liik", "mark", 1.0) for i in range(20, 40)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_brand string, p_retailprice double").write.parquet(
+        f"{folder}/part.parquet"
+    )
+    return str(folder)
+
+
+def test_each_document_is_encoded_once(spark, tmp_path, monkeypatch):
+    """However often a table of buckets asks for its vector."""
+    from paylens.plans import registered
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def counted(text):
+        seen.add(1)
+        return [1.0, float(len(text))]
+
+    monkeypatch.setattr(registered, "letter_profile", lambda text: counted(text))
+    rows = registered.bucketed_upsert(spark, _tables(spark, tmp_path)).groupBy("tx_id").count().collect()
+    assert {r.tx_id for r in rows} == {str(i) for i in range(40)}
+    assert seen.value == 30 + 20
+
+
+def test_a_document_is_normalised_once(spark, tmp_path, capsys):
+    from paylens.plans import registered
+
+    registered._document_vectors(spark, _tables(spark, tmp_path)).explain()
+    assert capsys.readouterr().out.count("regexp_replace(") == 1
