@@ -13,6 +13,8 @@ from paylens.operators import payments
 from paylens.operators.filters import in_period, up_to_amount
 
 KEYS = ("counterparty", "amount", "booking_date")
+# Rows of states that a task adds up.
+TASK_ROWS = 1 << 18
 
 
 def levels(transactions: DataFrame, *further: str) -> DataFrame:
@@ -20,8 +22,14 @@ def levels(transactions: DataFrame, *further: str) -> DataFrame:
     return transactions.groupBy(*further, *KEYS).agg(F.count(F.lit(1)).alias("c"))
 
 
-def merged(states: DataFrame) -> DataFrame:
-    """The sum of states, each key once."""
+def merged(states: DataFrame, rows: int | None = None) -> DataFrame:
+    """The sum of states, each key once.
+
+    Given how many `rows` the states have, they are dealt to tasks of at most about `TASK_ROWS` rows first. A state
+    holds a key once, so there is little to add up before, and tasks sized by bytes would hold many millions of keys.
+    """
+    if rows is not None:
+        states = states.repartition(max(1, -(-rows // TASK_ROWS)), *KEYS)
     return states.groupBy(*KEYS).agg(F.sum("c").alias("c"))
 
 

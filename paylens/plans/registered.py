@@ -219,7 +219,8 @@ def _merged_levels(name, query):
         transactions = view(spark, sf_dir, name)
         part = F.pmod(F.xxhash64("tx_id"), F.lit(3))
         states = [written(levels.levels(transactions.where(part == k)), "levels") for k in range(3)]
-        return query(levels.merged(states[0].unionByName(states[1]).unionByName(states[2])))
+        rows = sum(state.count() for state in states)
+        return query(levels.merged(states[0].unionByName(states[1]).unionByName(states[2]), rows))
 
     return run
 

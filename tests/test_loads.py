@@ -158,3 +158,15 @@ def test_months(spark, transactions, tmp_path):
                     out.write(b"not a file of rows")
     assert months.stored_period(spark, path).collect() == dataset_period(tx).collect()
     months.write_by_month(tx.where("false"), str(tmp_path / "none"))
+
+
+def test_merged_states_are_dealt_to_bounded_tasks(spark, transactions, monkeypatch):
+    """The more rows states have, the more tasks add them up; the sums are the same."""
+    rows = [(f"firma {i % 9}", 1 + i % 5, f"2024-01-{1 + i % 28:02d}") for i in range(400)]
+    part = levels.levels(transactions(rows))
+    states = part.unionByName(part)
+    monkeypatch.setattr(levels, "TASK_ROWS", 50)
+    dealt = levels.merged(states, states.count())
+    assert sorted(dealt.collect()) == sorted(levels.merged(states).collect())
+    assert dealt.rdd.getNumPartitions() >= states.count() / 50 > 8
+    assert sorted(levels.price_rise(dealt).collect()) == sorted(levels.price_rise(levels.merged(states)).collect())
