@@ -27,9 +27,10 @@ def merged(states: DataFrame, rows: int | None = None) -> DataFrame:
 
     Given how many `rows` the states have, they are dealt to tasks of at most about `TASK_ROWS` rows first. A state
     holds a key once, so there is little to add up before, and tasks sized by bytes would hold many millions of keys.
+    They are dealt by counterparty and amount, of which each state has a row a day at most: price levels follow in place.
     """
     if rows is not None:
-        states = states.repartition(max(1, -(-rows // TASK_ROWS)), *KEYS)
+        states = states.repartition(max(1, -(-rows // TASK_ROWS)), "counterparty", "amount")
     return states.groupBy(*KEYS).agg(F.sum("c").alias("c"))
 
 
