@@ -21,20 +21,19 @@ EDIT_WORDS = 8
 
 def line_words(line: Column) -> Column:
     """The words of a line, cut at ASCII white space."""
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")
 
 
-def _exploded(docs: DataFrame) -> DataFrame:
-    """Lines with words: `doc_id`, `copy` (the hash of the text), `line` (from 0) and `words`."""
-    return (
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.xxhash64("text").alias("copy"),
-            F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "content"),
-        )
-        .select("doc_id", "copy", "line", line_words(F.col("content")).alias("words"))
-        .where(F.size("words") > 0)
-    )
+def _contents(docs: DataFrame) -> DataFrame:
+    """Lines with words: `doc_id`, `copy` (the hash of the text), `line` (from 0) and `content`.
+
+    Texts are hashed before their lines become rows, so that no line carries its text. The filter goes by the
+    content, as one by the words would have them worked out twice.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text")
+    contents = F.split(F.coalesce("text", F.lit("")), "\n")
+    lines = texts.select("doc_id", "copy", F.posexplode(contents).alias("line", "content"))
+    return lines.where(F.col("content").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def _halves(n: Column, words: Column) -> list[Column]:
@@ -51,7 +50,7 @@ def _halves(n: Column, words: Column) -> list[Column]:
 def _hashed(docs: DataFrame) -> DataFrame:
     """Lines as hashes: `a` and `b` of all words, `n` words, and `halves`."""
     n, words = F.size("words"), F.col("words")
-    return _exploded(docs).select(
+    return _contents(docs).select("doc_id", "copy", "line", line_words(F.col("content")).alias("words")).select(
         "doc_id",
         "copy",
         "line",
@@ -159,16 +158,17 @@ def _near(docs: DataFrame, lines: DataFrame, distinct: DataFrame) -> DataFrame:
     earlier one's."""
     some = distinct.join(stored(_roles(lines), "roles"), "a")
     some = stored(some.select("a", "b", "n", "first", *ROLES, "first.*"), "some")
-    # The texts move only where a place is asked for: bitmaps tell that, and a merge join makes sure.
-    texts = likely_in(_exploded(docs), some, ["doc_id", "copy", "line"]).withColumnRenamed("doc_id", "id")
+    # The lines move, and are cut into words, only where a place is asked for: bitmaps tell that, and a merge
+    # join makes sure.
+    texts = likely_in(_contents(docs), some, ["doc_id", "copy", "line"]).withColumnRenamed("doc_id", "id")
     places = some.hint("merge")
     same = (
         texts["id"].eqNullSafe(places["doc_id"])
         & (texts["copy"] == places["copy"])
         & (texts["line"] == places["line"])
     )
-    lines = texts.join(places, same).select("a", "b", "n", "first", *ROLES, "words").dropDuplicates(["a", "b"])
-    lines = stored(lines, "words")
+    lines = texts.join(places, same).select("a", "b", "n", "first", *ROLES, "content").dropDuplicates(["a", "b"])
+    lines = stored(lines.withColumn("words", line_words(F.col("content"))).drop("content"), "words")
     keys = stored(_variants(lines), "variants")
     of_side = [F.min(F.when(F.col("side") == s, F.col("first"))).alias(f"first_{s}") for s in (0, 1, 2)]
     groups = keys.groupBy("key").agg(*of_side, F.count(F.lit(1)).alias("members"))

@@ -1,6 +1,7 @@
 """Repeated lines against comparing all lines with all earlier ones."""
 
 import random
+import re
 
 from paylens.llm import common as M
 from paylens.llm import lines as L
@@ -132,3 +133,20 @@ def test_odd_rows(spark):
     assert texts[2] == "" and texts[3] is None and texts[6] == "x\n\n " and texts[1] == line and kept.count() == 9
     assert L.repeated_lines(docs.where("false")).collect() == []
     assert L.drop_repeated_lines(docs.where("false")).collect() == []
+
+
+def test_texts_hashed_and_lines_cut_once(spark, monkeypatch):
+    """In no step a line carries its text or is cut into words twice; rows with a blank line come out right."""
+    plans, stored = [], L.stored
+
+    def recorded(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, *args)
+
+    monkeypatch.setattr(L, "stored", recorded)
+    line = "one two three four five six seven eight"
+    check(spark, [(1, f" {line}\t\n\x0b\n{line} nine"), (2, f"\n{line}\x0cten\n{line}"), (3, None), (4, "")])
+    carried = [c for p in plans for c in re.findall(r"Generate posexplode\(split\(.*?, -1\)\), \[(.*?)\], ", p, re.S)]
+    assert len(carried) >= 2 and not any("text" in c for c in carried)
+    cuts = [p.count(r"[\x20\x09-\x0D]+") for p in plans]
+    assert max(cuts) == 1 and sum(cuts) >= 2
