@@ -5,12 +5,14 @@ centroid. Ranges of this order are rings (a cell, the least and the greatest ang
 size. For a query at angle a from a centroid, a vector at angle b is at least |a - b| away, so a ring from
 `low` to `high` holds nothing nearer than max(low - a, a - high).
 
-The search: queries are sorted by cell and angle too and cut into tiles. Blocks are dealt into shards of bounded
-size, queries into groups, and each pair of a group and a shard is a task: it holds the blocks and takes the tiles
-one by one. So a block moves once for each group and a query once for each shard, and their number depends on
-cores and bytes, not on how many blocks a query wants. Within a task each query meets the block nearest to it,
-which bounds the distance of its k-th neighbour, then those whose bound does not exceed it, and in these the rows
-within reach. Inner products in single precision tell which rows may count; only these are worked out in double.
+The search: queries are sorted by cell and angle too and cut into tiles, which are dealt into groups. A group is a
+task. Blocks are dealt into shards of bounded size, which pass by one after the other; a query knows from the shards
+before how far it need look, and gives its k neighbours once. So blocks move once for each group and queries once,
+whatever their number. Rows of a shard are sorted into leaves: boxes along the principal axes of the rows, halved
+where they are longest, so that a few far rows do not widen the box of many close ones. A query is no nearer to a row
+than to its box. Each query first meets the leaf nearest to it, which bounds the distance of its k-th neighbour, then
+those whose box lies within it. Inner products in single precision tell which rows may count; only these are worked
+out in double.
 
 Only centroids, and for `probes` rings, of bounded number, are broadcast. Nothing runs before the result is asked
 for but the index.
@@ -43,11 +45,18 @@ SAMPLE = 8192
 CENTROIDS = 1024
 CENTROID_BYTES = 32 << 20
 ROUNDS = 6
-# Bytes of vectors, in single precision, and rows of a shard; queries of a tile; tasks for each core.
+# Bytes of vectors, in single precision, and rows of a shard; queries of a tile; tasks for each core; of as many
+# queries as the index has rows, those of a task.
 SHARD_BYTES = 128 << 20
 SHARD_ROWS = 1 << 19
-TILE = 1024
+TILE = 2048
 TASKS = 3
+GROUP_ROWS = 1 << 18
+# Most rows of a leaf, leaves of a branch, axes that boxes go by, and halvings in a row before rows are split evenly.
+LEAF_ROWS = 512
+BRANCH = 16
+AXES = 12
+HALVINGS = 64
 # Room for what rounding does to an angle.
 _SLACK = 1e-6
 # A neighbour as one number that sorts by query of the tile, distance in units and place of its id in the shard.
@@ -56,6 +65,8 @@ _FAR = (1 << _UNIT_BITS) - 1
 # Pairs that are worked out in double at once.
 _PAIRS = 1 << 16
 _PER_RING = 1 << 24
+# Rows around a query's leaf, for each neighbour wanted, that first tell how far to look.
+_AROUND = 4
 _BLOCK = -1
 
 _ASSIGNED_DDL = "tx_id string, embedding array<double>, cell int, angle double"
@@ -76,7 +87,7 @@ _BLOCKS = pa.schema(
     ]
 )
 # Blocks and tiles of queries on their way to tasks; a tile has a number, a block has not.
-_SENT_DDL = "number long, block_id long, ring long, cell int, ids array<string>, angles binary, kind string, x binary"
+_SENT_DDL = "number long, block_id long, ring long, cell int, ids array<string>, kind string, x binary"
 _SENT = pa.schema(
     [
         ("number", pa.int64()),
@@ -84,7 +95,6 @@ _SENT = pa.schema(
         ("ring", pa.int64()),
         ("cell", pa.int32()),
         ("ids", pa.list_(pa.string())),
-        ("angles", pa.binary()),
         ("kind", pa.string()),
         ("x", pa.binary()),
     ]
@@ -289,44 +299,111 @@ def _tiled(dims: int, directed: int):
     return tiled
 
 
-class _Block:
-    """A block of a shard; `start` is its first row's place among those of the shard."""
-
-    def __init__(self, row: dict, start: int, dims: int):
-        self.block_id, self.ring, self.cell, self.start = row["block_id"], row["ring"], row["cell"], start
-        self.angles = np.frombuffer(row["angles"], np.float64)
-        self.x = np.frombuffer(row["x"], row["kind"]).reshape(-1, dims)
-        x = self.x.astype(np.float64)
-        self.norms = np.sqrt(np.einsum("ij,ij->i", x, x))
-        self.near = _unit_rows(x).astype(np.float32)
-
-    def units(self, rows: np.ndarray) -> np.ndarray:
-        x, norms = self.x[rows].astype(np.float64), self.norms[rows][:, None]
-        return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
+def _leaves(points: np.ndarray, most: int) -> list[np.ndarray]:
+    """Positions of the rows of each leaf, `most` at most, near ones beside each other."""
+    out, waiting = [], [(np.arange(len(points)), 0)]
+    while waiting:
+        own, depth = waiting.pop()
+        if len(own) <= most:
+            out.append(own)
+            continue
+        rows = points[own]
+        low, high = rows.min(axis=0), rows.max(axis=0)
+        axis = int((high - low).argmax())
+        at = rows[:, axis]
+        below = at <= (low[axis] + high[axis]) / 2
+        if depth >= HALVINGS or below.all():
+            below = np.zeros(len(own), dtype=bool)
+            below[np.argsort(at, kind="stable")[: len(own) // 2]] = True
+        waiting += [(own[~below], depth + 1), (own[below], depth + 1)]
+    return out
+
+
+def _gaps(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The squared distance of each point from each box."""
+    out = np.zeros((len(points), len(low)), dtype=np.float32)
+    for axis in range(points.shape[1]):
+        at = points[:, axis, None]
+        gap = np.maximum(low[:, axis] - at, at - high[:, axis])
+        np.maximum(gap, 0, out=gap)
+        gap *= gap
+        out += gap
+    return out
+
+
+# Twice the distance from a row without a direction; no row is further than `_ANY`.
+_EMPTY = np.float32(2.0)
+_ANY = np.float32(3e38)
 
 
 class _Shard:
-    """The blocks that a task holds, and the search of a tile in them."""
+    """The rows that a task holds, in leaves and branches of leaves, and the search of a tile in them."""
 
-    def __init__(self, rows: list[dict], centroids: np.ndarray, wanted: int, compared: Accumulator | None):
+    def __init__(self, blocks: list[dict], centroids: np.ndarray, wanted: int, compared: Accumulator | None, limited: bool):
         dims = centroids.shape[1]
-        self.blocks, self.centroids, self.wanted, self.compared = [], centroids, wanted, compared
-        start = 0
-        for row in rows:
-            self.blocks.append(_Block(row, start, dims))
-            start += len(row["ids"])
-        self.ids = pa.concat_arrays([row["ids"] for row in rows])
-        self.rank = pc.rank(self.ids, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64) - 1
-        if start > 1 << _RANK_BITS:
-            raise ValueError(f"a shard holds {start} rows")
-        self.row_of = np.empty(int(self.rank.max()) + 1, dtype=np.int64)
-        self.row_of[self.rank] = np.arange(start)
-        self.repeated = len(self.row_of) < start
-        self.cells = np.array([b.cell for b in self.blocks])
-        self.low = np.array([b.angles[0] for b in self.blocks])
-        self.high = np.array([b.angles[-1] for b in self.blocks])
-        # What single precision may make of the inner product of two unit vectors.
+        self.wanted, self.compared = wanted, compared
+        self.ids = pa.concat_arrays([block["ids"] for block in blocks])
+        rank = pc.rank(self.ids, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64) - 1
+        total = len(rank)
+        if total > 1 << _RANK_BITS:
+            raise ValueError(f"a shard holds {total} rows")
+        self.row_of = np.empty(int(rank.max()) + 1, dtype=np.int64)
+        self.row_of[rank] = np.arange(total)
+        # So many rows hold `wanted` different ids at least.
+        self.enough = wanted * int(np.bincount(rank).max())
+        self.repeated = len(self.row_of) < total
+        # What single precision may make of the inner product of two unit vectors, and of a distance from a box.
         self.room = (dims + 16) * 2.0**-22
+        self.slack = 4 * self.room
+
+        sizes = [len(block["ids"]) for block in blocks]
+        x = np.concatenate([np.frombuffer(block.pop("x"), block["kind"]).reshape(-1, dims) for block in blocks])
+        # Any middle and axes give true bounds; axes of the most spread give high ones.
+        some = _unit_rows(x[:: -(-total // _PAIRS)].astype(np.float64))
+        self.middle = some.mean(axis=0).astype(np.float32)
+        spread = some - self.middle
+        self.axes = np.ascontiguousarray(np.linalg.eigh(spread.T @ spread)[1][:, ::-1][:, :AXES], np.float32)
+        turned = np.empty((total, self.axes.shape[1]), dtype=np.float32)
+        for at in range(0, total, _PAIRS):
+            turned[at : at + _PAIRS] = self._turned(_unit_rows(x[at : at + _PAIRS].astype(np.float64)).astype(np.float32))
+
+        # Rows without a direction are leaves of their own, and so is each ring where rings are chosen.
+        empty = np.repeat([block["cell"] == len(centroids) - 1 for block in blocks], sizes)
+        ring = np.repeat([block["ring"] for block in blocks], sizes) if limited else np.where(empty, 1, 0)
+        order, low, high, self.starts, self.first, self.rings, self.empty = [], [], [], [0], [0], [], []
+        most = min(LEAF_ROWS, 1 + int(total**0.5))
+        for own in np.unique(ring):
+            rows = np.flatnonzero(ring == own)
+            leaves = _leaves(turned[rows], most)
+            for at in range(0, len(leaves), BRANCH):
+                part = leaves[at : at + BRANCH]
+                self.first.append(self.first[-1] + len(part))
+                self.rings.append(own)
+                self.empty.append(bool(empty[rows[0]]))
+            for leaf in leaves:
+                leaf = rows[leaf]
+                order.append(leaf)
+                low.append(turned[leaf].min(axis=0))
+                high.append(turned[leaf].max(axis=0))
+                self.starts.append(self.starts[-1] + len(leaf))
+        self.low, self.high, self.empty = np.array(low), np.array(high), np.array(self.empty)
+        self.branch_low = np.minimum.reduceat(self.low, self.first[:-1], axis=0)
+        self.branch_high = np.maximum.reduceat(self.high, self.first[:-1], axis=0)
+        order = np.concatenate(order)
+        self.rank, self.x = rank[order], x[order]
+        del x, turned
+        self.norms, self.near = np.empty(total), np.empty((total, dims), dtype=np.float32)
+        for at in range(0, total, _PAIRS):
+            part = self.x[at : at + _PAIRS].astype(np.float64)
+            self.norms[at : at + _PAIRS] = np.sqrt(np.einsum("ij,ij->i", part, part))
+            self.near[at : at + _PAIRS] = _unit_rows(part)
+
+    def _turned(self, near: np.ndarray) -> np.ndarray:
+        return (near - self.middle) @ self.axes
+
+    def _units(self, rows: np.ndarray) -> np.ndarray:
+        x, norms = self.x[rows].astype(np.float64), self.norms[rows][:, None]
+        return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
 
     def _kept(self, keys: np.ndarray) -> np.ndarray:
         """The least keys of each query, of a repeated id the nearest."""
@@ -339,57 +416,66 @@ class _Shard:
             keys = keys[order][first]
         keys = np.sort(keys)
         query = keys >> (_UNIT_BITS + _RANK_BITS)
-        place = np.arange(len(keys)) - np.searchsorted(query, query)
+        counts = np.bincount(query)
+        place = np.arange(len(keys)) - (np.cumsum(counts) - counts)[query]
         return keys[place < self.wanted]
 
     def _limits(self, reach: np.ndarray) -> np.ndarray:
-        """The angle up to which a row may lie from a query."""
-        angle = np.arccos(np.clip(1.0 - (reach + 2) / _UNITS, -1.0, 1.0)) + _SLACK
-        return np.where(reach >= _FAR, np.inf, angle)
-
-    def _meet(self, block: _Block, live: np.ndarray, units, near, angles, furthest, reach) -> Iterator[np.ndarray]:
-        """Keys of a block's rows within reach of the queries `live`."""
-        start, end = np.zeros(len(live), np.int64), np.full(len(live), len(block.angles))
-        if block.cell < len(self.centroids) - 1:
-            start = np.searchsorted(block.angles, angles - furthest, side="left")
-            end = np.searchsorted(block.angles, angles + furthest, side="right")
-        some = end > start
-        if not some.any():
-            return
-        live, a, b = live[some], int(start[some].min()), int(end[some].max())
+        """The squared distance up to which a row may lie from a query."""
+        limits = (np.sqrt(2.0 * (reach + 2) / _UNITS) + self.slack) ** 2
+        return np.where(reach >= _FAR, _ANY, limits).astype(np.float32)
+
+    def _reached(self, branch: int, leaf: int, near: np.ndarray) -> np.ndarray:
+        """How far, in units, a query need look, as far as the rows around a leaf of its branch tell."""
+        start, end = self.starts[leaf], self.starts[leaf + 1]
+        more = max(0, _AROUND * self.enough - (end - start))
+        start = max(self.starts[self.first[branch]], start - more // 2)
+        end = min(self.starts[self.first[branch + 1]], end + more // 2)
+        if end - start < self.enough:
+            return np.full(len(near), _FAR)
+        if self.compared is not None:
+            self.compared.add(len(near) * (end - start))
+        dots = near @ self.near[start:end].T
+        place = end - start - self.enough
+        least = np.partition(dots, place, axis=1)[:, place].astype(np.float64)
+        return np.ceil((1.0 - least + 2 * self.room) * _UNITS).astype(np.int64) + 4
+
+    def _meet(self, leaf: int, live: np.ndarray, units: np.ndarray, near: np.ndarray, reach: np.ndarray) -> Iterator[np.ndarray]:
+        """Keys of a leaf's rows within reach of the queries `live`."""
+        start, end = self.starts[leaf], self.starts[leaf + 1]
         if self.compared is not None:
-            self.compared.add(len(live) * (b - a))
+            self.compared.add(len(live) * (end - start))
         reach = reach[live]
-        for at in range(a, b, 1 << 12):
-            near_rows = block.near[at : min(b, at + (1 << 12))]
-            dots = near[live] @ near_rows.T
-            least = 1.0 - (reach + 2) / _UNITS - self.room
-            if not self.repeated and dots.shape[1] > self.wanted and (reach >= _FAR).any():
-                # So many rows of this block are at least as near.
-                place = dots.shape[1] - self.wanted
-                least = np.maximum(least, np.partition(dots, place, axis=1)[:, place] - 2 * self.room - 4 / _UNITS)
-            hits = np.flatnonzero(dots >= least.astype(np.float32)[:, None])
-            for part in range(0, len(hits), _PAIRS):
-                q, row = np.divmod(hits[part : part + _PAIRS], dots.shape[1])
-                row += at
-                distance = 1.0 - np.einsum("ij,ij->i", units[live[q]], block.units(row))
-                found = np.rint(distance * _UNITS).astype(np.int64).clip(min=0)
-                kept = found <= reach[q]
-                q, row, found = live[q[kept]], row[kept], found[kept]
-                yield (((q << _UNIT_BITS) | found) << _RANK_BITS) | self.rank[block.start + row]
-
-    def search(self, queries: np.ndarray, allowed: np.ndarray | None) -> np.ndarray:
-        """Keys of the nearest rows of each query; `allowed` tells which blocks it may visit."""
+        dots = near[live] @ self.near[start:end].T
+        least = 1.0 - (reach + 2) / _UNITS - self.room
+        least = least.astype(np.float32)
+        some = np.flatnonzero(dots.max(axis=1) >= least)
+        if not len(some):
+            return
+        live, reach, least, dots = live[some], reach[some], least[some], dots[some]
+        hits = np.flatnonzero(dots >= least[:, None])
+        for part in range(0, len(hits), _PAIRS):
+            q, row = np.divmod(hits[part : part + _PAIRS], dots.shape[1])
+            row += start
+            distance = 1.0 - np.einsum("ij,ij->i", units[live[q]], self._units(row))
+            found = np.rint(distance * _UNITS).astype(np.int64).clip(min=0)
+            kept = found <= reach[q]
+            q, row, found = live[q[kept]], row[kept], found[kept]
+            yield (((q << _UNIT_BITS) | found) << _RANK_BITS) | self.rank[row]
+
+    def search(self, queries: np.ndarray, allowed: np.ndarray | None = None, known: np.ndarray | None = None) -> np.ndarray:
+        """Keys of the nearest rows of each query, in order; `allowed` tells which branches it may visit, `known` how
+        far, in units, it need look."""
         units = _unit_rows(queries)
         near, empty = units.astype(np.float32), ~units.any(axis=1)
-        angles = _angles(units, self.centroids)[:, self.cells]
-        gap = np.maximum(np.maximum(self.low[None, :] - angles, angles - self.high[None, :]), 0.0)
-        gap[:, self.cells == len(self.centroids) - 1] = np.pi / 2
-        gap[empty] = np.pi / 2
+        turned = self._turned(near)
+        bounds = _gaps(turned, self.branch_low, self.branch_high)
+        bounds[:, self.empty] = _EMPTY
+        bounds[empty] = _EMPTY
         if allowed is not None:
-            gap[~allowed] = np.inf
-        reach = np.full(len(queries), _FAR, dtype=np.int64)
-        furthest = np.full(len(queries), np.inf)
+            bounds[~allowed] = np.inf
+        reach = np.full(len(queries), _FAR, dtype=np.int64) if known is None else known.copy()
+        furthest = np.where(empty, _ANY, self._limits(reach))
         best, pending, waiting = np.empty(0, dtype=np.int64), [], 0
 
         def settle() -> None:
@@ -399,32 +485,86 @@ class _Shard:
             counts = np.bincount(best >> (_UNIT_BITS + _RANK_BITS), minlength=len(queries))
             last = np.cumsum(counts) - 1
             full = counts >= self.wanted
-            reach[full] = (best[last[full]] >> _RANK_BITS) & _FAR
-            furthest = np.where(empty, np.inf, self._limits(reach))
-
-        home = (gap + 1e-3 * angles).argmin(axis=1)
-        order = [(int(k), np.flatnonzero(home == k)) for k in np.unique(home)]
-        order += [(int(k), None) for k in np.argsort(gap.min(axis=0), kind="stable")]
-        for k, live in order:
-            if live is None:
-                live = np.flatnonzero((gap[:, k] <= furthest) & (home != k))
-            live = live[np.isfinite(gap[live, k])]
-            if not len(live):
-                continue
-            for keys in self._meet(self.blocks[k], live, units, near, angles[live, k], furthest[live], reach):
+            reach[full] = np.minimum(reach[full], (best[last[full]] >> _RANK_BITS) & _FAR)
+            furthest = np.where(empty, _ANY, self._limits(reach))
+
+        def meet(leaf: int, live: np.ndarray) -> None:
+            nonlocal waiting
+            for keys in self._meet(leaf, live, units, near, reach) if len(live) else ():
                 pending.append(keys)
                 waiting += len(keys)
                 if waiting > max(_PAIRS, 4 * len(queries)):
                     settle()
-            if waiting > 4 * len(queries):
-                settle()
+
+        def leaf_gaps(branch: int, live: np.ndarray) -> np.ndarray:
+            own = slice(self.first[branch], self.first[branch + 1])
+            gaps = _gaps(turned[live], self.low[own], self.high[own])
+            gaps[empty[live] | self.empty[branch]] = _EMPTY
+            return gaps
+
+        home = bounds.argmin(axis=1)
+        for k in np.unique(home):
+            live = np.flatnonzero((home == k) & (bounds[:, k] <= furthest))
+            if len(live):
+                nearest = self.first[k] + leaf_gaps(k, live).argmin(axis=1)
+                for leaf in np.unique(nearest):
+                    own = live[nearest == leaf]
+                    reach[own] = np.minimum(reach[own], self._reached(k, int(leaf), near[own]))
+        furthest = np.where(empty, _ANY, self._limits(reach))
+        # A query's own branch comes first.
+        for k, first in [(k, True) for k in np.unique(home)] + [(k, False) for k in np.argsort(bounds.min(axis=0), kind="stable")]:
+            live = np.flatnonzero((bounds[:, k] <= furthest) & ((home == k) == first))
+            if not len(live):
+                continue
+            gaps = leaf_gaps(k, live)
+            for place in range(gaps.shape[1]):
+                leaf = self.first[k] + place
+                meet(leaf, live[gaps[:, place] <= furthest[live]])
+                if waiting > 4 * len(queries):
+                    settle()
         settle()
         return best
 
 
+class _Tile:
+    """Queries on their way through the shards, and the rows nearest to them so far: `query` (its place), `units` and
+    `ids`, by query, distance and id."""
+
+    def __init__(self, ids: pa.Array, kind: str, x: bytes, dims: int):
+        self.query_ids, self.x = ids, np.frombuffer(x, kind).reshape(len(ids), dims)
+        self.query = self.units = np.empty(0, dtype=np.int64)
+        self.ids = pa.array([], pa.string())
+
+    def meet(self, shard: _Shard, allowed: np.ndarray | None) -> None:
+        """Takes in what is nearer in a shard. Of an id that several shards hold the nearest row counts."""
+        wanted, known = shard.wanted, np.full(len(self.query_ids), _FAR, dtype=np.int64)
+        counts = np.bincount(self.query, minlength=len(known))
+        full = counts >= wanted
+        known[full] = self.units[(np.cumsum(counts) - 1)[full]]
+        best = shard.search(self.x.astype(np.float64), allowed, known)
+        before = len(self.query)
+        self.query = np.concatenate([self.query, best >> (_UNIT_BITS + _RANK_BITS)])
+        self.units = np.concatenate([self.units, (best >> _RANK_BITS) & _FAR])
+        self.ids = pa.concat_arrays([self.ids, shard.ids.take(pa.array(shard.row_of[best & ((1 << _RANK_BITS) - 1)]))])
+        if before and len(best):
+            rank = pc.rank(self.ids, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
+            order = np.lexsort((self.units, rank, self.query))
+            again = np.zeros(len(order), dtype=bool)
+            again[1:] = (rank[order][1:] == rank[order][:-1]) & (self.query[order][1:] == self.query[order][:-1])
+            order = order[~again]
+            order = order[np.lexsort((rank[order], self.units[order], self.query[order]))]
+            query = self.query[order]
+            order = order[np.arange(len(order)) - np.searchsorted(query, query) < wanted]
+            self.query, self.units, self.ids = self.query[order], self.units[order], self.ids.take(pa.array(order))
+
+    def found(self) -> pa.RecordBatch:
+        columns = [self.query_ids.take(pa.array(self.query)), self.ids, pa.array(self.units / float(_UNITS))]
+        return pa.RecordBatch.from_arrays(columns, schema=_CANDIDATES)
+
+
 def _searched(centroids: Broadcast, rings: Broadcast | None, wanted: int, probes: int | None, compared: Accumulator | None):
     def allowed(shard: _Shard, queries: np.ndarray) -> np.ndarray | None:
-        """Of each query and block whether its ring is among those of the least bound."""
+        """Of each query and branch whether its ring is among those of the least bound."""
         if rings is None:
             return None
         own = rings.value
@@ -432,34 +572,50 @@ def _searched(centroids: Broadcast, rings: Broadcast | None, wanted: int, probes
         chosen = np.zeros(least.shape, dtype=bool)
         np.put_along_axis(chosen, np.argpartition(least, probes - 1, axis=1)[:, :probes], True, axis=1)
         chosen[np.arange(len(least)), (least / _UNITS + 1e-3 * angles).argmin(axis=1)] = True
-        place = np.searchsorted(own["ring"], [b.ring for b in shard.blocks])
+        place = np.searchsorted(own["ring"], shard.rings)
         return chosen[:, place]
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each task first its blocks, then its tiles."""
-        task, held, shard, dims = None, [], None, centroids.value.shape[1]
+        """Of one shard its blocks come first, and tiles pass by; of several the tiles come first, and shards pass by."""
+        dims = centroids.value.shape[1]
+        tiles: list[_Tile] = []
+        held: list[dict] = []
+        shard = None
+
+        def built() -> _Shard:
+            nonlocal held
+            blocks, held = held, []
+            return _Shard(blocks, centroids.value, wanted, compared, rings is not None)
+
+        def pass_by(tile: _Tile, shard: _Shard) -> None:
+            tile.meet(shard, allowed(shard, tile.x.astype(np.float64)))
+
         for batch in batches:
             for i in range(len(batch)):
-                row = {name: batch.column(name)[i].as_py() for name in ("task", "number", "block_id", "ring", "cell", "angles", "kind", "x")}
+                row = {name: batch.column(name)[i].as_py() for name in ("shard", "number", "ring", "cell", "kind", "x")}
                 ids = batch.column("ids")[i].values
-                if row["task"] != task:
-                    task, held, shard = row["task"], [], None
                 if row["number"] == _BLOCK:
+                    if held and held[0]["shard"] != row["shard"]:
+                        shard = built()
+                        for tile in tiles:
+                            pass_by(tile, shard)
+                        shard = None
                     held.append({**row, "ids": ids})
                     continue
-                if shard is None and held:
-                    shard, held = _Shard(held, centroids.value, wanted, compared), []
+                tile = _Tile(ids, row["kind"], row["x"], dims)
+                if held:
+                    shard = built()
                 if shard is None:
-                    continue  # a shard to which no block was dealt
-                queries = np.frombuffer(row["x"], row["kind"]).reshape(len(ids), dims).astype(np.float64)
-                best = shard.search(queries, allowed(shard, queries))
-                found = shard.row_of[best & ((1 << _RANK_BITS) - 1)]
-                columns = (
-                    ids.take(pa.array(best >> (_UNIT_BITS + _RANK_BITS))),
-                    shard.ids.take(pa.array(found)),
-                    pa.array(((best >> _RANK_BITS) & _FAR) / float(_UNITS)),
-                )
-                yield pa.RecordBatch.from_arrays(list(columns), schema=_CANDIDATES)
+                    tiles.append(tile)
+                else:
+                    pass_by(tile, shard)
+                    yield tile.found()
+        if tiles and held:
+            shard = built()
+            for tile in tiles:
+                pass_by(tile, shard)
+        for tile in tiles:
+            yield tile.found()
 
     return searched
 
@@ -486,21 +642,20 @@ def nearest_in_cells(
     rings = context.broadcast(index.rings) if limited else None
     wanted = k + 1 if exclude_self else k
     shards = max(-(-4 * index.dims * rows // SHARD_BYTES), -(-rows // SHARD_ROWS))
-    groups = -(-TASKS * context.defaultParallelism // shards)
+    groups = max(TASKS * context.defaultParallelism, -(-rows // GROUP_ROWS))
 
     placed = _usable(queries, "query_id").withColumnRenamed("query_id", "tx_id").mapInArrow(_assigned(centroids), _ASSIGNED_DDL)
     # Queries of one place are spread by their ids.
     placed = placed.repartitionByRange(groups, "cell", "angle", F.xxhash64("tx_id")).sortWithinPartitions("cell", "angle")
     tiles = placed.mapInArrow(_tiled(index.dims, len(index.centroids) - 1), _SENT_DDL)
     blocks = index.blocks.withColumn("number", F.lit(_BLOCK).cast("long")).select(tiles.columns)
-    group, shard = F.floor(F.col("number") / _PER_RING), F.pmod(F.xxhash64("block_id"), F.lit(shards))
-    sent = tiles.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).select(
-        (group * shards + F.col("shard")).alias("task"), *tiles.columns
-    )
-    dealt = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")).select(
-        (F.col("group") * shards + shard).alias("task"), *tiles.columns
-    )
-    met = sent.unionByName(dealt).repartition(4 * groups * shards, "task").sortWithinPartitions("task", "number")
+    # Tiles are dealt in turn, as some places take longer than others.
+    group = F.pmod(F.floor(F.col("number") / _PER_RING) + F.pmod("number", F.lit(_PER_RING)), F.lit(groups))
+    shard = F.pmod(F.xxhash64("block_id"), F.lit(shards))
+    tile_shard = F.lit(-1 if shards > 1 else shards)
+    sent = tiles.select(group.cast("int").alias("group"), tile_shard.cast("long").alias("shard"), *tiles.columns)
+    dealt = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), shard.cast("long").alias("shard"), *tiles.columns)
+    met = sent.unionByName(dealt).repartitionById(groups, "group").sortWithinPartitions("shard", "number")
     candidates = met.mapInArrow(_searched(centroids, rings, wanted, probes, compared), _CANDIDATES_DDL)
     if exclude_self:
         candidates = candidates.where(F.col("query_id") != F.col("tx_id"))

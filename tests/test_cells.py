@@ -91,3 +91,34 @@ def test_candidates_do_not_grow_with_blocks(spark, monkeypatch):
     monkeypatch.setattr(cells, "SHARD_ROWS", 150)
     assert as_lists(nearest_in_cells(asked, index, 5)) == wanted
     assert given[1].count() <= 400 * 5 * 3
+
+
+def test_each_query_gives_its_neighbours_once(spark, monkeypatch):
+    """A query gives as many rows as are wanted however many shards the index has, ids in several shards included."""
+    from paylens.operators import cells
+
+    rng = np.random.default_rng(12)
+    rows = [(f"v{i:03d}", rng.normal(size=8).tolist()) for i in range(300)]
+    rows += [(rows[i][0], rng.normal(size=8).tolist()) for i in range(0, 300, 5)]
+    rows += [("zero", [0.0] * 8)]
+    asked = rows[:300:3] + [("none", [0.0] * 8)]
+    given, ranked = [], cells.ranked
+    monkeypatch.setattr(cells, "ranked", lambda found, k: given.append(found) or ranked(found, k))
+    monkeypatch.setattr(cells, "SHARD_ROWS", 80)
+    monkeypatch.setattr(cells, "TILE", 16)
+    index = build_cells(frame(spark, rows), block_bytes=20 * 64)
+    found = as_lists(nearest_in_cells(frame(spark, asked, "query_id"), index, 5))
+    assert found == {q: list(dict.fromkeys(own))[:5] for q, own in brute(asked, rows, 10, False).items()}
+    assert given[0].count() == len(asked) * 5
+
+
+def test_far_rows_do_not_widen_the_leaves_of_close_ones():
+    from paylens.operators.cells import _leaves
+
+    rng = np.random.default_rng(13)
+    points = np.concatenate([rng.normal(size=(3000, 6)), 1000 * rng.normal(size=(30, 6)), np.zeros((2000, 6))]).astype(np.float32)
+    leaves = _leaves(points, 100)
+    assert sorted(np.concatenate(leaves)) == list(range(len(points)))
+    assert max(map(len, leaves)) <= 100
+    widths = [np.ptp(points[own], axis=0).max() for own in leaves if (own < 3000).any()]
+    assert np.median(widths) < 8
